@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, token_counts
+from . import quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 ORACLES = {
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
 }
