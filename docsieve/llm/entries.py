@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules, substring_dedup, token_counts
+from . import quality_rules, secret_scans, substring_dedup, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_secret_scans": secret_scans.op8_secret_scans,
 }
 ORACLES = {
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "op8_secret_scans": secret_scans.ORACLE,
 }
