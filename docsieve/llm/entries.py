@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scans, substring_dedup, token_counts
+from . import packing, quality_rules, secret_scans, substring_dedup, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_secret_scans": secret_scans.op8_secret_scans,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op5_substring_dedup": substring_dedup.ORACLE,
