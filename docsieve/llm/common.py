@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,26 +65,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHasher:
-    """64-bit hashes of words, remembered between calls in a bounded dictionary."""
-
-    def __init__(self, most: int = 400_000):
-        import xxhash
-
-        self._hash, self._most, self._known = xxhash.xxh3_64_intdigest, most, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self._known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self._most:
-                known.clear()
-            h = self._hash
-            for w in words:
-                if w not in known:
-                    known[w] = h(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, secret_scans, substring_dedup, token_counts
+from . import decontamination, packing, quality_classifier, quality_rules, secret_scans, substring_dedup, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_secret_scans": secret_scans.op8_secret_scans,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op8_secret_scans": secret_scans.ORACLE,
+    "op9_decontamination": decontamination.ORACLE,
 }

@@ -22,7 +22,6 @@ compared with nothing. Rows with equal ids don't remove from each other. Other c
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, gram_hashes, materialize, mix64, table
+from .common import gram_hashes, materialize, mix64, table, word_hashes
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,8 +76,14 @@ class Windows:
 
 
 def _letters(h: np.ndarray) -> str:
-    """One character a word: letters of an alphabet of 2**15."""
-    return ((h >> np.uint64(49)).astype(np.uint16) + np.uint16(0x800)).tobytes().decode("utf-16-le")
+    """Two characters a word, from two alphabets of 63, so that a phrase can only be found where a word begins.
+
+    An automaton looks through the branches of a node one by one; small alphabets keep them few.
+    """
+    code = np.empty((len(h), 2), np.uint8)
+    code[:, 0] = (h >> np.uint64(33)) % np.uint64(63) + np.uint64(0x01)
+    code[:, 1] = (h >> np.uint64(48)) % np.uint64(63) + np.uint64(0x40)
+    return code.tobytes().decode("ascii")
 
 
 def _batches(batches: Iterator[pa.RecordBatch], least: int, most: int = 600_000) -> Iterator[tuple[list, list[list[bytes]]]]:
@@ -132,9 +137,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # 1. anchors and contexts with their smallest and largest document
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for ids, words in _batches(batches, window):
-            x = Windows([hasher(w) for w in words], window)
+            x = Windows([word_hashes(w) for w in words], window)
             one = _firsts(x.anchor, x.context, x.owner)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x.anchor[one].view(np.int64)), pa.array(x.context[one].view(np.int64)),
@@ -154,9 +158,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = max(-(-int(size) // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for ids, words in _batches(batches, window):
-            hashes = [hasher(w) for w in words]
+            hashes = [word_hashes(w) for w in words]
             x = Windows(hashes, window)
             doc = np.array(ids, np.int64)
             hit = np.flatnonzero(_in_bitmap(recurs.value, x.anchor))
@@ -173,7 +176,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             new = _firsts(anchor[:len(one)])
             text = _letters(np.concatenate(hashes))
             phrase = np.full(len(anchor), None, object)
-            phrase[new] = [text[p:p + x.half] for p in x.at[one[new]].tolist()]
+            phrase[new] = [text[2 * p:2 * (p + x.half)] for p in x.at[one[new]].tolist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.r_[x.context[one], x.hash[at]].view(np.int64)), pa.array(doc[np.r_[x.owner[one], x.doc[at]]]),
                  pa.array(anchor), pa.array(phrase, pa.string())], ["key", "doc_id", "anchor", "phrase"])
@@ -223,7 +226,6 @@ def _strip(texts: pd.DataFrame, known: pd.DataFrame, window: int) -> Iterator[tu
         at = np.minimum(np.searchsorted(key, h), len(key) - 1)
         return (key[at] == h) & (lowest[at] < ids)
 
-    hasher = WordHasher()
     ids = [i if n else None for i, n in zip(texts["doc_id"].tolist(), texts["named"].tolist())]
     raw = texts["text"].tolist()
     del texts
@@ -238,12 +240,12 @@ def _strip(texts: pd.DataFrame, known: pd.DataFrame, window: int) -> Iterator[tu
         some, hashes, places, base = [], [], [], 0
         for k, w in enumerate(words):
             if len(automaton) and len(w) >= window and ids[lo + k] is not None:
-                h = hasher(w)
+                h = word_hashes(w)
                 ends = [e for e, _ in automaton.iter(_letters(h))]
                 if ends:
                     some.append(k)
                     hashes.append(h)
-                    places.append(np.array(ends) + (base - window // 2 + 1))
+                    places.append(np.array(ends) // 2 + (base - window // 2 + 1))
                     base += len(h)
         gone: dict[int, np.ndarray] = {}
         if some:
