@@ -81,8 +81,11 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         new.write.mode("append").parquet(ledger)
         known = spark.read.parquet(ledger).where(F.col("rule_version") == RULE_VERSION)
-    # blobs without findings need no join; a blob that two runs scanned at the same time counts once
-    hits = known.where(F.size("findings") > 0).groupBy("blob").agg(F.any_value("findings").alias("findings"))
+    # blobs without findings need no join. What is joined is a table with one row a blob, without an aggregation between the
+    # exchange and the join, so that a blob of very many paths can be split
+    hits = known.where(F.size("findings") > 0).select("blob", "findings")
+    if ledger is not None:  # two runs may have scanned a blob at the same time
+        hits = materialize(hits.dropDuplicates(["blob"]))
     out = versions.select("id", "blob").join(hits, "blob", "left")
     return out.select(F.col("id").alias(id_col), "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
