@@ -86,3 +86,41 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
             return out
         power = mix64(power[:-width] * _MUL + (power[width:] ^ np.uint64(width)))
         width *= 2
+
+
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the low bits of the long column `key`: 2**bits bits reach the driver at most, whatever the number of keys."""
+    rows = (keys.select(F.expr(f"shiftright(key & {(1 << bits) - 1}L, 6)").alias("w"), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("b"))
+            .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
+    out = np.zeros(max(1, (1 << bits) // 64), np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    return out
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set: true for all keys put in, and for few others while the bitmap is sparse."""
+    slot = keys & np.uint64(len(bits) * 64 - 1)
+    return (bits.view(np.uint64)[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of the long pairs (a, b): rows (node, label), label the smallest node of the component.
+
+    Large-star and small-star steps in turn, until the edges are stars. Every round is a written table.
+    """
+    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = None
+    while True:
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if now == state or not now[0]:
+            break
+        state = now
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = materialize(large)
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(small, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialize(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, materialize, mix64, table, word_hashes
+from .common import bitmap, gram_hashes, in_bitmap, materialize, mix64, table, word_hashes
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,20 +106,6 @@ def _batches(batches: Iterator[pa.RecordBatch], least: int, most: int = 600_000)
         yield ids, held
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of the low bits of the long column `key`: at most 2**bits bits reach the driver."""
-    rows = (keys.select(F.expr(f"shiftright(key & {(1 << bits) - 1}L, 6)").alias("w"), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("b"))
-            .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
-    out = np.zeros(max(1, (1 << bits) // 64), np.int64)
-    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return out
-
-
-def _in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap.view(np.uint64)[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _firsts(*keys: np.ndarray) -> np.ndarray:
     """Indices of the first row of each distinct key."""
     k = keys[0]
@@ -150,8 +136,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           .where("lo < hi").select("anchor", (F.col("n") > 1).alias("several")))
     found = anchors.agg(F.count("*").alias("n"), F.count_if("several").alias("m")).first()
     bits = lambda n: min(filter_bits, max(16, int(n * 16).bit_length()))
-    recurs = sc.broadcast(_bitmap(anchors.select(F.col("anchor").alias("key")), bits(found["n"])))
-    several = sc.broadcast(_bitmap(anchors.where("several").select(F.col("anchor").alias("key")), bits(found["m"])))
+    recurs = sc.broadcast(bitmap(anchors.select(F.col("anchor").alias("key")), bits(found["n"])))
+    several = sc.broadcast(bitmap(anchors.where("several").select(F.col("anchor").alias("key")), bits(found["m"])))
 
     # 2. hashes of contexts and windows, and the phrases themselves
     size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
@@ -162,14 +148,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             hashes = [word_hashes(w) for w in words]
             x = Windows(hashes, window)
             doc = np.array(ids, np.int64)
-            hit = np.flatnonzero(_in_bitmap(recurs.value, x.anchor))
+            hit = np.flatnonzero(in_bitmap(recurs.value, x.anchor))
             if not len(hit):
                 continue
             hit = hit[np.argsort(doc[x.owner[hit]], kind="stable")]
             one = hit[_firsts(x.context[hit], doc[x.owner[hit]].view(np.uint64))]
             # a document that isn't the smallest of its context loses all windows of the context, so only the smallest one's count
             more = hit[_firsts(x.context[hit])]
-            more = more[_in_bitmap(several.value, x.anchor[more])]
+            more = more[in_bitmap(several.value, x.anchor[more])]
             n = x.hi[more] - x.lo[more] + 1
             at = np.repeat(x.lo[more] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             anchor = np.r_[x.anchor[one], np.repeat(x.anchor[more], n)].view(np.int64)
