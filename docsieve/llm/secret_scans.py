@@ -60,21 +60,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["blob", "findings"])
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None) -> DataFrame:
-    """One row a path: id, blob, findings (kind, start, end; sorted by start, then kind).
+def blob_findings(blobs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """(blob, findings) of the blobs that have any; blobs: (blob, text), a blob as often as there are paths.
 
-    ledger: folder of the ledger table, in storage that all executors reach. Without one, all blobs are unseen and what was
-    scanned is kept for this run only.
+    Blobs that the ledger holds under this rule version aren't scanned again.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    versions = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+    spark = blobs.sparkSession
     seen = _ledger(spark, ledger)
-    unseen = versions.select("blob", "text")
     if seen is not None:
-        seen = seen.where(F.col("rule_version") == RULE_VERSION)
-        unseen = unseen.join(seen.select("blob"), "blob", "left_anti")
-    new = unseen.dropDuplicates(["blob"]).mapInArrow(_scan, f"blob string, findings {FINDINGS}").withColumn(
+        blobs = blobs.join(seen.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
+    new = blobs.dropDuplicates(["blob"]).mapInArrow(_scan, f"blob string, findings {FINDINGS}").withColumn(
         "rule_version", F.lit(RULE_VERSION))
     if ledger is None:
         known = materialize(new)
@@ -84,9 +79,18 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # blobs without findings need no join. What is joined is a table with one row a blob, without an aggregation between the
     # exchange and the join, so that a blob of very many paths can be split
     hits = known.where(F.size("findings") > 0).select("blob", "findings")
-    if ledger is not None:  # two runs may have scanned a blob at the same time
-        hits = materialize(hits.dropDuplicates(["blob"]))
-    out = versions.select("id", "blob").join(hits, "blob", "left")
+    return hits if ledger is None else materialize(hits.dropDuplicates(["blob"]))  # two runs may have scanned a blob at a time
+
+
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None) -> DataFrame:
+    """One row a path: id, blob, findings (kind, start, end; sorted by start, then kind).
+
+    ledger: folder of the ledger table, in storage that all executors reach. Without one, all blobs are unseen and what was
+    scanned is kept for this run only.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    versions = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+    out = versions.select("id", "blob").join(blob_findings(versions.select("blob", "text"), ledger), "blob", "left")
     return out.select(F.col("id").alias(id_col), "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
@@ -100,7 +104,7 @@ def _ledger(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", ledger: str | None = None) -> DataFrame:
     """docs with every span that secret_scan finds replaced by `mark`; texts without findings stay as they are."""
-    hits = (secret_scan(docs, text_col, text_col, ledger).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"]))
+    hits = blob_findings(docs.where(F.col(text_col).isNotNull()).select(F.sha2(F.col(text_col), 256).alias("blob"), F.col(text_col).alias("text")), ledger)
     blob, found = "_secret_blob", "_secret_findings"
     joined = docs.withColumn(blob, F.sha2(F.col(text_col), 256)).join(
         hits.select(F.col("blob").alias(blob), F.col("findings").alias(found)), blob, "left")
