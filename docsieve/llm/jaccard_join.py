@@ -3,9 +3,10 @@
 Documents with equal sets of shingles are one class; a class stands for all its copies.
 
 1. Order. A pass finds the tokens (shingles) of high frequency; there are at most as many as their least frequency allows. Tokens
-   are ordered by hash, the frequent ones last.
-2. Prefixes. If two sets are similar enough, they share a token among the first n - ceil(threshold * n) + 1 of either. Prefix tokens
-   of two or more classes are the columns of the token-group matrix; classes without any can have no partner.
+   are ordered by the length of their words, long ones first, and by hash; the frequent ones come last.
+2. Prefixes. A partner lacks at most e = n - ceil(threshold * n) tokens of a set, so of its first e + k tokens a partner has k, and
+   has them among its own first e + k. Prefix tokens of two or more classes are the columns of the token-group matrix; classes
+   with too few of them can have no partner.
 3. Groups. Classes are put into groups by a min-hash, and large groups are cut into blocks. Links inside a block are found by
    matrix products; blocks of one group are dealt out a second time, so that a large family of near copies grows together.
    Connected components give each class a label.
@@ -36,12 +37,35 @@ _TOP = np.uint64(1 << 63)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of a text; of the whole sequence where it has fewer words."""
-    h = word_hashes((text or "").encode().translate(LOWER).split())
-    if 0 < len(h) < k:
-        return gram_hashes(h, len(h)) ^ np.uint64(0x5851F42D4C957F2D * len(h) & 0xFFFFFFFFFFFFFFFF)
-    g = np.sort(gram_hashes(h, k))
-    return g[np.r_[True, g[1:] != g[:-1]]] if len(g) else g
+    """Sorted distinct tokens of the k-word shingles of a text; of the whole sequence where it has fewer words.
+
+    A token is the length of the shingle, 255 less the bytes of its words, and 56 bits of its hash: long shingles, which tend to
+    be rare, come first.
+    """
+    w = (text or "").encode().translate(LOWER).split()
+    if not w:
+        return np.empty(0, np.uint64)
+    h = word_hashes(w)
+    if len(w) < k:
+        return (gram_hashes(h, len(h)) ^ np.uint64(0x5851F42D4C957F2D * len(h) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(8)
+    size = np.fromiter(map(len, w), np.uint64, len(w))
+    total = sum(size[i:len(w) - k + 1 + i] for i in range(k))
+    g = np.sort(((np.uint64(255) - np.minimum(total, 255).astype(np.uint64)) << np.uint64(56)) | (gram_hashes(h, k) >> np.uint64(8)))
+    return g[np.r_[True, g[1:] != g[:-1]]]
+
+
+def spare(n, percent: int):
+    """Tokens of a set of size n that a partner may lack."""
+    return n - -(-percent * n // 100)
+
+
+def least_shared(n, percent: int):
+    """Tokens that the prefix of a set of size n is longer than spare(n); partners share as many of the smaller prefix at least."""
+    return 1 + spare(n, percent) // 3
+
+
+def min_hash(tokens: np.ndarray) -> int:
+    return int(mix64(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).min().astype(np.int64)) if len(tokens) else 0
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -144,13 +168,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             often = count >= 4
             m = int(often.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.array(tokens[often].view(np.int64)), pa.array(count[often]), pa.array(np.zeros(m, bool))], names)
+                [pa.nulls(m, pa.int64()), pa.array(tokens[often].view(np.int64)), pa.array(count[often]), pa.nulls(m, pa.int64()),
+                 pa.array(np.zeros(m, bool))], names)
 
-        names = ["doc_id", "key", "n", "doc"]
+        names = ["doc_id", "key", "n", "low", "doc"]
         for ids, sets in _sets(batches, k):
             cls = [class_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([True] * len(ids))], names)
+                [pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(list(map(min_hash, sets)), pa.int64()), pa.array([True] * len(ids))], names)
             for c, s in zip(cls, sets):
                 if (c, len(s)) not in held and len(s):
                     held[c, len(s)] = s
@@ -161,21 +187,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if total:
             yield frequent()
 
-    seen = materialize(texts.mapInArrow(survey, "doc_id long, key long, n long, doc boolean"))
-    members = seen.where("doc").select("doc_id", F.col("key").alias("cls"), "n")
+    seen = materialize(texts.mapInArrow(survey, "doc_id long, key long, n long, low long, doc boolean"))
+    members = seen.where("doc").select("doc_id", F.col("key").alias("cls"), "n", "low")
     often = (seen.where("not doc").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(hot).toArrow())
     hot_key = often.column("key").to_numpy().view(np.uint64)
     by = np.argsort(hot_key)
     # among the frequent tokens the rarer ones come first
     ranks = sc.broadcast((hot_key[by], (np.uint64(len(hot_key)) - by.astype(np.uint64)) | _TOP))
 
-    # 2. prefixes: the token's place in the order serves as its name
+    # 2. prefixes: the token's place in the order serves as its name. n is sent as 2 * n, and 1 more for the first spare(n) + 1 tokens
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often_key, often_rank = ranks.value
         for _, sets in _sets(batches, k):
             tokens, cls, size = [], [], []
             for (c, n), s in _distinct(sets).items():
-                first = n - (-(-percent * n // 100)) + 1
+                plain = spare(n, percent) + 1
+                first = plain - 1 + least_shared(n, percent)
                 if len(often_key):
                     at = np.minimum(np.searchsorted(often_key, s), len(often_key) - 1)
                     is_hot = often_key[at] == s
@@ -187,77 +214,112 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     s = s[:first] >> np.uint64(1)
                 tokens.append(s)
                 cls.append(c)
-                size.append(n)
+                size.append(np.full(len(s), 2 * n))
+                size[-1][:plain] += 1
             if tokens:
                 m = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), m)),
-                     pa.array(np.repeat(np.array(size, np.int64), m))], ["token", "cls", "n"])
+                     pa.array(np.concatenate(size))], ["token", "cls", "n"])
 
-    same = Window.partitionBy("token")
+    def filter_of(keys: DataFrame):
+        """A broadcast bitmap of the column `key`; at most 2**filter_bits bits, past which it lets more through."""
+        n = keys.count()
+        return sc.broadcast(bitmap(keys, min(filter_bits, max(16, (16 * n).bit_length()))))
+
+    same, own = Window.partitionBy("token"), Window.partitionBy("cls")
+    slack = lambda n: F.floor(n * (100 - percent) / 100)
+    need = lambda n: (1 + F.floor(slack(n) / 3)).cast("long")
+    smallest = F.ceil(F.col("n") * percent / 100)  # of a partner
     shared = materialize(
         texts.mapInArrow(prefixes, "token long, cls long, n long")
         .withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)})
-        .where("lo < hi").select("token", "cls", "n").distinct())
+        .where("lo < hi").selectExpr("token", "cls", "n div 2 as n", "n % 2 = 1 as first").distinct()
+        .withColumn("have", F.count("*").over(own)).where(F.col("have") >= need(smallest)).select("token", "cls", "n", "first"))
     involved = shared.select("cls").distinct()
-    found = involved.count()
-    flags = sc.broadcast(bitmap(involved.select(F.col("cls").alias("key")), min(filter_bits, max(16, (16 * found).bit_length()))))
+    flags = filter_of(involved.select(F.col("cls").alias("key")))
+    classes = materialize(members.where("n > 0").select("cls", "n", "low").distinct().join(involved, "cls", "left_semi"))
+    size = materialize(classes.groupBy("low").agg(F.count("*").alias("size")).where("size > 1"))
+    flocks = filter_of(size.select(F.col("low").alias("key")))
 
-    # 3. the sets of the classes that share a prefix token
+    # 3. the sets of the classes that share prefix tokens; links inside blocks of groups
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches, k):
-            got = [(c, n, s) for (c, n), s in _distinct(sets).items() if in_bitmap(flags.value, np.array([c], np.int64).view(np.uint64))[0]]
-            if got:
-                low = [int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).min().astype(np.int64)) for *_, s in got]
+            got = _distinct(sets)
+            keys = np.array([c for c, _ in got], np.int64)
+            kept = in_bitmap(flags.value, keys.view(np.uint64))
+            if kept.any():
+                rows = [x for x, y in zip(got.values(), kept) if y]
+                low = np.array(list(map(min_hash, rows)), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, *_ in got], pa.int64()), pa.array([n for _, n, _ in got], pa.int64()), pa.array(low, pa.int64()),
-                     pa.array([s.tobytes() for *_, s in got], pa.binary())], ["cls", "n", "low", "tokens"])
+                    [pa.array(keys[kept]), pa.array(low), pa.array(in_bitmap(flocks.value, low.view(np.uint64))),
+                     pa.array([x.tobytes() for x in rows], pa.binary())], ["cls", "low", "grouped", "tokens"])
+
+    sets = materialize(texts.mapInArrow(fetch, "cls long, low long, grouped boolean, tokens binary"))
+    large = materialize(size.where(F.col("size") > block))  # a group in every `block` classes at most
 
-    sets = materialize(texts.mapInArrow(fetch, "cls long, n long, low long, tokens binary"))
-    classes = materialize(sets.select("cls", "low").distinct().join(involved, "cls", "left_semi"))
-    size = classes.groupBy("low").agg(F.count("*").alias("size")).where("size > 1")
-    grouped = materialize(classes.join(materialize(size), "low"))
+    def blocks() -> Column:
+        return F.ceil(F.coalesce("size", F.lit(1)) / block)
 
     def salt(seed: int) -> Column:
-        return F.pmod(F.xxhash64("cls", F.lit(seed)), F.ceil(F.col("size") / block)).alias("salt")
+        return F.pmod(F.xxhash64("cls", F.lit(seed)), blocks()).alias("salt")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("cls")
         a, b = link_block(pdf["cls"].to_numpy(np.int64), [np.frombuffer(t, np.uint64) for t in pdf["tokens"]], percent) if len(pdf) > 1 else ([], [])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    narrow = sets.select("cls", "tokens")
-    once = narrow.join(grouped, "cls").select("low", salt(1), "cls", "tokens")
-    twice = narrow.join(grouped.where(F.col("size") > block), "cls").select("low", salt(2), "cls", "tokens")
+    flock = sets.where("grouped").select("cls", "low", "tokens")
+    once = flock.join(large, "low", "left").select("low", salt(1), "cls", "tokens")
+    twice = flock.join(large, "low").select("low", salt(2), "cls", "tokens")
     edges = materialize(once.groupBy("low", "salt").applyInPandas(link, "a long, b long").unionByName(
         twice.groupBy("low", "salt").applyInPandas(link, "a long, b long")))
     labels = components(edges)  # node, label
 
     # 4. what is left: tokens with several labels
     label = F.coalesce("label", "cls")
-    known = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "low", label.alias("label"))
-    sizes = labels.groupBy("label").agg(F.count("*").alias("weight"))
-    known = materialize(known.join(sizes, "label", "left").join(size, "low", "left").select(
-        "cls", "label", F.coalesce("weight", F.lit(1)).alias("weight"),
-        F.concat_ws(":", "low", F.pmod(F.xxhash64("cls", F.lit(1)), F.ceil(F.coalesce("size", F.lit(1)) / block))).alias("block")))
-    rows = shared.join(known, "cls")
+    known = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "low", label.alias("label"))
+    weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
+    known = materialize(known.join(weights, "label", "left").join(large, "low", "left").select(
+        "cls", "n", "label", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), "label").alias("rank"), "low", salt(1), blocks().alias("blocks")))
+    groups = known.groupBy(F.col("low").alias("to")).agg(
+        F.max("rank").alias("top"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("blocks").alias("parts"))
+    # the first spare(n) + 1 tokens are enough here: of them, a pair shares more the nearer its sizes are
+    rows = shared.where("first").select("token", "cls").join(known, "cls")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     rows = materialize(rows.join(mixed, "token", "left_semi"))
-    matrix = rows.select("token", "block", F.struct("weight", "label").alias("rank")).groupBy("token", "block").agg(F.max("rank").alias("top"))
-    asks = (rows.select("token", "cls", "label", "weight").join(matrix, "token")
-            .where(F.struct("weight", "label") < F.col("top")).select("block", "cls", "label", "weight").distinct())
-    asks = materialize(asks)
-    per = asks.groupBy("block").agg(F.ceil(F.count("*") / (2 * block)).alias("parts"))
-    queries = (asks.join(per, "block").select("block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).alias("part"), "cls", "label")
-               .join(narrow, "cls").select("block", "part", "cls", "label", "tokens"))
-    opened = (known.join(per, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "cls", "label")
-              .join(sets.select("cls", F.col("tokens").alias("set")), "cls").select("block", "part", "cls", "label", "set"))
-
-    def ask(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        a, b = _ask(q.drop_duplicates("cls"), g.drop_duplicates("cls"), percent) if len(q) and len(g) else ([], [])
+    matrix = rows.select("token", F.col("low").alias("to")).distinct().join(groups, "to")
+    # a class asks the groups that hold a label of higher rank, sizes near its own, and enough of its prefix; but not its own block
+    other = (F.col("low") != F.col("to")) | (F.col("parts") > 1)
+    near = (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
+    n, m_low, m_high = F.col("n"), F.greatest("least", smallest), F.least("most", F.floor(F.col("n") * 100 / percent))
+    both = lambda m: F.ceil((n + m) * percent / (100 + percent))
+    bound = F.least(slack(n) + 1 - (n - both(m_low)), slack(m_high) + 1 - (m_high - both(m_high)))
+    asks = (rows.join(matrix, "token").where(other & near & (F.col("rank") < F.col("top")))
+            .groupBy("to", "cls", "n", "label", "least", "most", "parts", "low", "salt").agg(F.count("*").alias("have"))
+            .where(F.col("have") >= bound)
+            .select("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"), "cls", "label", "low", "salt")
+            .where((F.col("low") != F.col("to")) | (F.col("salt") != F.col("block"))))
+    asks = materialize(asks.select("to", "block", "cls", "label"))
+    per = asks.groupBy("to", "block").agg(F.ceil(F.count("*") / (2 * block)).alias("parts"))
+    asking = asks.join(per, ["to", "block"]).select(
+        "to", "block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).alias("part"), "cls", "label", F.lit(True).alias("asks"))
+    opened = known.join(per, (known["low"] == per["to"]) & (known["salt"] == per["block"])).select(
+        "to", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "cls", "label", F.lit(False).alias("asks"))
+    wanted = materialize(asking.unionByName(opened))
+    some = filter_of(wanted.select(F.col("cls").alias("key")).distinct())
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(some.value, b.column(0).to_numpy().view(np.uint64))))
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, g = pdf[pdf["asks"]].drop_duplicates("cls"), pdf[~pdf["asks"]].drop_duplicates("cls")
+        a, b = _ask(q, g, percent) if len(q) and len(g) else ([], [])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    more = materialize(queries.groupBy("block", "part").cogroup(opened.groupBy("block", "part")).applyInPandas(ask, "a long, b long"))
+    picked = sets.select("cls", "tokens").mapInArrow(pick, "cls long, tokens binary")
+    more = materialize(wanted.join(picked, "cls").groupBy("to", "block", "part").applyInPandas(ask, "a long, b long"))
     whole = components(edges.unionByName(more))
 
     # component of each document: the smallest id among the documents of the classes of its component
@@ -273,7 +335,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _ask(q: pd.DataFrame, g: pd.DataFrame, percent: int) -> tuple[list[int], list[int]]:
     """Edges (query, member) for one member of each other label of the block that links with the query."""
-    members = [np.frombuffer(t, np.uint64) for t in g["set"]]
+    members = [np.frombuffer(t, np.uint64) for t in g["tokens"]]
     union = np.unique(np.concatenate(members))
     queries = [np.frombuffer(t, np.uint64) for t in q["tokens"]]
     n = np.array([len(s) for s in queries], np.int64)
