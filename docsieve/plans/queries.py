@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import bytes_ops as b
 from ..functions import geometry as g
 from ..operators import actions, audit, jobs, raster, revisions, vector
-from ..settings import DEFAULT, Settings
+from ..settings import Settings
+from . import file_queries
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -269,7 +270,7 @@ def document_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     document_screen, size_guard, magic_sniff, token_scan, action_chain, border_shapes, pages_flagged, background_color, raster_sides,
     raster_bars, raster_merge, channel_median, area_gate, audit_vectors, flat_image, text_under_box, tolerance_dedupe, audit_findings,
-    audit_report, revision_offsets, revision_report, prefix_slice, job_status, ttl_filter, one_time_read, payload_roundtrip)}
+    audit_report, revision_offsets, revision_report, prefix_slice, job_status, ttl_filter, one_time_read, payload_roundtrip)} | file_queries.QUERIES
 
 # ---- SQL ------------------------------------------------------------------------------------------------------------------------
 
@@ -405,4 +406,4 @@ ORACLES = {
     "ttl_filter": "SELECT event_id, user_id FROM events WHERE ts + INTERVAL 86400 SECOND > (SELECT max(ts) FROM events)",
     "one_time_read": "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 97 = 0 AND user_id IS NOT NULL)",
     "payload_roundtrip": "SELECT doc_id, md5(base64(encode(text))) AS digest, length(base64(encode(text)))::BIGINT AS n, true AS same FROM documents",
-}
+} | file_queries.ORACLES
