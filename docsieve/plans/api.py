@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,11 @@ def _kind(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """df kept in memory for the plans that read it several times; nothing goes to disk, and what memory can't hold is made again."""
+    return df.persist(StorageLevel.MEMORY_ONLY)
+
+
 def guards(files: DataFrame, settings: Settings = DEFAULT, pdf_only: bool = False) -> DataFrame:
     """files with kind and the first error of size, kind and forbidden tokens; only built-in functions, before anything is opened."""
     content = F.col("content")
@@ -105,7 +111,7 @@ def audit_redactions(files: DataFrame, settings: Settings = DEFAULT) -> tuple[Da
     """(findings, reports, errors) of the sanitised documents. Findings never hold the text that was found."""
     validated = validate(files, settings)
     pdfs = validated.where("error is null and kind = 'pdf'").select("doc_id", F.col("sanitized").alias("content"))
-    parsed = fs.parse_pdfs(pdfs, settings)
+    parsed = _once(fs.parse_pdfs(pdfs, settings))
     rel = fs.relations(parsed.where("error is null"))
     found = audit.findings(_candidates(rel, settings), rel["words"], settings)
     errors = (validated.select("doc_id", F.coalesce("error", F.when(F.col("kind") != "pdf", F.lit(
@@ -175,7 +181,7 @@ def discover_revisions(files: DataFrame, settings: Settings = DEFAULT) -> tuple[
 
     seen = good.select(
         "doc_id", "content", b.boundary_offsets(b.latin1(F.col("content")), most=settings.forensics_max_boundary_candidates).alias("offsets"))
-    parsed = seen.mapInArrow(run, f"doc_id {_kind(files)}, offsets array<long>, length long, slices array<{_SLICE}>, error string")
+    parsed = _once(seen.mapInArrow(run, f"doc_id {_kind(files)}, offsets array<long>, length long, slices array<{_SLICE}>, error string"))
     fine = parsed.where("error is null")
     slices = fine.select("doc_id", F.posexplode("slices").alias("pos", "s")).select("doc_id", (F.col("pos") + 1).alias("revision_index"), "s.*")
     revs = revisions.revisions(fine.select("doc_id", "length", "offsets"), settings).join(slices, ["doc_id", "revision_index"])
@@ -209,7 +215,7 @@ def extract_revision(files: DataFrame, doc_id, revision_index: int = 1, confirm_
 def clean_pdfs(pdfs: DataFrame, mode: str | None = None, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(outputs, flagged shapes) of sanitised PDFs (doc_id, content). mode 'redact' also takes out the text beneath; all else masks."""
     mode = mode or settings.vector_default_mode
-    parsed = fs.parse_pdfs(pdfs, settings)
+    parsed = _once(fs.parse_pdfs(pdfs, settings))
     rel = fs.relations(parsed.where("error is null"))
     shapes = vector.border_shapes(rel["drawings"], rel["pages"], settings)
     colors = vector.background_colors(shapes, rel["drawings"], rel["pages"])
@@ -300,10 +306,10 @@ def clean_images(images: DataFrame, mode: str | None = None, settings: Settings
 
 def process(files: DataFrame, vector_mode: str | None = None, raster_mode: str | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """Validate and clean files of any kind: doc_id, kind, output, output_format, pages_flagged, elapsed_seconds (3 places), error."""
-    validated = validate(files, settings)
+    validated = _once(validate(files, settings))
     good = lambda kind: validated.where((F.col("kind") == kind) & F.col("error").isNull()).select("doc_id", F.col("sanitized").alias("content"))
     pdf_out, _ = clean_pdfs(good("pdf"), vector_mode, settings)
-    decoded = decode_images(good("raster_image"))
+    decoded = _once(decode_images(good("raster_image")))
     image_out, _ = clean_images(decoded.where("error is null"), raster_mode, settings)
     none: Column = F.lit(None)
     cols = lambda df, kind, error: df.select("doc_id", F.lit(kind).alias("kind") if kind else "kind", "output", "output_format", "pages_flagged",
