@@ -180,8 +180,11 @@ def train(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
 def classify(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted; columns of these names are replaced."""
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    out = with_features(docs.select(*keep), text_col).withColumn("score", model.score())
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).select(*keep, "score", "predicted")
+    # the row travels as one struct, so that no column of it is mistaken for a statistic
+    rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("_c_row"), F.col(text_col).alias("_c_text"))
+    out = with_features(rows, "_c_text").withColumn("score", model.score())
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).select(
+        *(F.col("_c_row")[c].alias(c) for c in keep), "score", "predicted")
 
 
 def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

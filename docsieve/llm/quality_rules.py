@@ -5,7 +5,7 @@ sample, and the rules are then ordered by rejections per second, so that cheap r
 expression leaves the dear ones out for documents that are rejected already. The order never changes a verdict.
 
 Defined results: a null or empty text has no words and fails `few_words`; a null id is kept as it is; repeated rows are judged
-one by one; other columns pass through, and a column with the name of an output column is replaced; an empty table gives none.
+one by one; other columns pass through, and one with the name of a column that is added is replaced; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -115,17 +115,16 @@ def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
 def quality_rules(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
     """docs with `failed_rule` (the first rule in cascade order that rejects, or null), `kept`, and the measures in `columns`."""
     order = order_rules(docs, text) if rules is None else rules
-    made = {"failed_rule", "kept", "_q_words", "_q_lines", "_q_grams", "_q_sorted", "_q_starts", "n_words", "word_chars",
-            "n_symbols", "n_upper", "n_letters", "n_lines", "n_dup_lines", "n_repeat_words"}
-    if text in made:
-        raise ValueError(f"the text column can't be named {text}")
-    keep = [c for c in docs.columns if c not in made]
-    df = measure(docs.select(*keep), text, {x for r in order for x in r.needs} | set(columns))
+    keep = [c for c in docs.columns if c not in ("failed_rule", "kept", *columns)]
+    # the row travels as one struct, so that its columns and the measures can have equal names
+    df = docs.select(F.struct(*(F.col(c) for c in keep)).alias("_q_row"), F.col(text).alias("_q_text"))
+    df = measure(df, "_q_text", {x for r in order for x in r.needs} | set(columns))
     case = F
     for r in order:
         case = case.when(F.expr(r.reject), F.lit(r.name))
     df = df.withColumn("failed_rule", case.otherwise(F.lit(None)) if order else F.lit(None).cast("string"))
-    return df.withColumn("kept", F.col("failed_rule").isNull()).select(*keep, *columns, "failed_rule", "kept")
+    return df.withColumn("kept", F.col("failed_rule").isNull()).select(
+        *(F.col("_q_row")[c].alias(c) for c in keep), *columns, "failed_rule", "kept")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,8 @@ def test_order_of_rules_changes_no_verdict(spark):
     verdicts = {r["doc_id"]: r["kept"] for r in a.collect()}
     assert verdicts == {r["doc_id"]: r["kept"] for r in b.collect()}
     assert [verdicts[k] for k in range(len(ODD), len(texts))] == [True, False, False]
-    assert set(a.columns) == set(d.columns) - {"n_words"} | {"failed_rule", "kept"}
+    assert a.columns == [*d.columns, "failed_rule", "kept"] and {r["n_words"] for r in a.collect()} == {"clash"}
+    assert all(isinstance(r["n_words"], int) for r in b.collect())
     ranked = quality_rules.order_rules(d)
     assert sorted(r.name for r in ranked) == sorted(r.name for r in quality_rules.RULES) and quality_rules.order_rules(empty(spark)) == list(quality_rules.RULES)
 
@@ -283,7 +284,9 @@ def test_classifier_learns_and_scores_everything(spark, monkeypatch):
     out = [(r["predicted"], int(r["doc_id"] < 300)) for r in rows if r["held_out"] and r["doc_id"] < 420]
     assert sum(a == b for a, b in out) / len(out) > 0.97
     model = quality_classifier.fit(np.empty((0, 13)), np.empty(0))
+    d = d.withColumn("f_words", F.lit("clash"))
     scored = quality_classifier.classify(d, model)
+    assert {r["f_words"] for r in scored.collect()} == {"clash"}
     assert scored.count() == len(texts) and {r["score"] for r in scored.collect()} == {0.5} and scored.columns == [*d.columns, "score", "predicted"]
     assert quality_classifier.classify(empty(spark), model).count() == 0
 
