@@ -7,7 +7,8 @@ are left go to the queues with the largest credit. Documents are cut where a cre
 The work is dealt into epochs of about `epoch` sequences. Of a queue with T tokens, epoch e of n holds the tokens from
 floor(T * e / n) to floor(T * (e + 1) / n), so a queue's deficit is carried across epochs in closed form, and any task can
 work out the cuts of an epoch from the totals of the queues alone. Tokens are counted and kept in one pass, which writes a table;
-the only shuffle is that of token counts by partition and queue. Each epoch may end in one short sequence.
+token counts by partition and queue are shuffled, the ids only where those counts are too many to broadcast (`broadcast_rows`).
+Each epoch may end in one short sequence.
 
 Queues are sources; with more than `max_queues` sources they are hashed into as many queues, so what reaches the driver is bounded.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -76,6 +77,7 @@ class Epochs:
         self.totals, self.length = totals, length
         self.n = max(1, round(sum(totals) / (length * epoch)))
         self.stride = 4 * epoch  # sequence numbers of an epoch
+        self.most = max(4, 64_000_000 // (16 * (epoch + 2) * max(1, len(totals))))  # epochs kept, 64 MB of cuts
         self._cache: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
     def bounds(self, queue: int, e: int) -> int:
@@ -92,7 +94,7 @@ class Epochs:
     def cuts(self, e: int) -> tuple[np.ndarray, np.ndarray]:
         """For each queue the tokens served before each sequence (from 0), and its offset in each sequence."""
         if e not in self._cache:
-            if len(self._cache) >= 8:
+            if len(self._cache) >= self.most:
                 self._cache.popitem(last=False)
             self._cache[e] = self._serve(np.array([self.bounds(q, e + 1) - self.bounds(q, e) for q in range(len(self.totals))], np.int64))
         self._cache.move_to_end(e)
@@ -125,7 +127,8 @@ class Epochs:
 
 
 def pack(docs: DataFrame, tokenizer_json: str, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-         length: int = 2048, end_id: int = 1, epoch: int = 512, max_queues: int = 1024) -> DataFrame:
+         length: int = 2048, end_id: int = 1, epoch: int = 512, max_queues: int = 1024,
+         broadcast_rows: int = 300_000) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, unsigned 32-bit, little-endian).
 
     tokenizer_json, ranks and pattern: the vocabulary file, and optionally the same vocabulary as a rank file with its pattern.
@@ -171,11 +174,13 @@ def pack(docs: DataFrame, tokenizer_json: str, ranks: str | None = None, pattern
     names = sorted(totals)
     number = {q: k for k, q in enumerate(names)}
     plan = Epochs([totals[q] for q in names], length, epoch)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("queue").orderBy("part")
     offsets = parts.select("part", "queue", (F.sum("n").over(order) - F.col("n")).alias("base"))
-    placed = tokens.join(offsets, ["part", "queue"]).select("id", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
+    offsets = materialize(offsets)
+    # a task that reads the queues side by side needs the cuts of as many epochs as the queues are apart; where memory holds
+    # them, the ids stay where they are, else they are shuffled so that a queue's documents lie together
+    few = plan.most >= 128 and offsets.count() <= broadcast_rows
+    placed = tokens.join(F.broadcast(offsets) if few else offsets, ["part", "queue"]).select("id", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
