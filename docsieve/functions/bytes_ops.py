@@ -61,9 +61,10 @@ def token_error(hits: Column) -> Column:
 def boundary_offsets(text: Column, pattern: str = r"startxref\s+[0-9]+\s*%%EOF", most: int = DEFAULT.forensics_max_boundary_candidates) -> Column:
     """End offsets (exclusive, ascending) of the first `most` places of a pattern in a string of one character a byte.
 
-    The string is cut into stretches that each end with a match; running sums of their lengths are the offsets.
+    The string is cut into stretches that each end with a match; running sums of their lengths are the offsets. \\G holds each
+    stretch to the end of the one before, so what follows the last match is read once and not from every place in it.
     """
-    pieces = F.slice(F.regexp_extract_all(text, F.lit(f"(?s)(.*?{pattern})"), F.lit(1)), 1, most)
+    pieces = F.slice(F.regexp_extract_all(text, F.lit(f"(?s)\\G(.*?{pattern})"), F.lit(1)), 1, most)
     return F.aggregate(
         pieces, F.array().cast("array<long>"),
         lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + F.length(x)))

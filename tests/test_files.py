@@ -193,6 +193,8 @@ def test_caps_of_boundaries_and_reports(spark):
     many = b"%PDF-1.4 " + b"startxref 1 %%EOF\n" * 201
     bounds = revisions.boundaries(table(spark, a=many, b=b"%PDF-1.4 " + b"startxref 1 %%EOF\n" * 50))
     assert {r["doc_id"]: len(r["offsets"]) for r in bounds.collect()} == {"a": 200, "b": 50}
+    # no boundary at all in a long file: it is read once
+    assert revisions.boundaries(table(spark, a=b"%PDF-1.4 " + b"x1 " * 700_000)).first()["offsets"] == []
     revs = revisions.revisions(bounds)
     assert revs.groupBy("doc_id").count().where("count = 50").count() == 2
     rep = revisions.report(revs.withColumns({"openable": F.lit(False), "page_count": F.lit(None).cast("int")}), bounds)
