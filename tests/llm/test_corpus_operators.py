@@ -102,6 +102,18 @@ def test_jaccard_join_of_nothing_and_first_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4] and kept.columns == d.columns
 
 
+def test_pipeline_stage_drops_copies_between_080_and_090(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(104)]  # 100 shingles of five words
+    longer = lambda n: " ".join(words + [f"e{k}" for k in range(n)])
+    texts = [longer(0), longer(12), longer(25), " ".join(words[:-20]), " ".join(f"o{k}" for k in range(104)), longer(28)]
+    alone = lambda *rows: sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(spark, [texts[k] for k in rows], rows), "").collect())
+    assert alone(0, 1, 4) == alone(0, 2, 4) == alone(0, 3, 4) == [0, 4]  # 100/112, 100/125, 80/100
+    assert alone(0, 5) == [0, 5]  # 100/128
+    assert jaccard_join.jaccard_join(frame(spark, texts[:2])).select("component_id").distinct().count() == 2  # op3's own contract
+
+
 # ---- substring dedup ------------------------------------------------------------------------------------------------------------
 
 
