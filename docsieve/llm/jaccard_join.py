@@ -96,6 +96,17 @@ def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def least_common(n: Column, m_low: Column, m_high: Column, percent: int) -> Column:
+    """Least number of prefix tokens that a set of size n shares with a linked set of a size from m_low to m_high.
+
+    The second term falls with the size, but for rounding, by which it may be one smaller below m_high than there.
+    """
+    slack = lambda n: F.floor(n * (100 - percent) / 100)
+    both = lambda m: F.ceil((n + m) * percent / (100 + percent))
+    last = slack(m_high) + 1 - (m_high - both(m_high)) - F.when(m_low < m_high, 1).otherwise(0)
+    return F.greatest(F.lit(1), F.least(slack(n) + 1 - (n - both(m_low)), last))
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Sizes of the intersections of all sets of left with all of right."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -292,9 +303,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a class asks the groups that hold a label of higher rank, sizes near its own, and enough of its prefix; but not its own block
     other = (F.col("low") != F.col("to")) | (F.col("parts") > 1)
     near = (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
-    n, m_low, m_high = F.col("n"), F.greatest("least", smallest), F.least("most", F.floor(F.col("n") * 100 / percent))
-    both = lambda m: F.ceil((n + m) * percent / (100 + percent))
-    bound = F.least(slack(n) + 1 - (n - both(m_low)), slack(m_high) + 1 - (m_high - both(m_high)))
+    bound = least_common(F.col("n"), F.greatest("least", smallest), F.least("most", F.floor(F.col("n") * 100 / percent)), percent)
     asks = (rows.join(matrix, "token").where(other & near & (F.col("rank") < F.col("top")))
             .groupBy("to", "cls", "n", "label", "least", "most", "parts", "low", "salt").agg(F.count("*").alias("have"))
             .where(F.col("have") >= bound)

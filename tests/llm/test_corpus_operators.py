@@ -114,6 +114,41 @@ def test_pipeline_stage_drops_copies_between_080_and_090(spark):
     assert jaccard_join.jaccard_join(frame(spark, texts[:2])).select("component_id").distinct().count() == 2  # op3's own contract
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_least_common_holds_for_every_size_of_a_group(spark, percent):
+    def common_of(n, m):
+        both = -(-percent * (n + m) // (100 + percent))
+        return min(jaccard_join.spare(n, percent) + 1 - (n - both), jaccard_join.spare(m, percent) + 1 - (m - both))
+
+    want = {}
+    for n in range(1, 90):
+        low, high = -(-n * percent // 100), n * 100 // percent
+        for a in range(low, high + 1):
+            least = common_of(n, a)
+            for b in range(a, high + 1):
+                least = want[n, a, b] = min(least, common_of(n, b))
+    rows = spark.createDataFrame(list(want), "n long, a long, b long")
+    got = rows.withColumn("bound", jaccard_join.least_common(rows["n"], rows["a"], rows["b"], percent)).collect()
+    assert len(got) == len(want) and all(1 <= r["bound"] <= want[r["n"], r["a"], r["b"]] for r in got)
+
+
+def test_link_to_a_size_inside_a_group_is_found(spark):
+    """x links with y alone, by one prefix token; y and z are a group of sizes 29 and 30."""
+    def prefix(t):
+        s = jaccard_join.shingle_set(t, 3)
+        return set(s[:jaccard_join.spare(len(s), 90) + 1].tolist())
+
+    low = lambda t: jaccard_join.min_hash(jaccard_join.shingle_set(t, 3))
+    for seed in range(10_000):
+        w = [f"{chr(97 + k % 26)}{k:02d}{seed:04d}" for k in range(30)]
+        y = [w[0], "l" * 20, *w[1:]]
+        x, y, z = map(" ".join, (w, y, [*y[:-1], "m" * 40, y[-1]]))
+        if low(y) == low(z) != low(x) and len(prefix(x) & (prefix(y) | prefix(z))) == 1:
+            break
+    got = jaccard_join.jaccard_join(frame(spark, [x, y, z]))
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got.collect()) == [(28, 0), (29, 0), (30, 0)]
+
+
 # ---- substring dedup ------------------------------------------------------------------------------------------------------------
 
 
