@@ -10,7 +10,8 @@ work out the cuts of an epoch from the totals of the queues alone. Tokens are co
 token counts by partition and queue are shuffled, the ids only where those counts are too many to broadcast (`broadcast_rows`).
 Each epoch may end in one short sequence.
 
-Queues are sources; with more than `max_queues` sources they are hashed into as many queues, so what reaches the driver is bounded.
+Queues are sources. With more than `max_queues` sources their totals stay in a table: documents are cut at the bounds of epochs and
+shuffled by epoch, and a task takes the counts of an epoch from its rows. The pieces are the same, and the driver holds no queues.
 
 Defined results: a null or empty text is the end token alone; a null source is a queue of its own; null and repeated ids are
 packed row by row; other columns are left out; an empty table gives an empty result.
@@ -101,31 +102,34 @@ class Epochs:
         return self._cache[e]
 
     def _serve(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, total = tokens.copy(), int(tokens.sum())
-        credit = tokens / max(1, total) * self.length
-        deficit = np.zeros(len(tokens))
-        served = []
-        while total:
-            room = min(self.length, total)
-            deficit += credit
-            now = np.minimum(np.floor(deficit).clip(min=0).astype(np.int64), left)
-            over = int(now.sum()) - room
-            while over:  # fill up from the largest credits, or take back from the smallest
-                able = now < left if over < 0 else now > 0
-                order = np.argsort(np.where(able, now - deficit, np.inf) if over < 0 else np.where(able, deficit - now, np.inf), kind="stable")
-                order = order[:min(abs(over), int(able.sum()))]
-                now[order] += 1 if over < 0 else -1
-                over = int(now.sum()) - room
-            deficit -= now
-            left -= now
-            total -= room
-            served.append(now)
-        served = np.array(served, np.int64).reshape(-1, len(tokens))
+        served = np.array(list(_rounds(tokens, self.length)), np.int64).reshape(-1, len(tokens))
         before = np.zeros((len(served) + 1, len(tokens)), np.int64)
         np.cumsum(served, axis=0, out=before[1:])
         return before.T.copy(), (np.cumsum(served, axis=1) - served).T.copy()
 
 
+def _rounds(tokens: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """The tokens that each queue gives to each sequence of an epoch."""
+    left, total = tokens.copy(), int(tokens.sum())
+    credit = tokens / max(1, total) * length
+    deficit = np.zeros(len(tokens))
+    while total:
+        room = min(length, total)
+        deficit += credit
+        now = np.minimum(np.floor(deficit).clip(min=0).astype(np.int64), left)
+        over = int(now.sum()) - room
+        while over:  # fill up from the largest credits, or take back from the smallest
+            able = now < left if over < 0 else now > 0
+            order = np.argsort(np.where(able, now - deficit, np.inf) if over < 0 else np.where(able, deficit - now, np.inf), kind="stable")
+            order = order[:min(abs(over), int(able.sum()))]
+            now[order] += 1 if over < 0 else -1
+            over = int(now.sum()) - room
+        deficit -= now
+        left -= now
+        total -= room
+        yield now
+
+
 def pack(docs: DataFrame, tokenizer_json: str, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          length: int = 2048, end_id: int = 1, epoch: int = 512, max_queues: int = 1024,
          broadcast_rows: int = 300_000) -> DataFrame:
@@ -142,10 +146,8 @@ def pack(docs: DataFrame, tokenizer_json: str, ranks: str | None = None, pattern
             rank_file = spark.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()
 
-    # queues: the sources, or hashes of them where there are many
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))
-    many = docs.select(source.alias("s")).distinct().limit(max_queues + 1).count() > max_queues
-    queue = F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string") if many else source
+    queue = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))
+    many = docs.select(queue.alias("s")).distinct().limit(max_queues + 1).count() > max_queues
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec.value, rank_file and rank_file.value, pattern)
@@ -170,6 +172,8 @@ def pack(docs: DataFrame, tokenizer_json: str, ranks: str | None = None, pattern
     tokens = materialize(docs.select(F.col(id_col).alias("id"), queue.alias("queue"), F.col(text_col).alias("text")).mapInArrow(
         encode, f"id {kind}, queue string, part int, n long, at long, ids binary"))
     parts = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
+    if many:
+        return _by_epoch(tokens, parts, length, epoch, kind).withColumnRenamed("id", id_col)
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most max_queues rows
     names = sorted(totals)
     number = {q: k for k, q in enumerate(names)}
@@ -196,6 +200,78 @@ def pack(docs: DataFrame, tokenizer_json: str, ranks: str | None = None, pattern
     return out.withColumnRenamed("id", id_col)
 
 
+def _by_epoch(tokens: DataFrame, parts: DataFrame, length: int, epoch: int, kind: str) -> DataFrame:
+    """The pieces of any number of queues: one group of rows an epoch, of about length * epoch tokens."""
+    plan = Epochs([parts.agg(F.sum("n")).first()[0]], length, epoch)
+    n_epochs, stride = plan.n, plan.stride
+    same = Window.partitionBy("queue")
+    offsets = materialize(parts.select(
+        "part", "queue", (F.sum("n").over(same.orderBy("part")) - F.col("n")).alias("base"), F.sum("n").over(same).alias("total")))
+    placed = tokens.join(offsets, ["part", "queue"]).select("id", "queue", "total", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                s = b.slice(lo, 256)
+                row, number, here, start, held = [], [], [], [], []
+                for k, (total, at, n, raw) in enumerate(zip(*(s.column(c).to_pylist() for c in (2, 3, 4, 5)))):
+                    width, done, one = len(raw) // n, 0, Epochs([total], length, epoch)
+                    one.n = n_epochs
+                    while done < n:
+                        e = one.epoch_of(0, at + done)
+                        stop = min(n, one.bounds(0, e + 1) - at)
+                        row.append(k)
+                        number.append(e)
+                        here.append(at + done - one.bounds(0, e))
+                        start.append(done)
+                        held.append(raw[width * done:width * stop])
+                        done = stop
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [s.column(0).take(take), s.column(1).take(take), *(pa.array(x, pa.int64()) for x in (number, here, start)),
+                     s.column(4).take(take), pa.array([width] * len(row), pa.int32()), pa.array(held, pa.binary())],
+                    ["id", "queue", "epoch", "here", "start", "n", "width", "ids"])
+
+    def serve(t: pa.Table) -> pa.Table:
+        col = {c: t.column(c).to_pylist() for c in ("queue", "epoch", "here", "start", "n", "width", "ids")}
+        number = {q: k for k, q in enumerate(sorted(set(col["queue"])))}
+        counts = np.zeros(len(number), np.int64)
+        queues = np.array([number[q] for q in col["queue"]], np.int64)
+        np.add.at(counts, queues, [len(x) // w for x, w in zip(col["ids"], col["width"])])
+        cells = []  # sequence, queue, tokens, offset: at most one a token
+        for s, now in enumerate(_rounds(counts, length)):
+            some = np.flatnonzero(now)
+            k = now[some]
+            cells.append(np.stack([np.full(len(some), s), some, k, np.cumsum(k) - k]))
+        seq, of, got, offset = (cells := np.concatenate(cells, axis=1))[:, np.lexsort((cells[0], cells[1]))]
+        first = np.searchsorted(of, np.arange(len(number)))
+        before = np.cumsum(got) - got
+        before -= before[first][of]
+        row, *out = [[] for _ in range(8)]
+        for k, q in enumerate(queues.tolist()):
+            wide = np.frombuffer(col["ids"][k], np.uint16 if col["width"][k] == 2 else np.uint32).astype("<u4").tobytes()
+            done, size, here = 0, len(wide) // 4, col["here"][k]
+            end = first[q + 1] if q + 1 < len(first) else len(of)
+            c = int(first[q] + np.searchsorted(before[first[q]:end], here, "right")) - 1
+            while done < size:
+                inside = here + done - int(before[c])
+                k2 = min(size - done, int(got[c]) - inside)
+                piece = wide[4 * done:4 * (done + k2)]
+                row.append(k)
+                for x, v in zip(out, (col["start"][k] + done, k2, zlib.crc32(piece), col["n"][k], col["epoch"][k] * stride + int(seq[c]),
+                                      int(offset[c]) + inside, piece)):
+                    x.append(v)
+                done += k2
+                c += 1
+        return pa.Table.from_arrays(
+            [t.column("id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in out[:-1]), pa.array(out[-1], pa.binary())],
+            names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+
+    pieces = placed.mapInArrow(cut, f"id {kind}, queue string, epoch long, here long, start long, n long, width int, ids binary")
+    return pieces.groupBy("epoch").applyInArrow(
+        serve, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+
+
 def _pieces(plan: Epochs, queues: list[int], starts: list[int], sizes: list[int], ids: list[bytes]) -> list[list]:
     out: list[list] = [[] for _ in range(8)]
     row, start, length, crc, total, sequence, offset, held = out

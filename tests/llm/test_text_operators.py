@@ -264,6 +264,18 @@ def test_many_sources_become_bounded_queues(spark):
     assert len({r["doc_id"] for r in rows}) == 40 and sum(r["length"] for r in rows) == 40 * rows[0]["doc_tokens"]
 
 
+def test_pieces_are_the_same_past_the_bound_of_queues(spark):
+    rng = random.Random(17)
+    words = lambda n: " ".join(rng.choices(PIECES, k=n))
+    source = lambda k: None if k % 50 == 7 else "hot" if k % 2 else f"host{k % 90}"
+    rows = [(None if k == 5 else k % 380, words(rng.randint(0, 90)), source(k)) for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    d.cache().count()
+    some = lambda **more: sorted(map(repr, packing.pack(d, public.path("byte_bpe_50k.json"), length=128, epoch=8, **more).collect()))
+    whole = some()
+    assert some(max_queues=4) == whole and len(whole) > len(rows)
+
+
 # ---- quality classifier ---------------------------------------------------------------------------------------------------------
 
 
