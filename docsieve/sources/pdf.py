@@ -18,6 +18,7 @@ import numpy as np
 from .images import unfilter
 
 MAX_DEPTH = 25
+MAX_ACTIONS = 100_000  # past it a document is refused
 
 
 class PdfError(ValueError):
@@ -349,8 +350,10 @@ class Document:
 
         def walk(ref, given: dict, depth: int) -> None:
             node = self.get(ref)
-            if not isinstance(node, dict) or depth > 60 or isinstance(ref, Ref) and ref.num in seen:
+            if not isinstance(node, dict) or isinstance(ref, Ref) and ref.num in seen:
                 return
+            if depth > 60:
+                raise PdfError("the page tree is nested too deeply")
             if isinstance(ref, Ref):
                 seen.add(ref.num)
             given = given | {k: node[k] for k in ("MediaBox", "CropBox", "Resources", "Rotate") if k in node}
@@ -390,8 +393,10 @@ class Document:
 
         def chain(value, origin: str, parent: int | None, depth: int) -> None:
             action = self.get(value)
-            if not isinstance(action, dict) or depth > MAX_DEPTH or len(out) > 100_000:
+            if not isinstance(action, dict) or depth > MAX_DEPTH:
                 return
+            if len(out) >= MAX_ACTIONS:
+                raise PdfError("there are too many actions")
             number = len(out)
             out.append({"origin": origin, "action_id": number, "parent_id": parent, "subtype": str(self.get(action.get("S")) or "")})
             after = self.get(action.get("Next"))
@@ -627,7 +632,9 @@ class Painter:
                     x = doc.get(ref)
                     if not isinstance(x, Stream):
                         continue
-                    if x.head.get("Subtype") == "Form" and depth < 12:
+                    if x.head.get("Subtype") == "Form":
+                        if depth >= 12:
+                            raise PdfError("forms are nested too deeply")
                         flush()
                         m = tuple(float(doc.get(v)) for v in doc.get(x.head.get("Matrix")) or (1, 0, 0, 1, 0, 0))
                         self._run(doc.data(x), doc.get(x.head.get("Resources")) or resources, _times(m, s["ctm"]), {"fill": s["fill"], "ca": s["ca"]}, depth + 1)

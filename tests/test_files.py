@@ -132,6 +132,37 @@ def test_triggers_of_pages_annotations_and_fields(spark):
 # ---- audit ----------------------------------------------------------------------------------------------------------------------
 
 
+def nested_forms(n):
+    """A page whose text lies inside n forms."""
+    inner = b"BT /F1 12 Tf 72 700 Td (hidden) Tj ET"
+    forms = [b"<</Type/XObject/Subtype/Form/Resources<</XObject<</X %d 0 R>>/Font<</F1 3 0 R>>>>/Length %d>>stream\n%s\nendstream"
+             % (101 + k, len(c), c) for k, c in enumerate([b"/X Do"] * (n - 1) + [inner])]
+    return pdf([b"/X Do"], extra=forms, page=b"/Resources<</XObject<</X 100 0 R>>>>")
+
+
+def deep_pages(n):
+    objs = {1: b"<</Type/Catalog/Pages 100 0 R>>", 3: b"<</Type/Page/MediaBox[0 0 612 792]>>"}
+    objs |= {100 + k: b"<</Type/Pages/Count 1/Kids[%d 0 R]>>" % (101 + k if k < n - 1 else 3) for k in range(n)}
+    return write(b"%PDF-1.4\n", objs, b"/Root 1 0 R")
+
+
+def many_actions(n):
+    return pdf([text(72, 700, b"x")], root=b"/AA<</WC<</S/GoTo/Next[%s<</S/Laun#63h>>]>>>>" % (b"<</S/GoTo>>" * n))
+
+
+def test_a_document_past_a_limit_is_refused_not_judged_on_a_part(spark):
+    assert [w["word"] for w in fs.parse_one(nested_forms(12))["words"]] == ["hidden"]
+    assert len(fs.parse_one(deep_pages(60))["pages"]) == 1
+    assert [a["subtype"] for a in fs.parse_one(many_actions(3))["actions"]][-1] == "Launch"
+    past = {"forms": nested_forms(13), "page tree": deep_pages(62), "actions": many_actions(100_001)}
+    for what, raw in past.items():
+        got = fs.parse_one(raw)
+        assert what in (got["error"] or "") and not got["words"] and not got["actions"], what
+    judged = errors(api.validate(table(spark, **past)))
+    assert judged["page tree"] and judged["actions"]  # what is drawn is read by the audit
+    assert {r["doc_id"] for r in api.audit_redactions(table(spark, **past))[2].collect()} == set(past)
+
+
 def test_audit_end_to_end(spark):
     secret = text(72, 700, b"top secret")
     docs = table(spark, over=pdf([secret + box(70, 690, 200, 30)]), clear=pdf([secret + box(70, 300, 200, 30)]), none=pdf([secret]),
