@@ -10,6 +10,7 @@ Only the text is an input of a score. Rows whose crc32(id as text) mod 5 is 0 ar
 Defined results: null and empty texts are scored from statistics that are all 0; a null id is not held out and has no label;
 repeated rows are scored one by one; rows with a null label are left out of training; without labels of both classes the score
 is the share of label 1 (0.5 without any label); an empty table gives an empty result.
+With fewer than 60 labelled rows, or where they allow no split, no rule is fitted either, and every text gets that share.
 """
 
 from __future__ import annotations
@@ -148,6 +149,8 @@ def fit(v: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, most_rule
             rules[tuple(sorted(path))] = None
             if leaf:
                 score[_holds(v, path)] += 0.3 * value
+    if not rules:
+        return RuleModel(float(np.log(share / (1 - share))))
     names = list(rules)
     m = np.stack([_holds(v, r) for r in names], 1).astype(np.float32)
     test = rng.random(len(y)) < 0.25

@@ -303,6 +303,14 @@ def test_classifier_learns_and_scores_everything(spark, monkeypatch):
     assert quality_classifier.classify(empty(spark), model).count() == 0
 
 
+def test_few_labels_give_the_share_of_label_1():
+    v, y = np.arange(60.0)[:, None].repeat(13, axis=1), (np.arange(60) >= 20).astype(float)
+    few, unsplit = quality_classifier.fit(v[:59], y[:59]), quality_classifier.fit(v * 0, y)
+    assert few.rules == unsplit.rules == () and np.allclose([few.bias, unsplit.bias], np.log([39 / 20, 2]))
+    quality_classifier.fit(v, y)
+    assert "fewer than 60" in quality_classifier.__doc__
+
+
 def test_held_out_labels_have_no_influence(spark):
     texts = ["one two three. " * (k % 7 + 1) for k in range(400)]
     features = quality_classifier.quality_features(docs(spark, texts))
