@@ -1,16 +1,18 @@
 """Quality rules as a short-circuit cascade of Column expressions.
 
-Each rule rejects a document on one measured quantity. The cost and the selectivity of every rule are estimated on a bounded
-sample, and the rules are then ordered by rejections per second, so that cheap rules that reject much run first and a CASE
-expression leaves the dear ones out for documents that are rejected already. The order never changes a verdict.
-
-Defined results: a null or empty text has no words and fails `few_words`; a null id is kept as it is; repeated rows are judged
-one by one; other columns pass through, and one with the name of a column that is added is replaced; an empty table gives none.
+Each rule rejects a document on one or two measured quantities. The cost and the selectivity of every rule are estimated on a
+bounded sample, and the rules are then ordered by rejections per cost, so that cheap rules that reject much run first. A measure
+is computed inside a CASE, only for the rows that no earlier rule rejects; so the order decides what is computed, never a verdict.
+Measures that the caller asks for are computed for all rows.
+
+Defined results: a null or empty text has no words and fails `few_words`; ids are not read, so null and repeated ones are kept as
+they are; repeated rows are judged one by one; texts of any length are measured whole; other columns pass through, and one with
+the name of a column that is added is replaced; an empty table gives none.
 """
 
 from __future__ import annotations
 
-import time
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,81 +57,136 @@ def _covered(starts: Column, n: int = GRAM) -> Column:
     return F.when(last == 0, F.lit(0).cast("long")).when(last == 1, F.lit(n).cast("long")).otherwise(inner + n)
 
 
-def measure(docs: DataFrame, text: str, needs: set[str]) -> DataFrame:
-    """Add the wanted measures as long columns; helper columns start with _q_."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs
-    if needs & {"n_words", "word_chars", "n_repeat_words"}:
-        df = df.withColumn("_q_words", words_col(F.col(text)))
-        df = df.withColumn("n_words", F.size("_q_words").cast("long"))
-    cols: dict[str, Column] = {}
-    if "word_chars" in needs:
-        cols["word_chars"] = F.length(F.array_join("_q_words", "")).cast("long")
-    if "n_symbols" in needs:
-        cols["n_symbols"] = (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long")
-    if "n_upper" in needs:
-        cols["n_upper"] = (F.length(t) - F.length(F.regexp_replace(t, r"[A-Z]+", ""))).cast("long")
-    if "n_letters" in needs:
-        cols["n_letters"] = F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("long")
-    if needs & {"n_lines", "n_dup_lines"}:
-        df = df.withColumn("_q_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-        cols["n_lines"] = F.size("_q_lines").cast("long")
-        cols["n_dup_lines"] = (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long")
-    if "n_repeat_words" in needs:
-        # 64-bit hashes of all windows; only texts in which one occurs twice are looked at further
-        df = df.withColumn("_q_grams", F.when(
-            F.col("n_words") >= GRAM,
-            F.transform(F.sequence(F.lit(1), F.size("_q_words") - (GRAM - 1)),
-                        lambda i: F.xxhash64(F.slice("_q_words", i, GRAM)))))
-        df = df.withColumn("_q_sorted", F.when(
-            F.size(F.array_distinct("_q_grams")) < F.size("_q_grams"),
-            F.array_sort(F.transform("_q_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-        s = F.col("_q_sorted")
-        same = lambda j, k: F.get(s, j)["h"] == F.get(s, k)["h"]
-        df = df.withColumn("_q_starts", F.array_sort(F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(s) - 1),
-                     lambda j: F.coalesce(same(j, j + 1), F.lit(False)) | F.when(j > 0, same(j, j - 1)).otherwise(False)),
-            lambda j: F.get(s, j)["i"])))
-        cols["n_repeat_words"] = F.when(s.isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("_q_starts")))
-    return df.withColumns(cols) if cols else df
-
-
-def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 256) -> list[Rule]:
-    """The rules by rejections per second, both measured on at most `sample_rows` rows."""
-    sample = docs.select(F.col(text).alias("text")).sample(0.05, seed=11).limit(sample_rows).cache()
-    try:
-        n = sample.count()
-        if not n:
-            return list(rules)
-        ranked = []
-        for r in rules:
-            began = time.monotonic()
-            bad = measure(sample, "text", set(r.needs)).select(
-                F.count_if(F.expr(r.reject)).alias("bad")).first()["bad"]
-            ranked.append(((bad + 0.5) / (n + 1) / max(time.monotonic() - began, 1e-6), r))
-        return [r for _, r in sorted(ranked, key=lambda x: -x[0])]
-    finally:
-        sample.unpersist()
-
-
-def quality_rules(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
-    """docs with `failed_rule` (the first rule in cascade order that rejects, or null), `kept`, and the measures in `columns`."""
-    order = order_rules(docs, text) if rules is None else rules
+def _repeated(words: Column, n_words: Column) -> dict[str, Column]:
+    """Helper columns of n_repeat_words: 64-bit hashes of all windows; only texts in which one occurs twice are looked at further."""
+    s = F.col("_q_sorted")
+    same = lambda j, k: F.get(s, j)["h"] == F.get(s, k)["h"]
+    return {
+        "_q_grams": F.when(n_words >= GRAM, F.transform(F.sequence(F.lit(1), F.size(words) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(words, i, GRAM)))),
+        "_q_sorted": F.when(F.size(F.array_distinct("_q_grams")) < F.size("_q_grams"),
+                            F.array_sort(F.transform("_q_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
+        "_q_starts": F.array_sort(F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: F.coalesce(same(j, j + 1), F.lit(False)) | F.when(j > 0, same(j, j - 1)).otherwise(False)),
+            lambda j: F.get(s, j)["i"])),
+    }
+
+
+#: What each measure reads of other measures and helper columns; all else comes from the text.
+READS = {"_q_words": (), "n_words": ("_q_words",), "word_chars": ("_q_words",), "n_symbols": (), "n_upper": (), "n_letters": (), "_q_lines": (),
+         "n_lines": ("_q_lines",), "n_dup_lines": ("_q_lines",), "_q_grams": ("_q_words", "n_words"), "_q_sorted": ("_q_grams",), "_q_starts": ("_q_sorted",),
+         "n_repeat_words": ("_q_starts",)}
+
+
+def _measures() -> dict[str, Column]:
+    """Each measure over `_q_text` and the columns that it reads."""
+    t, words, lines = F.coalesce(F.col("_q_text"), F.lit("")), F.col("_q_words"), F.col("_q_lines")
+    without = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))).cast("long")
+    return {
+        "_q_words": words_col(F.col("_q_text")),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": without(r"[#*$%&|<>]+"),
+        "n_upper": without(r"[A-Z]+"),
+        "n_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("long"),
+        "_q_lines": F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        **_repeated(words, F.col("n_words")),
+        "n_repeat_words": F.when(F.col("_q_sorted").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("_q_starts"))),
+    }
+
+
+def _with_needs(names: set[str] | tuple[str, ...]) -> list[str]:
+    """The measures and all that they read, each after what it reads."""
+    out: list[str] = []
+
+    def add(name: str) -> None:
+        for need in READS[name]:
+            add(need)
+        if name not in out:
+            out.append(name)
+
+    for name in sorted(names):
+        add(name)
+    return out
+
+
+#: Nanoseconds that a measure takes for each code point, word and line of a text, timed once over whole texts of `documents`.
+#: What it costs a corpus is estimated from the code points, words and lines of the sample; only ratios matter.
+COST = {"_q_words": (128, 0, 0), "n_words": (0, 0, 0), "word_chars": (11, 0, 0), "n_symbols": (95, 0, 0), "n_upper": (86, 0, 0), "n_letters": (139, 0, 0),
+        "_q_lines": (43, 0, 0), "n_lines": (0, 0, 0), "n_dup_lines": (0, 0, 200), "_q_grams": (0, 2090, 0), "_q_sorted": (0, 430, 0), "_q_starts": (0, 200, 0),
+        "n_repeat_words": (0, 100, 0)}
+
+
+def measure(df: DataFrame, names: set[str] | tuple[str, ...]) -> DataFrame:
+    """df (with the text as _q_text) with these measures, and what they read."""
+    measures = _measures()
+    for name in _with_needs(names):
+        df = df.withColumn(name, measures[name])
+    return df
+
+
+def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1024,
+                computed: tuple[str, ...] = ()) -> list[Rule]:
+    """The rules by rejections per cost, both estimated on about `sample_rows` rows of docs.
+
+    One job gives, for each set of rules that reject a row, how many rows there are and their code points, words and lines. Rules
+    are then chosen one by one: of the rows that the rules before it leave, the one that rejects most for the cost of the measures
+    that aren't there yet. `computed`: measures that all rows get anyway. Equal tables in equal files give equal orders.
+    """
+    n = docs.count()
+    if not n or not rules:
+        return list(rules)
+    rows = docs.select(F.col(text).alias("_q_text")).where(F.rand(11) * n < sample_rows)
+    rows = measure(rows, {x for r in rules for x in r.needs} | {"n_words", "n_lines"})
+    mask = sum((F.when(F.expr(r.reject), F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(rules)), F.lit(0))
+    groups = rows.groupBy(mask.alias("mask")).agg(  # at most 2 ** len(rules) rows
+        F.count("*").alias("rows"), F.sum(F.coalesce(F.length("_q_text"), F.lit(0))).alias("chars"), F.sum("n_words").alias("words"), F.sum("n_lines").alias("lines")).collect()
+    order, there = [], set(_with_needs(computed))
+    while len(order) < len(rules):
+        units = [sum(g[c] for g in groups) for c in ("chars", "words", "lines")]
+
+        def worth(k: int) -> float:
+            new = set(_with_needs(rules[k].needs)) - there
+            cost = 1.0 + sum(a * b for m in new for a, b in zip(COST[m], units))
+            return (0.5 + sum(g["rows"] for g in groups if g["mask"] >> k & 1)) / cost
+
+        best = max((k for k in range(len(rules)) if rules[k] not in order), key=worth)
+        order.append(rules[best])
+        there |= set(_with_needs(rules[best].needs))
+        groups = [g for g in groups if not g["mask"] >> best & 1]
+    return order
+
+
+def some_files(docs: DataFrame, most: int = 8) -> DataFrame:
+    """The rows of at most `most` files of a Parquet table, chosen by their names' hashes; of what is no such table, all rows."""
+    files = sorted(docs.inputFiles(), key=lambda f: (zlib.crc32(f.rsplit("/", 1)[-1].encode()), f))[:most]
+    return docs.sparkSession.read.schema(docs.schema).parquet(*files) if files else docs
+
+
+def quality_rules(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, columns: tuple[str, ...] = (), sample: DataFrame | None = None) -> DataFrame:
+    """docs with `failed_rule` (the first rule in cascade order that rejects, or null), `kept`, and the measures in `columns`.
+
+    sample: rows to estimate the order of the rules on, where docs itself shouldn't be read for that.
+    """
+    order = order_rules(docs if sample is None else sample, text, computed=columns) if rules is None else rules
     keep = [c for c in docs.columns if c not in ("failed_rule", "kept", *columns)]
     # the row travels as one struct, so that its columns and the measures can have equal names
     df = docs.select(F.struct(*(F.col(c) for c in keep)).alias("_q_row"), F.col(text).alias("_q_text"))
-    df = measure(df, "_q_text", {x for r in order for x in r.needs} | set(columns))
-    case = F
-    for r in order:
-        case = case.when(F.expr(r.reject), F.lit(r.name))
-    df = df.withColumn("failed_rule", case.otherwise(F.lit(None)) if order else F.lit(None).cast("string"))
-    return df.withColumn("kept", F.col("failed_rule").isNull()).select(
-        *(F.col("_q_row")[c].alias(c) for c in keep), *columns, "failed_rule", "kept")
+    df, there, failed, measures = measure(df, columns), set(_with_needs(columns)), F.lit(None).cast("string"), _measures()
+    for k, r in enumerate(order):
+        for name in _with_needs(r.needs):
+            if name not in there:  # only for rows that no rule before this one rejects
+                df = df.withColumn(name, F.when(failed.isNull(), measures[name]))
+                there.add(name)
+        df = df.withColumn(f"_q_failed_{k}", F.when(failed.isNotNull(), failed).when(F.expr(r.reject), F.lit(r.name)))
+        failed = F.col(f"_q_failed_{k}")
+    return df.select(*(F.col("_q_row")[c].alias(c) for c in keep), *columns, failed.alias("failed_rule"), failed.isNull().alias("kept"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = quality_rules(docs, columns=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    out = quality_rules(docs, columns=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), sample=some_files(docs))
     base = F.expr(" or ".join(f"({r.reject})" for r in BASE))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"))
