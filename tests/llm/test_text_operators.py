@@ -4,6 +4,7 @@ import collections
 
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -87,16 +88,45 @@ def plain_rules(t):
     hit = {p for s in grams.values() if len(s) > 1 for i in s for p in range(i, i + 8)}
     lines = [x for x in t.split("\n") if WORDS.search(x)]
     n = len(w)
-    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), n < 20 or 100 * len(hit) > 30 * n
+    base = n < 20 or 100 * len(hit) > 30 * n
+    chars, symbols, double = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines))
+    kept = not (base or chars > 12 * n or chars < 2 * n or 10 * symbols > n or 10 * double > 3 * len(lines)
+                or 2 * len(re.findall("[A-Z]", t)) > chars or 2 * sum(unicodedata.category(c)[0] == "L" for c in t) < chars)
+    return n, chars, symbols, double, len(hit), base, kept
 
 
 def test_quality_rules_against_a_loop(spark, monkeypatch):
     rng = random.Random(3)
     texts = [*ODD, *(" ".join(rng.choices(["a", "b", "c#", "dd", "\n", "é"], k=rng.randint(0, 90))) for _ in range(150))]
     monkeypatch.setattr(quality_rules, "table", lambda *a: docs(spark, texts))
-    for r in quality_rules.op7_quality_rules(spark, "").collect():
-        assert tuple(r)[1:7] == plain_rules(texts[r["doc_id"]])
-        assert not (r["base_failed"] and r["kept"])
+    texts += ["THE WORDS OF THIS TEXT ARE CAPITALS " + " ".join(f"WORD{chr(65 + i)}" for i in range(30)), " ".join(f"{i * 7919:08d}" for i in range(40))]
+    ids = [*range(len(texts) - 2), None, 0]
+    texts[-1] = None
+    monkeypatch.setattr(quality_rules, "table", lambda *a: docs(spark, texts, ids))
+    rows = quality_rules.op7_quality_rules(spark, "").collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(repr((i, *plain_rules(t))) for i, t in zip(ids, texts))
+
+
+def test_a_measure_is_only_computed_for_rows_that_earlier_rules_leave(spark, monkeypatch):
+    d = docs(spark, [None, "too few words", "a b c"])
+    real = quality_rules._measures
+    monkeypatch.setattr(quality_rules, "_measures", lambda: real() | {"n_letters": F.raise_error(F.lit("computed")).cast("long")})
+    by_name = {r.name: r for r in quality_rules.RULES}
+    first, last = by_name["few_words"], by_name["no_letters"]
+    assert {r["failed_rule"] for r in quality_rules.quality_rules(d, rules=[first, last]).collect()} == {"few_words"}
+    with pytest.raises(Exception, match="computed"):
+        quality_rules.quality_rules(d, rules=[last, first]).collect()
+
+
+def test_order_is_by_rejections_per_cost_and_the_same_in_every_run(spark):
+    # all rows fail the dear rule, a third the cheap one; then, no row the cheap one
+    some = docs(spark, [" ".join(["word tree lake road hill sand moon rain bird fish stone wood"] * 8) + (" # # # # # # # # # # # # # # # #" if k % 3 == 0 else "") for k in range(60)])
+    names = lambda d: [r.name for r in quality_rules.order_rules(d)]
+    assert names(some) == names(some)
+    assert names(some).index("symbols") < names(some).index("repeated_words")
+    none = docs(spark, [" ".join(["word tree lake road hill sand"] * 12) for _ in range(60)])
+    assert names(none).index("repeated_words") < names(none).index("symbols")
+    assert names(some.where("false")) == [r.name for r in quality_rules.RULES]
 
 
 def test_order_of_rules_changes_no_verdict(spark):
@@ -131,14 +161,48 @@ def test_secret_spans(spark, tmp_path):
     assert secret_scans.redact(d).columns == d.columns and secret_scans.secret_scan(empty(spark)).count() == 0
 
 
-def test_ledger_scans_a_blob_once(spark, tmp_path):
-    ledger = str(tmp_path / "ledger")
+def scanned(spark, ledger):
+    """The (blob, rule) pairs of a ledger, in order of nothing."""
+    return [(r["blob"], x) for r in spark.read.parquet(ledger).collect() for x in r["scanned"]]
+
+
+def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
+    ledger, rules = str(tmp_path / "ledger"), secret_scans.RULES
     first = docs(spark, ["a secret=abcdefghijklmnop", "b", "b"])
     assert secret_scans.secret_scan(first, ledger=ledger).count() == 3
-    assert spark.read.parquet(ledger).count() == 2
+    assert len(scanned(spark, ledger)) == 2 * len(rules)
     again = secret_scans.secret_scan(docs(spark, ["b", "a secret=abcdefghijklmnop", "c", None]), ledger=ledger)
     assert sorted((r["doc_id"], len(r["findings"])) for r in again.collect()) == [(0, 0), (1, 1), (2, 0), (3, 0)]
-    assert spark.read.parquet(ledger).count() == 4
+    pairs = scanned(spark, ledger)
+    assert len(pairs) == len(set(pairs)) == 4 * len(rules)
+    # one rule changes: only its pairs are scanned, and its old findings count no more
+    changed = tuple(secret_scans.Rule(r.kind, re.compile("zzz"), 0, 0, 2) if r.kind == "assign" else r for r in rules)
+    found = secret_scans.secret_scan(first, ledger=ledger, rules=changed).collect()
+    assert len(scanned(spark, ledger)) == 4 * len(rules) + 2 and all(r["findings"] == [] for r in found)
+    assert [len(r["findings"]) for r in secret_scans.secret_scan(first, ledger=ledger).orderBy("doc_id").collect()] == [1, 0, 0]
+    assert len(scanned(spark, ledger)) == 4 * len(rules) + 2
+    # an equal ledger row of a run at the same time changes nothing
+    spark.read.parquet(ledger).write.parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("append").parquet(ledger)
+    assert [len(r["findings"]) for r in secret_scans.secret_scan(first, ledger=ledger).orderBy("doc_id").collect()] == [1, 0, 0]
+
+
+def test_secrets_of_every_version_of_a_path(spark):
+    key = "password=abcdefghijklmnop"
+    rows = [("a.txt", 1, key), ("a.txt", 2, "clean"), ("b.txt", 1, key), (None, 1, key + "x" * 100_000), (None, None, None), ("a.txt", 1, key)]
+    d = spark.createDataFrame(rows, "path string, version int, text string")
+    got = secret_scans.secret_scan(d, "path", versions=("version",)).collect()
+    assert sorted((str(r["path"]), str(r["version"]), len(r["findings"])) for r in got) == sorted((str(p), str(v), int("pass" in (t or ""))) for p, v, t in rows)
+    assert len({r["blob"] for r in got}) == 4
+    long = secret_scans.redact(docs(spark, ["x " * 200_000 + key, key, key], [None, 4, 4])).collect()
+    assert [r["text"][-10:] for r in long if r["doc_id"] is None] == ["x [SECRET]"] and [r["text"] for r in long if r["doc_id"] == 4] == ["[SECRET]"] * 2
+
+
+def test_registered_secret_query_goes_through_a_ledger(spark, monkeypatch):
+    texts = [f"text {k % 15} token = abcdefghijkl{k % 15:02d}" if k % 2 else f"plain {k}" for k in range(40)]
+    monkeypatch.setattr(secret_scans, "table", lambda *a: docs(spark, texts, [*range(38), None, 3]))
+    rows = secret_scans.op8_secret_scans(spark, "").collect()
+    assert sorted((str(r["doc_id"]), r["n_assign"]) for r in rows) == sorted((str(i), k % 2) for k, i in enumerate([*range(38), None, 3]))
 
 
 # ---- licences -------------------------------------------------------------------------------------------------------------------
