@@ -16,7 +16,7 @@ Documents with equal sets of shingles are one class; a class stands for all its
 
 So no pair of documents is left out, no pairs within a family are listed, and what one task holds is bounded by blocks of classes.
 
-Defined results: null texts and texts without words have an empty set and link with nothing; a null id has no component but its
+Defined results: ids must be integers, others are refused with a TypeError; null texts and texts without words have an empty set and link with nothing; a null id has no component but its
 text still links others; repeated rows link as copies; other columns are left out; an empty table gives an empty result.
 """
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, bitmap, components, gram_hashes, in_bitmap, materialize, mix64, table, word_hashes
+from .common import LOWER, bitmap, components, gram_hashes, in_bitmap, integer_ids, materialize, mix64, table, word_hashes
 
 _TOP = np.uint64(1 << 63)
 
@@ -167,7 +167,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = integer_ids(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     # 1. classes of all documents; tokens found 4 times or more among 4 million, of which there can't be more than a million
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
