@@ -181,6 +181,55 @@ def test_substring_dedup_against_a_loop(spark, window, bits):
     assert substring_dedup.substring_dedup(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 3])
+def test_long_passages_in_pieces_and_split_shards(spark, piece):
+    rng = random.Random(piece)
+    long = [f"v{rng.randrange(10_000)}" for _ in range(400)]
+    texts = [" ".join(long), "head " + " ".join(long[3:370]) + " tail", *["same row " + " ".join(long[:90])] * 30, " ".join(long[60:160] + long[10:70]), *family(rng, 20)]
+    ids = [5, 2, *[9] * 30, 11, *range(20, len(texts) - 13)]
+    got = substring_dedup.substring_dedup(frame(spark, texts, ids), window=7, shard_bytes=1000, piece=piece)
+    rows = sorted(map(repr, ((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got.collect())))
+    assert rows == sorted(map(repr, plain_dedup(list(zip(ids, texts)), 7)))
+
+
+def strip(texts, known, window=7):
+    import pandas as pd
+
+    docs = pd.DataFrame(texts, columns=["doc_id", "text"])
+    return {r[0]: r[2] for r in substring_dedup._strip(docs, pd.DataFrame(known, columns=["lo", "words"]), window)}
+
+
+def test_the_automaton_and_the_words_decide_what_goes(monkeypatch):
+    import ahocorasick
+
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(30)]
+    texts = [(k, " ".join(rng.choices("abcdef", k=20) + passage[k % 5:] + rng.choices("abcdef", k=20))) for k in range(3, 12)] + [(1, " ".join(passage)), (50, "other " * 30)]
+    known = [(2, " ".join(passage))]
+    want = {i: 0 if i in (1, 50) else 30 - i % 5 for i, _ in texts}
+    assert strip(texts, known) == want
+    assert set(strip(texts, [(2, " ".join(passage[:4] + ["else"] + passage[5:])), (2, "a b c d e f g h")]).values()) != set(want.values())
+    # hashes that tell nothing apart, as far as anchors stay the same in equal windows, change nothing
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup, "word_hashes", lambda w: np.array([len(x) % 2 for x in w], np.uint64))
+        assert strip(texts, known) == want
+    # an automaton that finds nothing removes nothing
+    class Empty:
+        add_word = make_automaton = lambda self, *a: None
+        iter = lambda self, *a: iter(())
+        __len__ = lambda self: 1
+
+    monkeypatch.setattr(ahocorasick, "Automaton", Empty)
+    assert set(strip(texts, known).values()) == {0}
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    d = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for f in (substring_dedup.substring_dedup, jaccard_join.jaccard_join):
+        with pytest.raises(TypeError, match="must be an integer column"):
+            f(d)
+
+
 # ---- decontamination ------------------------------------------------------------------------------------------------------------
 
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
