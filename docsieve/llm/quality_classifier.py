@@ -1,16 +1,17 @@
 """Quality classifier: a sparse ensemble of conjunctive rules, compiled into Column expressions.
 
 Documents are described by statistics of their text, made by built-in functions. Shallow boosted trees are grown on a bounded
-sample of labelled rows (`max_rows`, the rows with the smallest hashes of their ids); every path of a tree is a rule, a
+sample of labelled rows (`max_rows`, chosen by hashes of their ids before any text is read); every path of a tree is a rule, a
 conjunction of thresholds. A lasso-penalised logistic regression over the rules keeps few of them, its penalty chosen on a part
 of the sample that it isn't fitted to. The kept rules and weights become one Column expression, so scoring is a projection.
 
 Only the text is an input of a score. Rows whose crc32(id as text) mod 5 is 0 are held out: their labels are never read.
 
 Defined results: null and empty texts are scored from statistics that are all 0; a null id is not held out and has no label;
-repeated rows are scored one by one; rows with a null label are left out of training; without labels of both classes the score
-is the share of label 1 (0.5 without any label); an empty table gives an empty result.
-With fewer than 60 labelled rows, or where they allow no split, no rule is fitted either, and every text gets that share.
+texts of any length are measured whole; repeated rows are scored one by one, and of the texts of one id and label, the one with
+the smallest statistics is trained on; rows with a null label are left out of training; without labels of both classes, or where
+the statistics allow no split, the score is the share of label 1 (0.5 without any label); an empty table gives an empty result.
+Few labels give small leaves: a leaf has a twentieth of the rows, 15 at most.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, words_col
+from .common import table, words_col
 
 FEATURES = ("words", "word_length", "symbols", "marks", "capitals", "letters", "digits", "lines", "double_lines", "distinct",
             "one_letter", "long_words", "ends")
@@ -74,9 +75,10 @@ class RuleModel:
 
 def _grow(x: np.ndarray, cuts: list[np.ndarray], y: np.ndarray, h: np.ndarray, rows: np.ndarray, path: tuple, depth: int, out: list) -> None:
     """Grow a tree on gradients y and weights h; out gets the path and the value of every node."""
+    leaf = max(1, min(15, len(y) // 20))
     if path:
         out.append((path, y[rows].sum() / (h[rows].sum() + 1.0), depth == 0))
-    if depth == 0 or len(rows) < 40:
+    if depth == 0 or len(rows) < max(2, min(40, 3 * leaf)):
         if path:
             out[-1] = (*out[-1][:2], True)
         return
@@ -88,7 +90,7 @@ def _grow(x: np.ndarray, cuts: list[np.ndarray], y: np.ndarray, h: np.ndarray, r
         k = np.bincount(x[rows, f], minlength=n)
         gl, wl, kl = np.cumsum(g)[:-1], np.cumsum(w)[:-1], np.cumsum(k)[:-1]
         gain = gl**2 / (wl + 1) + (g.sum() - gl) ** 2 / (w.sum() - wl + 1) - g.sum() ** 2 / (w.sum() + 1)
-        gain[(kl < 15) | (len(rows) - kl < 15)] = 0
+        gain[(kl < leaf) | (len(rows) - kl < leaf)] = 0
         if len(gain) and gain.max() > best[0]:
             best = (gain.max(), f, int(gain.argmax()))
     if best[1] is None:
@@ -133,7 +135,7 @@ def _lasso(m: np.ndarray, y: np.ndarray, penalty: float, w: np.ndarray, b: float
 def fit(v: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, most_rules: int = 60, seed: int = 5) -> RuleModel:
     """The model of statistics v (one row a document) and labels y (0 or 1)."""
     share = float(y.mean()) if len(y) else 0.5
-    if len(y) < 60 or share in (0.0, 1.0):
+    if share in (0.0, 1.0) or len(y) < 2:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return RuleModel(float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
@@ -144,7 +146,7 @@ def fit(v: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, most_rule
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
         nodes: list = []
-        _grow(x, cuts, y - p, p * (1 - p), rng.permutation(len(y))[: len(y) // 2], (), depth, nodes)
+        _grow(x, cuts, y - p, p * (1 - p), rng.permutation(len(y))[: max(len(y) // 2, min(len(y), 40))], (), depth, nodes)
         for path, value, leaf in nodes:
             rules[tuple(sorted(path))] = None
             if leaf:
@@ -153,7 +155,7 @@ def fit(v: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, most_rule
         return RuleModel(float(np.log(share / (1 - share))))
     names = list(rules)
     m = np.stack([_holds(v, r) for r in names], 1).astype(np.float32)
-    test = rng.random(len(y)) < 0.25
+    test = rng.permutation(len(y)) % 4 == 0
     loss = lambda w, b, rows: float(np.mean(np.logaddexp(0, m[rows] @ w + b) - y[rows] * (m[rows] @ w + b)))
     start = (np.zeros(m.shape[1], np.float32), float(np.log(share / (1 - share))))
     best, w, b = (np.inf, 0.003), *start
@@ -173,11 +175,23 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 20_000) -> RuleModel:
-    """Fit on at most max_rows labelled rows that aren't held out. features: the id and f_ columns."""
-    rows = (features.where(~held_out(id_col)).join(labels.select(id_col, F.col(label_col).alias("_y")).where("_y is not null"), id_col)
-            .orderBy(F.xxhash64(id_col), "_y").limit(max_rows).select("_y", *("f_" + f for f in FEATURES)).toPandas())
-    return fit(rows.iloc[:, 1:].to_numpy(np.float64), rows["_y"].to_numpy(np.float64))
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+                    max_rows: int = 20_000) -> DataFrame:
+    """_y and the statistics of about max_rows labelled rows at most that aren't held out, a row for each id and label."""
+    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(
+        F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out("_id")).distinct()
+    n = usable.count()
+    if n > max_rows:  # a share of the hashes of ids that gives a twentieth less
+        usable = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * max_rows / n))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(usable), "_id")  # max_rows rows
+    names = ["f_" + f for f in FEATURES]
+    return with_features(rows, "_text").groupBy("_id", "_y").agg(F.min(F.struct(*names)).alias("_f")).select("_id", "_y", "_f.*")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> RuleModel:
+    """Fit on about max_rows labelled rows at most that aren't held out."""
+    rows = training_sample(docs, labels, id_col, text_col, label_col, max_rows).toPandas().sort_values(["_id", "_y"])
+    return fit(rows.iloc[:, 2:].to_numpy(np.float64), rows["_y"].to_numpy(np.float64))
 
 
 def classify(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -190,13 +204,7 @@ def classify(docs: DataFrame, model: RuleModel, text_col: str = "text", threshol
         *(F.col("_c_row")[c].alias(c) for c in keep), "score", "predicted")
 
 
-def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and the statistics of each document, written to the shared folder."""
-    return materialize(with_features(docs.select(id_col, text_col), text_col).select(id_col, *("f_" + f for f in FEATURES)))
-
-
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = quality_features(table(spark, sf_dir, "documents"))
-    model = train(features, table(spark, sf_dir, "labels"))
-    return features.select("doc_id", held_out("doc_id").alias("held_out"), model.score().alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.3).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return classify(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
