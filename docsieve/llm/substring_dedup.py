@@ -79,7 +79,7 @@ class Windows:
         self.context = mix64(mix64(self.hash[self.lo] * _K + self.hash[self.hi]) + size * np.uint64(64) + lead + np.uint64(1))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], least: int, most: int = 600_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]]]]:
+def _batches(batches: Iterator[pa.RecordBatch], least: int, most: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]]]]:
     """Ids, shards (where there are any) and words of documents with at least `least` words, about `most` words at a time."""
     ids, shards, held, total = [], [], [], 0
     for b in batches:
@@ -330,7 +330,7 @@ def _strip(texts: pd.DataFrame, known: pd.DataFrame, window: int) -> Iterator[tu
     lo = 0
     while lo < len(raw):
         hi, held = lo, 0
-        while hi < len(raw) and held < 4_000_000:
+        while hi < len(raw) and held < 2_000_000:
             held += len(raw[hi] or "")
             hi += 1
         words = [(t or "").encode().split() for t in raw[lo:hi]]
