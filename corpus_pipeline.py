@@ -1,6 +1,10 @@
 """A corpus from documents to training sequences, in stages that are each one operator of docsieve.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+
+Defined results: a null text is scored like an empty one, is never a copy of another, and is packed as the end token alone; ids must
+be integers; rows with a null id go through all stages and stay even where they are copies; of rows with equal ids all stay or go
+as copies, and the rest is done row by row; texts of any length are taken whole; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -16,8 +20,7 @@ from docsieve.llm.common import materialize, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     ship(spark)
-    features = quality_classifier.quality_features(docs)
-    model = quality_classifier.train(features, table(spark, sf_dir, "labels"))
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.classify(docs, model).where("predicted = 1").select(*docs.columns)
 
 
