@@ -1,18 +1,21 @@
 """Licence scans: a trained paragraph classifier with template comparison.
 
-A paragraph (a line of a text) is described by its word n-grams up to three words. A multinomial logistic regression with a lasso
-penalty, trained here on excerpts of licence notices with words left out and on paragraphs that aren't notices, gives the
-probability of each licence family and of `unknown`. Probabilities are calibrated by a temperature fitted on excerpts that weren't
-trained on. What the classifier predicts is confirmed by comparison with the templates of the family: enough of the paragraph's
-word pairs must be those of a template.
-
-Defined results: null and empty texts have no paragraphs; lines without words aren't paragraphs; each row is scanned by itself,
-null and repeated ids included; other columns are left out; an empty table gives an empty result, and the model is then trained
-on the built-in paragraphs alone.
+A paragraph is what stands between blank lines. It is looked at line by line, since notices are often one line of a text, and, if no
+line is a notice, as a whole, since notices are often wrapped. What is looked at is described by its word n-grams up to three
+words. A multinomial logistic regression with a lasso penalty gives the probability of each licence family and of `unknown`. It is
+trained here on licence texts, on the usual sentences about the names and SPDX identifiers of licences, on the same sentences about
+licences that aren't listed (which are unknown), and on other paragraphs. Probabilities are calibrated by a temperature fitted on
+notices that weren't trained on. What the classifier predicts is confirmed by comparison with the templates of the family: the whole
+of one of its names must be there, or most word pairs of one of its texts.
+
+Defined results: null and empty texts have no paragraphs; lines and paragraphs without words don't count; texts of any length are
+scanned whole; each row is scanned by itself, null and repeated ids included; a family is reported once a paragraph; other columns
+are left out; an empty table gives an empty result, and the model is then trained on the built-in paragraphs alone.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,81 +27,125 @@ from pyspark.sql import functions as F
 from .common import ALNUM, table
 
 UNKNOWN = "unknown"
-#: Notices by family, as they are commonly written.
-TEMPLATES = {
+#: Names and SPDX identifiers by family. One of them, whole, confirms a prediction.
+NAMES = {
+    "MIT": ("MIT License", "MIT Licence", "MIT-licensed", "Expat License", "under MIT", "License: MIT", "SPDX-License-Identifier: MIT"),
+    "ISC": ("ISC License", "ISC Licence", "under ISC", "License: ISC", "SPDX-License-Identifier: ISC"),
+    "BSD": ("BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause", "New BSD License", "Simplified BSD License"),
+    "Apache": ("Apache License, Version 2.0", "Apache License", "Apache Licence 2.0", "Apache-2.0", "Apache 2.0"),
+    "GPL": ("GNU General Public License, version 3", "GNU General Public License, version 2", "GNU General Public License", "GNU GPL", "GPL", "GPLv2", "GPLv3",
+            "GPL-2.0-only", "GPL-3.0-or-later", "GPL, version 2 or later"),
+    "LGPL": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL", "LGPLv2", "LGPLv3",
+             "LGPL-2.1-only", "LGPL-3.0-or-later"),
+    "AGPL": ("GNU Affero General Public License, version 3", "GNU Affero General Public License", "GNU AGPL", "AGPL", "AGPLv3", "AGPL-3.0-only"),
+    "MPL": ("Mozilla Public License, version 2.0", "Mozilla Public License", "MPL 2.0", "MPL-2.0"),
+    "CC-BY": ("CC BY 4.0", "CC BY 3.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License"),
+    "CC-BY-SA": ("CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 3.0"),
+    "CC-BY-NC": ("CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License",
+                 "Creative Commons Attribution-NonCommercial-ShareAlike 4.0"),
+    "CC-BY-ND": ("CC BY-ND 4.0", "CC BY-ND 3.0", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "public-domain": ("CC0", "CC0 1.0 Universal", "CC0-1.0", "The Unlicense", "dedicated to the public domain", "released into the public domain"),
+    "all-rights-reserved": ("All rights reserved",),
+}
+#: Texts by family, as they are commonly written. Most word pairs of one of them confirm a prediction.
+TEXTS = {
     "MIT": (
-        "Released under the MIT License.",
-        "This project is licensed under the MIT License. See the LICENSE file for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, "
-        "merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+        "furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+        "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "BSD": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+        "the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ),
     "Apache": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "This software is distributed under the terms of the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
-        "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License.",
     ),
     "GPL": (
-        "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "Released under the GPL, version 2 or later.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see the address of the foundation.",
     ),
     "LGPL": (
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ),
     "AGPL": (
-        "This work is licensed under the GNU Affero General Public License, version 3.",
-        "You can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
-    ),
-    "BSD": (
-        "Released under the BSD 3-Clause License.",
-        "This project is licensed under the BSD 2-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ),
     "MPL": (
-        "Licensed under the Mozilla Public License, version 2.0.",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    ),
-    "CC-BY": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ),
-    "CC-BY-SA": (
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ),
-    "CC-BY-NC": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ),
-    "CC-BY-ND": (
-        "Licensed under CC BY-ND 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
+    "CC-BY": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
+    "CC-BY-SA": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
+    "CC-BY-NC": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",),
+    "CC-BY-ND": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",),
     "public-domain": (
-        "This work has been dedicated to the public domain under CC0 1.0 Universal.",
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     ),
     "all-rights-reserved": (
-        "All rights reserved.",
-        "Copyright by the authors. All rights reserved. No part of this publication may be reproduced without prior written permission.",
+        "Copyright by the authors. All rights reserved. No part of this publication may be reproduced, stored in a retrieval system, or "
+        "transmitted in any form or by any means without the prior written permission of the publisher.",
     ),
 }
+#: Sentences about a licence.
+SENTENCES = (
+    "{}", "Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "Distributed under the terms of the {}.", "This project is licensed under the {}. See the LICENSE file for details.",
+    "This work is licensed under a {}.", "This software is available under the {}.", "Code in this repository is covered by the {}", "License: {}", "{}, see COPYING",
+    "This file may be used under the terms of {}.", "Published under {} by its authors.", "SPDX-License-Identifier: {}",
+)
+#: Licences that no family stands for; what is said about them is unknown.
+UNLISTED = (
+    "Eclipse Public License 2.0", "EPL-2.0", "zlib License", "Boost Software License 1.0", "BSL-1.0", "Artistic License 2.0", "European Union Public Licence", "EUPL-1.2",
+    "Microsoft Public License", "MS-PL", "SIL Open Font License", "OFL-1.1", "Common Development and Distribution License", "CDDL-1.0", "Elastic License 2.0",
+    "Server Side Public License", "Business Source License 1.1", "Open Database License", "ODbL-1.0", "PostgreSQL License", "Python Software Foundation License",
+    "Ruby License", "PHP License 3.01", "Academic Free License", "Common Public License 1.0", "OpenSSL License", "Netscape Public License", "Sun Public License",
+    "Foo License", "Acme Commercial License", "Example Public License", "Company License Agreement", "site license", "driving licence", "Proprietary", "Custom",
+)
 #: Paragraphs that use the words of notices, but aren't any.
 OTHERS = (
     "He renewed the license of his car at the public office in version two of the form.",
     "The work of the free press was released to the general public on Monday.",
     "All seats were reserved by the authors of the program.",
+    "All rights of way are reserved for walkers on the public path.",
     "A license to fish is sold at the harbour; the terms are posted at the gate.",
     "The software was distributed to the students without any conditions.",
     "She studied at MIT and worked under general conditions of stress.",
+    "The team at MIT released a copy of the software to the public.",
     "The Apache helicopter was seen over the source of the river.",
+    "The Apache people were granted rights to the land under the terms of a treaty.",
     "The creative commons of the village was licensed for a market in May.",
     "The BSD meeting was released from its schedule.",
     "Copy the file, modify the second line, and save it.",
@@ -107,7 +154,11 @@ OTHERS = (
     "This project was done under the direction of the foundation.",
     "GNU goats and other animals may be seen in the public garden.",
     "Permission to enter is granted free of charge to any person over sixty.",
+    "You may not use this file without the permission of your teacher.",
 )
+#: Function words: what is made of them alone is no notice.
+_PLAIN = frozenset(b"a an and any as at be but by for from if in into is it its no nor not of on or other see such that the their this to was were with without you your".split())
+_BLANK = re.compile(r"\n[^\S\n]*\n")
 
 
 def words_of(paragraph: str) -> list[bytes]:
@@ -127,82 +178,113 @@ class LicenseModel:
     vocabulary: dict[bytes, int]
     weights: np.ndarray  # one row a gram, one column a family; the last family is unknown
     bias: np.ndarray
-    templates: dict[str, tuple[frozenset, ...]]
+    names: dict[str, tuple[bytes, ...]]  # words joined by spaces, with one at either end
+    texts: dict[str, tuple[frozenset, ...]]  # word pairs
+    telling: frozenset  # words of names and texts; without any, nothing can be confirmed
 
-    def probabilities(self, w: list[bytes]) -> np.ndarray | None:
-        """Null where no gram of the model occurs: the paragraph is unknown."""
-        vocabulary = self.vocabulary
-        if vocabulary.keys().isdisjoint(w):
-            return None
-        rows = [vocabulary[g] for g in grams_of(w) if g in vocabulary]
+    def probabilities(self, w: list[bytes]) -> np.ndarray:
+        rows = [self.vocabulary[g] for g in grams_of(w) if g in self.vocabulary]
         z = self.bias + self.weights[rows].sum(axis=0)
         p = np.exp(z - z.max())
         return p / p.sum()
 
     def match(self, family: str, w: list[bytes]) -> float:
-        """The largest share of the word pairs of the paragraph, or of a template, that they have in common."""
+        """1 where a whole name of the family is there; else the largest share of a text's word pairs that the paragraph has."""
+        line = b" " + b" ".join(w) + b" "
+        if any(n in line for n in self.names[family]):
+            return 1.0
         pairs = set(zip(w, w[1:]))
-        return max((len(pairs & t) / min(len(pairs), len(t)) for t in self.templates[family]), default=0.0) if pairs else 0.0
+        return max((len(pairs & t) / len(t) for t in self.texts[family]), default=0.0)
+
+    def judge(self, w: list[bytes], least: float, least_match: float) -> tuple[str, float, float] | None:
+        """(family, probability, match) of a notice."""
+        if self.telling.isdisjoint(w):
+            return None
+        p = self.probabilities(w)
+        k = int(p.argmax())
+        if k == len(p) - 1 or p[k] < least or (m := self.match(self.families[k], w)) < least_match:
+            return None
+        return self.families[k], float(p[k]), m
 
     def scan(self, text: str | None, least: float = 0.5, least_match: float = 0.6) -> tuple[int, list[tuple[int, str, float, float]]]:
-        """Number of paragraphs, and (paragraph, family, probability, match) of those that are notices."""
+        """Number of paragraphs, and (paragraph, family, probability, match) of the notices in them."""
         n, out = -1, []
-        for line in (text or "").split("\n"):
-            w = words_of(line)
-            if not w:
+        for block in _BLANK.split(text or ""):
+            lines = [w for w in map(words_of, block.split("\n")) if w]
+            if not lines:
                 continue
             n += 1
-            p = self.probabilities(w)
-            if p is None or int(p.argmax()) == len(p) - 1 or p.max() < least:
-                continue
-            family = self.families[int(p.argmax())]
-            if (m := self.match(family, w)) >= least_match:
-                out.append((n, family, float(p.max()), m))
+            found: dict[str, tuple] = {}
+            for w in lines:
+                if hit := self.judge(w, least, least_match):
+                    found.setdefault(hit[0], hit)
+            if not found and len(lines) > 1 and (hit := self.judge([x for w in lines for x in w], least, least_match)):
+                found[hit[0]] = hit
+            out += [(n, *hit) for hit in found.values()]
         return n + 1, out
 
 
 def _excerpts(rng: np.random.Generator, w: list[bytes], n: int) -> list[list[bytes]]:
-    """The words, and excerpts of them in which some words are left out."""
+    """The words, and longer parts of them in which some words are left out."""
     out = [w]
     for _ in range(n - 1):
-        size = len(w) if len(w) < 9 else int(rng.integers(8, len(w) + 1))
+        size = len(w) if len(w) < 9 else int(rng.integers(max(8, len(w) * 3 // 5), len(w) + 1))
         at = int(rng.integers(0, len(w) - size + 1))
         out.append([x for x in w[at:at + size] if rng.random() > 0.06] or w)
     return out
 
 
-def fit(negatives: list[str], seed: int = 3, rounds: int = 300, penalty: float = 2e-4) -> LicenseModel:
-    rng = np.random.default_rng(seed)
-    families = (*TEMPLATES, UNKNOWN)
-    data: list[tuple[set[bytes], int]] = []
-    for k, notices in enumerate(TEMPLATES.values()):
-        data += [(grams_of(e), k) for t in notices for e in _excerpts(rng, words_of(t), 24)]
-    hard = [words_of(t) for t in OTHERS]
-    data += [(grams_of(e), len(families) - 1) for w in hard for e in _excerpts(rng, w, 12)]
-    data += [(grams_of(w), len(families) - 1) for w in map(words_of, negatives) if w]
+def _examples(rng: np.random.Generator, negatives: list[str]) -> list[tuple[set[bytes], int, bool]]:
+    """(grams, family, held out): a quarter of the sentences and of what isn't a notice is held out, whole and never trained on."""
+    unknown = len(NAMES)
+    held = lambda: bool(rng.random() < 0.25)
+    out = []
+    for k, family in enumerate(NAMES):
+        for i, name in enumerate(NAMES[family]):
+            for j, sentence in enumerate(SENTENCES):
+                if name.startswith(("under ", "License:", "SPDX")) and j:
+                    continue
+                out.append((grams_of(words_of(sentence.format(name))), k, j > 0 and held()))
+        for text in TEXTS[family]:
+            w = words_of(text)
+            out += [(grams_of(e), k, False) for e in _excerpts(rng, w, 12)]
+    for name in UNLISTED:
+        for sentence in SENTENCES:
+            out.append((grams_of(words_of(sentence.format(name))), unknown, held()))
+    for text in OTHERS:
+        out += [(grams_of(e), unknown, False) for e in _excerpts(rng, words_of(text), 8)]
+    return out + [(grams_of(w), unknown, held()) for w in map(words_of, negatives) if w]
+
+
+def fit(negatives: list[str], seed: int = 3, rounds: int = 1500, penalty: float = 2e-5) -> LicenseModel:
+    families = (*NAMES, UNKNOWN)
+    data = _examples(np.random.default_rng(seed), negatives)
     # grams of notices only; what else a paragraph holds says nothing
     count: dict[bytes, int] = {}
-    for g, k in data:
-        if k < len(families) - 1:
+    for g, k, held in data:
+        if k < len(families) - 1 and not held:
             for x in g:
                 count[x] = count.get(x, 0) + 1
-    names = sorted(x for x, n in count.items() if n >= 4)
+    names = sorted(x for x, n in count.items() if n >= 3)
     number = {x: i for i, x in enumerate(names)}
     m = np.zeros((len(data), len(names)), np.float32)
-    for i, (g, _) in enumerate(data):
+    for i, (g, *_) in enumerate(data):
         m[i, [number[x] for x in g if x in number]] = 1
-    y = np.array([k for _, k in data])
-    test = rng.random(len(y)) < 0.2
+    y, test = np.array([k for _, k, _ in data]), np.array([held for *_, held in data])
     onehot = np.eye(len(families), dtype=np.float32)[y]
     w, b = np.zeros((len(names), len(families)), np.float32), np.zeros(len(families), np.float32)
     b[-1] = 1.0
     x, target = m[~test], onehot[~test]
+    # families have unlike numbers of examples; each counts as much as its square root
+    size = np.bincount(y[~test], minlength=len(families))[y[~test]]
+    share = (1 / np.sqrt(size)).astype(np.float32)[:, None]
+    share /= share.sum()
     rate = 2.0 / max(1.0, float((x.sum(axis=1)).mean()) / 2)
     for _ in range(rounds):
         z = x @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        e = (p - target) / len(x)
+        e = (p - target) * share
         w -= rate * (x.T @ e)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
         b -= rate * e.sum(axis=0)
@@ -213,17 +295,16 @@ def fit(negatives: list[str], seed: int = 3, rounds: int = 300, penalty: float =
         s = s - s.max(axis=1, keepdims=True)
         return float(-(s[np.arange(len(s)), y[test]] - np.log(np.exp(s).sum(axis=1))).mean())
 
-    scale = min(np.linspace(0.5, 6, 56), key=loss) if test.any() else 1.0
-    used = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
-    # a gram can only count if its first word is looked up, so single words of used grams stay in the vocabulary
-    keep = sorted({names[i] for i in used} | {v for i in used for v in names[i].split(b" ")})
-    rows = np.stack([w[number[g]] if g in number else np.zeros(len(families), np.float32) for g in keep]) if keep else np.zeros((0, len(families)))
-    pairs = {f: tuple(frozenset(zip(v, v[1:])) for v in map(words_of, ts)) for f, ts in TEMPLATES.items()}
-    return LicenseModel(families, {g: i for i, g in enumerate(keep)}, rows * scale, b * scale, pairs)
+    scale = min(np.linspace(0.5, 6, 56), key=loss)
+    keep = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
+    joined = {f: tuple(b" " + b" ".join(words_of(n)) + b" " for n in ns) for f, ns in NAMES.items()}
+    pairs = {f: tuple(frozenset(zip(v, v[1:])) for v in map(words_of, ts)) for f, ts in TEXTS.items()}
+    telling = frozenset(v for ts in (*NAMES.values(), *TEXTS.values()) for t in ts for v in words_of(t)) - _PLAIN
+    return LicenseModel(families, {names[i]: k for k, i in enumerate(keep)}, w[keep] * scale, b * scale, joined, pairs, telling)
 
 
 def negatives(docs: DataFrame, id_col: str, text_col: str, documents: int = 200, paragraphs: int = 2000) -> list[str]:
-    """Paragraphs of a bounded sample of documents, without those that have a word of notices."""
+    """Lines of a bounded sample of documents, without those that have a word of notices: nobody has labelled those."""
     ids = docs.select(id_col).distinct().orderBy(F.xxhash64(id_col)).limit(documents)
     lines = (docs.join(F.broadcast(ids), id_col, "left_semi").select(F.explode(F.split(text_col, "\n")).alias("line"))
              .where("length(line) between 20 and 2000").where(~F.lower("line").rlike("licen|copyright|reserved|commons|gnu|public domain"))
@@ -235,7 +316,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row a document: id, n_paragraphs, notices (paragraph, family, probability, match)."""
     model = model or fit(negatives(docs, id_col, text_col))
     shared = docs.sparkSession.sparkContext.broadcast(
-        (model.families, model.vocabulary, model.weights, model.bias, model.templates))
+        (model.families, model.vocabulary, model.weights, model.bias, model.names, model.texts, model.telling))
     kind = docs.schema[id_col].dataType.simpleString()
     notice = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("match", pa.float64())]))
 
