@@ -8,10 +8,12 @@ places are merged into spans of words to remove.
 
 A suffix ends at its first separator and separators differ by position, so the order of suffixes is total and cheap to make.
 
-The benchmark is a stated query set. It is read in blocks of at most `block_bytes` of text; each block is a broadcast of that
-size, and shards go through the blocks one after another, so no block needs to fit with another.
+The benchmark is a stated query set. It is read in blocks of about `block_bytes` of text (an item is in one block). A block is broadcast
+as flat arrays, 16 bytes and its letters a word; a Python worker makes of them the phrases as rows of 40 bytes a word. There is one
+pass of the documents a block, written before the next one, and a block's broadcast is destroyed after its pass; so blocks are never
+held together, neither by the driver nor by executors. Up to `block_bytes`, there is one pass and nothing is written.
 
-Defined results: null texts and texts without words have no hits; items without words are never found; items with equal ids are
+Defined results: texts of any length are searched whole; null texts and texts without words have no hits; items without words are never found; items with equal ids are
 one item, and a null item id is the string "null"; training rows are handled one by one, null and repeated ids included; other
 columns are left out or, in decontaminate(), kept; an empty table gives an empty result, an empty benchmark no hits.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, table
+from .common import ALNUM, materialize, table
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -138,119 +140,155 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct phrases of a block of items, and the items of each."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for name, text in items:
-            w = (text or "").encode().translate(ALNUM).split()
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[i:i + window]), set()).add(name)
-        words = sorted({w for p in found for w in p})
-        self.symbol = {w: k + 1 for k, w in enumerate(words)}
-        self.items = list(found.values())
-        self.sizes = np.array([len(p) for p in found], np.int64)
-        self.rows = np.zeros((len(found), window), np.int64)
-        for k, p in enumerate(found):
-            self.rows[k, window - len(p):] = [self.symbol[w] for w in p]
-
-
-def _shard(words: list[list[bytes]], blocks: list) -> tuple[list[np.ndarray], list[set[str]]]:
+    """The distinct phrases of a block, and the items of each, from the flat arrays of `flat_block`."""
+
+    def __init__(self, flat: tuple):
+        vocabulary, codes, start, size, item, self.names = flat
+        self.symbol = {w: k + 1 for k, w in enumerate(vocabulary.split(b" "))} if vocabulary else {}
+        width = int(size.max(initial=1))
+        at = np.arange(width, dtype=np.int32) - (width - size[:, None])  # right-aligned
+        rows = np.where(at >= 0, codes[np.minimum(start[:, None] + np.maximum(at, 0), max(0, len(codes) - 1))], 0).astype(np.int32) if len(codes) else np.zeros((0, 1), np.int32)
+        self.rows, of = np.unique(rows, axis=0, return_inverse=True)
+        self.sizes = (self.rows != 0).sum(axis=1)
+        order = np.argsort(of.ravel(), kind="stable")
+        self.item = item[order]
+        self.first = np.r_[0, np.cumsum(np.bincount(of.ravel(), minlength=len(self.rows)))]
+
+    def items_of(self, phrase: int) -> set[str]:
+        return {self.names[k] for k in self.item[self.first[phrase]:self.first[phrase + 1]].tolist()}
+
+
+def flat_block(items: list[tuple[str, str | None]], window: int) -> tuple:
+    """Words of the items joined by spaces, their codes, and start, size and item of each phrase."""
+    split = [(name, w) for name, text in items if (w := (text or "").encode().translate(ALNUM).split())]
+    words = sorted({w for _, ws in split for w in ws})
+    number = {w: k + 1 for k, w in enumerate(words)}
+    codes = np.fromiter((number[w] for _, ws in split for w in ws), np.int32)
+    names = sorted({n for n, _ in split})
+    place = {n: k for k, n in enumerate(names)}
+    n = np.array([len(ws) for _, ws in split], np.int32)
+    count = np.maximum(1, n - window + 1) if len(n) else n
+    begin = np.r_[0, np.cumsum(n)[:-1]] if len(n) else n
+    start = (np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())).astype(np.int32) if len(n) else n
+    return (b" ".join(words), codes, start, np.repeat(np.minimum(n, window), count).astype(np.int32),
+            np.repeat(np.array([place[name] for name, _ in split], np.int32), count), names)
+
+
+def _shard(words: list[list[bytes]], p: Phrases) -> tuple[list[np.ndarray], list[set[str]]]:
     """For each document: a mask of the words inside any occurrence, and the items that occur."""
     masks = [np.zeros(len(w), bool) for w in words]
     items: list[set[str]] = [set() for _ in words]
     sizes = np.array([len(w) for w in words], np.int64)
     first = np.r_[0, np.cumsum(sizes + 1)]  # each document is followed by a separator
-    for block in blocks:
-        p: Phrases = block.value
-        if not len(p.sizes):
-            continue
-        get = p.symbol.get
-        text = np.zeros(first[-1], np.int64)
-        for k, w in enumerate(words):
-            text[first[k]:first[k] + len(w)] = [get(v, 0) for v in w]
-        # separators next to each other are one
-        keep = np.r_[True, (text[1:] != 0) | (text[:-1] != 0)] if len(text) else np.zeros(0, bool)
-        where = np.flatnonzero(keep)
-        x = text[where]
-        if not x.any():
-            continue
-        index = FMIndex(x, len(p.symbol))
-        low, high = index.search(p.rows, p.sizes)
-        hit = np.flatnonzero(high > low)
-        if not len(hit):
-            continue
-        n = high[hit] - low[hit]
-        rows = np.repeat(low[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        start = where[index.locate(rows)]
-        phrase = np.repeat(hit, n)
-        mark = np.zeros(first[-1] + 1, np.int64)
-        np.add.at(mark, start, 1)
-        np.add.at(mark, start + p.sizes[phrase], -1)
-        covered = np.cumsum(mark) > 0
-        doc = np.searchsorted(first, start, "right") - 1
-        for d, ph in np.unique(np.stack([doc, phrase], 1), axis=0).tolist():
-            items[d] |= p.items[ph]
-        for d in np.unique(doc).tolist():
-            masks[d] |= covered[first[d]:first[d] + sizes[d]]
+    if not len(p.sizes):
+        return masks, items
+    get = p.symbol.get
+    text = np.zeros(first[-1], np.int64)
+    for k, w in enumerate(words):
+        text[first[k]:first[k] + len(w)] = [get(v, 0) for v in w]
+    # separators next to each other are one
+    keep = np.r_[True, (text[1:] != 0) | (text[:-1] != 0)] if len(text) else np.zeros(0, bool)
+    where = np.flatnonzero(keep)
+    x = text[where]
+    if not x.any():
+        return masks, items
+    index = FMIndex(x, len(p.symbol))
+    low, high = index.search(p.rows.astype(np.int64), p.sizes)
+    hit = np.flatnonzero(high > low)
+    if not len(hit):
+        return masks, items
+    n = high[hit] - low[hit]
+    rows = np.repeat(low[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    start = where[index.locate(rows)]
+    phrase = np.repeat(hit, n)
+    mark = np.zeros(first[-1] + 1, np.int64)
+    np.add.at(mark, start, 1)
+    np.add.at(mark, start + p.sizes[phrase], -1)
+    covered = np.cumsum(mark) > 0
+    doc = np.searchsorted(first, start, "right") - 1
+    for d, ph in np.unique(np.stack([doc, phrase], 1), axis=0).tolist():
+        items[d] |= p.items_of(ph)
+    for d in np.unique(doc).tolist():
+        masks[d] |= covered[first[d]:first[d] + sizes[d]]
     return masks, items
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-int(size) // block_bytes))
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)))
-    return [spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in numbered.where(F.col("block") == k).collect()], window))
-            for k in range(n)]
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_SPANS = "spans array<struct<start:int,end:int>>, items array<string>"
+_here: dict[int, tuple[object, Phrases]] = {}
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                       item_text_col: str = "text", window: int = 10, shard_words: int = 400_000, block_bytes: int = 8_000_000) -> DataFrame:
-    """One row a document: id, n_words, n_hit, spans (word ranges inside occurrences, end exclusive), items (sorted ids), clean_text.
+def _phrases(block) -> Phrases:
+    """The phrases of a broadcast block, made once in a Python worker; those of an earlier block are given up."""
+    if block.value is not _here.get(0, (None,))[0]:
+        _here[0] = (block.value, Phrases(block.value))
+    return _here[0][1]
 
-    clean_text is null where nothing was hit; else the text without the words of the spans and what stands between them.
-    """
-    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    kind = docs.schema[id_col].dataType.simpleString()
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+def _pass(docs: DataFrame, block, kind: str, shard_words: int, last: bool) -> DataFrame:
+    """docs (id, text, spans, items) with the finds of a block added; after the last one, the columns of find_contamination."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            masks, items = _shard(words, blocks)
-            hits, spans, cleaned = [], [], []
-            for m, t in zip(masks, texts):
-                hits.append(int(m.sum()))
-                edges = np.flatnonzero(np.diff(np.r_[False, m, False].astype(np.int8))).reshape(-1, 2).tolist() if hits[-1] else []
+            masks, items = _shard(words, _phrases(block))
+            spans, cleaned = [], []
+            for m, t, found, (old, names) in zip(masks, texts, items, before):
+                for s in old:
+                    m[s["start"]:s["end"]] = True
+                found.update(names)
+                edges = np.flatnonzero(np.diff(np.r_[False, m, False].astype(np.int8))).reshape(-1, 2).tolist() if m.any() else []
                 spans.append([{"start": a, "end": b} for a, b in edges])
-                cleaned.append(_cut(t, edges) if edges else None)
+                cleaned.append(_cut(t, edges) if edges and last else None)
+            more = [pa.array(spans, _SPAN), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+            if not last:
+                return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(raw), *more], ["id", "text", "spans", "items"])
             return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids), pa.array([len(w) for w in words], pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, span),
-                 pa.array([sorted(i) for i in items], pa.list_(pa.string())), pa.array(cleaned, pa.string())],
+                [pa.concat_arrays(ids), pa.array([len(w) for w in words], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), *more, pa.array(cleaned, pa.string())],
                 ["id", "n_words", "n_hit", "spans", "items", "clean_text"])
 
-        ids, texts, words, held = [], [], [], 0
+        ids, raw, texts, words, before, held = [], [], [], [], [], 0
         for b in batches:
             lo = 0
-            for k, t in enumerate(b.column(1)):
-                raw = (t.as_py() or "").encode()
-                w = raw.translate(ALNUM).split()
-                texts.append(raw)
-                words.append(w)
-                held += len(w) + 1
-                if held >= shard_words:
+            for k, (t, s, i) in enumerate(zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())):
+                texts.append((t.as_py() or "").encode())
+                words.append(texts[-1].translate(ALNUM).split())
+                before.append((s, i))
+                held += len(words[-1]) + 1
+                if held >= shard_words or k == b.num_rows - 1:
                     ids.append(b.column(0).slice(lo, k + 1 - lo))
+                    raw.append(b.column(1).slice(lo, k + 1 - lo))
+                    lo = k + 1
+                if held >= shard_words:
                     yield flush()
-                    ids, texts, words, held, lo = [], [], [], 0, k + 1
-            if lo < b.num_rows:
-                ids.append(b.column(0).slice(lo))
+                    ids, raw, texts, words, before, held = [], [], [], [], [], 0
         if words:
             yield flush()
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>, clean_text string")
-    return out.withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, f"id {kind}, n_words long, n_hit long, {_SPANS}, clean_text string" if last else f"id {kind}, text string, {_SPANS}")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                       item_text_col: str = "text", window: int = 10, shard_words: int = 400_000, block_bytes: int = 4_000_000) -> DataFrame:
+    """One row a document: id, n_words, n_hit, spans (word ranges inside occurrences, end exclusive), items (sorted ids), clean_text.
+
+    clean_text is null where nothing was hit; else the text without the words of the spans and what stands between them.
+    """
+    spark = docs.sparkSession
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = max(1, -(-int(size) // block_bytes))
+    if n > 1:  # written by block, so that each is read by itself
+        items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n))).repartition("block").sortWithinPartitions("block"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
+                        F.array().cast("array<string>").alias("items"))
+    for k in range(n):
+        rows = (items.where(F.col("block") == k) if n > 1 else items).select("item", "text").collect()  # about block_bytes
+        block = spark.sparkContext.broadcast(flat_block([tuple(r) for r in rows], window))
+        state = _pass(state, block, kind, shard_words, k == n - 1)
+        if k < n - 1:
+            state = materialize(state)
+            block.destroy()
+    return state.withColumnRenamed("id", id_col)
 
 
 def _cut(raw: bytes, ranges: list[list[int]]) -> str:
