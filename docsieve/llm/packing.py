@@ -2,7 +2,9 @@
 
 Every source is a queue of its documents' tokens. The queues are served by deficit round-robin: each sequence gives each queue a
 credit of its share, the whole part of the credit is served, the fraction is carried to the next sequence, and places that
-are left go to the queues with the largest credit. Documents are cut where a credit ends.
+are left go to the queues with the largest credit. Documents are cut where a credit ends. Target shares can be given (`targets`);
+without, each source has its share of all tokens. A source that runs dry is left out from the next epoch on, and the others keep
+their proportions; sources without a target come last. Each token is packed once whatever the targets.
 
 The work is dealt into epochs of about `epoch` sequences. Of a queue with T tokens, epoch e of n holds the tokens from
 floor(T * e / n) to floor(T * (e + 1) / n), so a queue's deficit is carried across epochs in closed form, and any task can
@@ -20,6 +22,7 @@ packed row by row; other columns are left out; an empty table gives an empty res
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 import zlib
 from collections import OrderedDict
@@ -72,20 +75,35 @@ class Encoder:
 
 
 class Epochs:
-    """The cuts of every epoch, from the totals of the queues."""
+    """The cuts of every epoch, from the totals of the queues and the target shares.
 
-    def __init__(self, totals: list[int], length: int, epoch: int):
+    With targets, the queues are served in phases: a phase ends where a queue runs dry, and the others go on by their targets among
+    themselves. An epoch lies in one phase. Queues without a target come last, by their totals. Without any targets there is one
+    phase, in which each queue has its share of all tokens, and all run dry together.
+    """
+
+    def __init__(self, totals: list[int], length: int, epoch: int, targets: list[float] | None = None):
         self.totals, self.length = totals, length
-        self.n = max(1, round(sum(totals) / (length * epoch)))
         self.stride = 4 * epoch  # sequence numbers of an epoch
         self.most = max(4, 64_000_000 // (16 * (epoch + 2) * max(1, len(totals))))  # epochs kept, 64 MB of cuts
+        #: first epoch of each phase, and the tokens of each queue served before it; the last entry is the end
+        self.first, self.served = [0], [[0] * len(totals)]
+        for end in _phases(totals, targets):
+            tokens = sum(end) - sum(self.served[-1])
+            self.first.append(self.first[-1] + max(1, round(tokens / (length * epoch))))
+            self.served.append(end)
+        self.n = self.first[-1]
         self._cache: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
     def bounds(self, queue: int, e: int) -> int:
-        return self.totals[queue] * e // self.n
+        j = min(bisect.bisect_right(self.first, e), len(self.first) - 1) - 1
+        low, high = self.served[j][queue], self.served[j + 1][queue]
+        return low + (high - low) * (e - self.first[j]) // (self.first[j + 1] - self.first[j])
 
     def epoch_of(self, queue: int, position: int) -> int:
-        e = position * self.n // self.totals[queue]
+        j = bisect.bisect_right(self.served, position, key=lambda s: s[queue]) - 1
+        low, high = self.served[j][queue], self.served[j + 1][queue]
+        e = self.first[j] + (position - low) * (self.first[j + 1] - self.first[j]) // (high - low)
         while self.bounds(queue, e + 1) <= position:
             e += 1
         while self.bounds(queue, e) > position:
@@ -108,6 +126,22 @@ class Epochs:
         return before.T.copy(), (np.cumsum(served, axis=1) - served).T.copy()
 
 
+def _phases(totals: list[int], targets: list[float] | None) -> Iterator[list[int]]:
+    """The tokens of each queue served at the end of each phase."""
+    if targets is not None and any(targets):
+        dry = [t / w if w else np.inf for t, w in zip(totals, targets)]
+        before = None
+        for at in sorted({d for d in dry if d < np.inf}):
+            end = [t if d <= at else min(t - 1, int(w * at)) for t, w, d in zip(totals, targets, dry)]
+            if end != before:
+                yield end
+            before = end
+        if before == totals:
+            return
+    if totals:
+        yield list(totals)
+
+
 def _rounds(tokens: np.ndarray, length: int) -> Iterator[np.ndarray]:
     """The tokens that each queue gives to each sequence of an epoch."""
     left, total = tokens.copy(), int(tokens.sum())
@@ -131,11 +165,12 @@ def _rounds(tokens: np.ndarray, length: int) -> Iterator[np.ndarray]:
 
 
 def pack(docs: DataFrame, tokenizer_json: str, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-         length: int = 2048, end_id: int = 1, epoch: int = 512, max_queues: int = 1024,
-         broadcast_rows: int = 300_000) -> DataFrame:
+         length: int = 2048, end_id: int = 1, epoch: int = 512, max_queues: int = 1024, broadcast_rows: int = 300_000,
+         targets: dict[str | None, float] | None = None) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, unsigned 32-bit, little-endian).
 
     tokenizer_json, ranks and pattern: the vocabulary file, and optionally the same vocabulary as a rank file with its pattern.
+    targets: the share of tokens wanted of each source, in any unit; a ValueError where there are more than max_queues sources.
     """
     spark = docs.sparkSession
     with open(tokenizer_json, encoding="utf-8") as f:
@@ -172,12 +207,15 @@ def pack(docs: DataFrame, tokenizer_json: str, ranks: str | None = None, pattern
     tokens = materialize(docs.select(F.col(id_col).alias("id"), queue.alias("queue"), F.col(text_col).alias("text")).mapInArrow(
         encode, f"id {kind}, queue string, part int, n long, at long, ids binary"))
     parts = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
+    if many and targets:
+        raise ValueError(f"targets can be met for {max_queues} sources at most; raise max_queues or name fewer sources")
     if many:
         return _by_epoch(tokens, parts, length, epoch, kind).withColumnRenamed("id", id_col)
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most max_queues rows
     names = sorted(totals)
     number = {q: k for k, q in enumerate(names)}
-    plan = Epochs([totals[q] for q in names], length, epoch)
+    wanted = {"\x00null" if q is None else q: w for q, w in (targets or {}).items()}
+    plan = Epochs([totals[q] for q in names], length, epoch, [wanted.get(q, 0.0) for q in names] if targets else None)
     order = Window.partitionBy("queue").orderBy("part")
     offsets = parts.select("part", "queue", (F.sum("n").over(order) - F.col("n")).alias("base"))
     offsets = materialize(offsets)
@@ -216,7 +254,7 @@ def _by_epoch(tokens: DataFrame, parts: DataFrame, length: int, epoch: int, kind
                 row, number, here, start, held = [], [], [], [], []
                 for k, (total, at, n, raw) in enumerate(zip(*(s.column(c).to_pylist() for c in (2, 3, 4, 5)))):
                     width, done, one = len(raw) // n, 0, Epochs([total], length, epoch)
-                    one.n = n_epochs
+                    one.first[-1] = one.n = n_epochs
                     while done < n:
                         e = one.epoch_of(0, at + done)
                         stop = min(n, one.bounds(0, e + 1) - at)
