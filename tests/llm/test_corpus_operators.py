@@ -259,6 +259,8 @@ def test_decontamination_against_a_loop(spark, shard, block):
     bench = spark.createDataFrame(items, "item_id int, text string")
     options = {"window": 5, "shard_words": shard, "block_bytes": block}
     d = frame(spark, texts)
+    odd = decontamination.find_contamination(frame(spark, texts[-3:] * 2, [None, None, 4, 4, 4, None]), bench, **options).collect()
+    assert sorted((str(r["doc_id"]), r["n_hit"]) for r in odd) == sorted((str(i), plain_hits(t, items, 5)[1]) for i, t in zip([None, None, 4, 4, 4, None], texts[-3:] * 2))
     got = {r["doc_id"]: r for r in decontamination.find_contamination(d, bench, **options).collect()}
     for k, t in enumerate(texts):
         r = got[k]

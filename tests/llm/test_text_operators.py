@@ -393,6 +393,39 @@ def test_shares_of_sources_hold_in_every_sequence():
         assert (np.abs(before[:, :-1].T - np.arange(before.shape[1] - 1)[:, None] * share) <= 3).all()
 
 
+def test_targets_hold_in_every_sequence_until_a_source_runs_dry():
+    totals, targets = [70_000, 20_000, 9_000, 1_000, 37], [1.0, 1.0, 2.0, 0.0, 0.5]
+    plan = packing.Epochs(totals, 100, 20, targets)
+    assert [sum(plan.bounds(q, e + 1) - plan.bounds(q, e) for e in range(plan.n)) for q in range(5)] == totals
+    for j in range(len(plan.first) - 1):
+        live = np.array([w if plan.served[j + 1][q] > plan.served[j][q] else 0 for q, w in enumerate(targets)])
+        live = live if live.any() else np.array(totals) * (np.array(plan.served[j + 1]) > plan.served[j])
+        want = live / live.sum() * 100
+        for e in range(plan.first[j], plan.first[j + 1]):
+            served = np.diff(plan.cuts(e)[0], axis=1)
+            assert (served.sum(axis=0)[:-1] == 100).all() and (np.abs(served[:, :-1].T - want) <= 3).all(), (j, e)
+    for q in range(5):
+        for at in range(0, totals[q], 37):
+            e = plan.epoch_of(q, at)
+            assert plan.bounds(q, e) <= at < plan.bounds(q, e + 1)
+    assert packing.Epochs(totals, 100, 20).n == packing.Epochs(totals, 100, 20, [0.0] * 5).n == 50
+
+
+def test_packing_with_targets_is_a_round_trip(spark):
+    rng = random.Random(23)
+    d = spark.createDataFrame([(k, " ".join(rng.choices(PIECES, k=rng.randint(1, 60))), ("a", "b", None)[k % 3]) for k in range(120)], "doc_id long, text string, source string")
+    path = public.path("byte_bpe_50k.json")
+    rows = packing.pack(d, path, length=64, epoch=2, targets={"a": 1, None: 3}).collect()
+    plain = {r["doc_id"]: r["doc_tokens"] for r in packing.pack(d, path, length=64, epoch=2).collect()}
+    got, source = collections.Counter(), collections.defaultdict(set)
+    for r in rows:
+        got[r["doc_id"]] += r["length"]
+        source[r["sequence_id"]].add("ab-"[r["doc_id"] % 3])
+    assert got == plain and source[0] == {"a", "-"} and source[max(source)] == {"b"}
+    with pytest.raises(ValueError, match="2 sources at most"):
+        packing.pack(d, path, targets={"a": 1}, max_queues=2)
+
+
 def test_many_sources_become_bounded_queues(spark):
     d = spark.createDataFrame([(k, "some words here", f"host{k}") for k in range(40)], "doc_id long, text string, source string")
     rows = packing.pack(d, public.path("byte_bpe_50k.json"), max_queues=4, length=64, epoch=2).collect()
