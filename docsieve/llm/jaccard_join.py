@@ -207,7 +207,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranks = sc.broadcast((hot_key[by], (np.uint64(len(hot_key)) - by.astype(np.uint64)) | _TOP))
 
     # 2. prefixes: the token's place in the order serves as its name. n is sent as 2 * n, and 1 more for the first spare(n) + 1 tokens
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # n is only sent for the tokens of `some`
+    def prefixes(batches: Iterator[pa.RecordBatch], some=None) -> Iterator[pa.RecordBatch]:
         often_key, often_rank = ranks.value
         for _, sets in _sets(batches, k):
             tokens, cls, size = [], [], []
@@ -223,29 +224,35 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         s = s[:first] >> np.uint64(1)
                 else:
                     s = s[:first] >> np.uint64(1)
+                twice = np.full(len(s), 2 * n)
+                twice[:plain] += 1
+                if some is not None:
+                    kept = in_bitmap(some.value, s)
+                    s, twice = s[kept], twice[kept]
                 tokens.append(s)
                 cls.append(c)
-                size.append(np.full(len(s), 2 * n))
-                size[-1][:plain] += 1
+                size.append(twice)
             if tokens:
                 m = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), m)),
-                     pa.array(np.concatenate(size))], ["token", "cls", "n"])
+                cols = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), m)), pa.array(np.concatenate(size))]
+                yield pa.RecordBatch.from_arrays(cols, ["token", "cls", "n"]) if some is not None else pa.RecordBatch.from_arrays(cols[:2], ["token", "cls"])
 
     def filter_of(keys: DataFrame):
         """A broadcast bitmap of the column `key`; at most 2**filter_bits bits, past which it lets more through."""
         n = keys.count()
         return sc.broadcast(bitmap(keys, min(filter_bits, max(16, (16 * n).bit_length()))))
 
-    same, own = Window.partitionBy("token"), Window.partitionBy("cls")
+    own = Window.partitionBy("cls")
     slack = lambda n: F.floor(n * (100 - percent) / 100)
     need = lambda n: (1 + F.floor(slack(n) / 3)).cast("long")
     smallest = F.ceil(F.col("n") * percent / 100)  # of a partner
+    # tokens of two classes or more, combined before the shuffle, so that one of very many classes is a few rows; then their rows
+    several = materialize(texts.mapInArrow(prefixes, "token long, cls long").groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+                          .where("lo < hi").select("token"))
+    few = filter_of(several.select(F.col("token").alias("key")))
     shared = materialize(
-        texts.mapInArrow(prefixes, "token long, cls long, n long")
-        .withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)})
-        .where("lo < hi").selectExpr("token", "cls", "n div 2 as n", "n % 2 = 1 as first").distinct()
+        texts.mapInArrow(lambda batches: prefixes(batches, few), "token long, cls long, n long").join(several, "token", "left_semi")
+        .selectExpr("token", "cls", "n div 2 as n", "n % 2 = 1 as first").distinct()
         .withColumn("have", F.count("*").over(own)).where(F.col("have") >= need(smallest)).select("token", "cls", "n", "first"))
     involved = shared.select("cls").distinct()
     flags = filter_of(involved.select(F.col("cls").alias("key")))
