@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import jobs
 from ..settings import DEFAULT, Settings
+from ..storage import scratch
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -25,11 +26,13 @@ def run_jobs(spark: SparkSession, folder: str, table: str, checkpoint: str, oper
              available_now: bool = True) -> StreamingQuery:
     """Start jobs: `operation` maps a batch of files to one row a doc_id with `error`; rows go to the Parquet folder `table`.
 
-    A batch is written to a folder of its own, overwritten if it runs again, so a restart repeats no result.
+    A batch is written to a folder of its own, overwritten if it runs again, so a restart repeats no result. Its intermediate tables
+    are deleted at its end.
     """
     def batch(files: DataFrame, number: int) -> None:
-        out = operation(files).withColumns({"state": F.lit("SUCCESS"), "failed": F.col("error").isNotNull(), "completed_at": F.current_timestamp()})
-        out.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        with scratch(spark):
+            out = operation(files).withColumns({"state": F.lit("SUCCESS"), "failed": F.col("error").isNotNull(), "completed_at": F.current_timestamp()})
+            out.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     stream = watch(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if available_now else stream.trigger(processingTime="5 seconds")).start()
