@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 #: Action types that are refused, and how far a chain is followed.
 DANGEROUS = ("GoToE", "GoToR", "ImportData", "JavaScript", "Launch", "SubmitForm")
 MAX_DEPTH = 25
@@ -13,20 +15,20 @@ MAX_DEPTH = 25
 def dangerous_actions(actions: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """doc_id, subtypes: sorted dangerous types reached from any trigger within max_depth steps.
 
-    actions: doc_id, action_id, parent_id (null for what a trigger starts), subtype. The chains are followed by a recursive
-    query, so cycles end at the depth.
+    actions: doc_id, action_id, parent_id (null for what a trigger starts), subtype. The chains are followed level by level from the
+    actions that the level before reached first, so cycles end, and so does the work where nothing new is reached.
     """
-    view = "docsieve_actions"
-    actions.select("doc_id", "action_id", "parent_id", "subtype").createOrReplaceTempView(view)
-    reached = actions.sparkSession.sql(f"""
-        WITH RECURSIVE chain(doc_id, action_id, subtype, depth) MAX RECURSION LEVEL {max_depth + 2} AS (
-          SELECT doc_id, action_id, subtype, 0 FROM {view} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT a.doc_id, a.action_id, a.subtype, c.depth + 1
-          FROM chain c JOIN {view} a ON a.doc_id = c.doc_id AND a.parent_id = c.action_id
-          WHERE c.depth < {max_depth})
-        SELECT doc_id, subtype FROM chain""")
-    return (reached.where(F.col("subtype").isin(*DANGEROUS)).groupBy("doc_id")
+    node = ["doc_id", "action_id", "subtype"]
+    rows = materialize(actions.select(*node, "parent_id"))
+    seen = front = materialize(rows.where("parent_id is null").select(*node).distinct())
+    below = rows.where("parent_id is not null")
+    for _ in range(max_depth):
+        parents = front.select("doc_id", F.col("action_id").alias("parent_id")).distinct()
+        front = materialize(below.join(parents, ["doc_id", "parent_id"], "left_semi").select(*node).subtract(seen))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return (seen.where(F.col("subtype").isin(*DANGEROUS)).groupBy("doc_id")
             .agg(F.array_sort(F.collect_set("subtype")).alias("subtypes")))
 
 
