@@ -7,11 +7,10 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,7 @@ from ..settings import DEFAULT, Settings
 from ..sources import files as fs
 from ..sources import images as im
 from ..sources import pdf_writer as writer
+from ..storage import materialize
 
 log = logging.getLogger(__name__)
 
@@ -35,11 +35,6 @@ def _kind(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """df kept in memory for the plans that read it several times; nothing goes to disk, and what memory can't hold is made again."""
-    return df.persist(StorageLevel.MEMORY_ONLY)
-
-
 def guards(files: DataFrame, settings: Settings = DEFAULT, pdf_only: bool = False) -> DataFrame:
     """files with kind and the first error of size, kind and forbidden tokens; only built-in functions, before anything is opened."""
     content = F.col("content")
@@ -81,17 +76,14 @@ def validate(files: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """doc_id, kind, page_count, sanitized (rebuilt bytes), error."""
     checked = guards(files, settings)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                try:
-                    out, n, error = _sanitize(batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), settings)
-                except Exception:  # noqa: BLE001 - one bad document must not end a job
-                    out, n, error = None, None, fs.ERROR_INTERNAL
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, 1), batch.column(2).slice(k, 1), pa.array([n], pa.int32()), pa.array([out], pa.binary()), pa.array([error], pa.string())],
-                    ["doc_id", "kind", "page_count", "sanitized", "error"])
+    def make(doc_id, content: bytes, kind: str) -> Iterable[tuple]:
+        try:
+            out, n, error = _sanitize(content, kind, settings)
+        except Exception:  # noqa: BLE001 - one bad document must not end a job
+            out, n, error = None, None, fs.ERROR_INTERNAL
+        yield doc_id, kind, n, out, error
 
+    run = fs.by_row(make, {"doc_id": None, "kind": pa.string(), "page_count": pa.int32(), "sanitized": pa.binary(), "error": pa.string()})
     schema = f"doc_id {_kind(files)}, kind string, page_count int, sanitized binary, error string"
     good = checked.where(F.col("error").isNull()).select("doc_id", "content", "kind").mapInArrow(run, schema)
     bad = checked.where(F.col("error").isNotNull()).select(
@@ -111,7 +103,7 @@ def audit_redactions(files: DataFrame, settings: Settings = DEFAULT) -> tuple[Da
     """(findings, reports, errors) of the sanitised documents. Findings never hold the text that was found."""
     validated = validate(files, settings)
     pdfs = validated.where("error is null and kind = 'pdf'").select("doc_id", F.col("sanitized").alias("content"))
-    parsed = _once(fs.parse_pdfs(pdfs, settings))
+    parsed = materialize(fs.parse_pdfs(pdfs, settings))
     rel = fs.relations(parsed.where("error is null"))
     found = audit.findings(_candidates(rel, settings), rel["words"], settings)
     errors = (validated.select("doc_id", F.coalesce("error", F.when(F.col("kind") != "pdf", F.lit(
@@ -162,26 +154,21 @@ def discover_revisions(files: DataFrame, settings: Settings = DEFAULT) -> tuple[
     kind = pa.list_(pa.struct([("openable", pa.bool_()), ("page_count", pa.int32()), ("object_count", pa.int32()), ("creation_date", pa.string()),
                                ("mod_date", pa.string()), ("note", pa.string())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                raw = batch.column(1)[k].as_py()
-                # structure limits and dangerous actions refuse a document here too
-                doc, _, error = fs.open_pdf(raw, settings)
-                try:
-                    bad = sorted({a["subtype"] for a in doc.actions()} & set(actions.DANGEROUS)) if doc else []
-                except Exception:  # noqa: BLE001
-                    bad, error = [], "An internal discovery error occurred."
-                if bad:
-                    error = f"Document rejected: an additional-actions (/AA) trigger references disallowed action type(s) ({', '.join(bad)})."
-                rows = [] if error else [inspect_slice(raw[:end], settings) for end in batch.column(2)[k].as_py()[:most]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, 1), batch.column(2).slice(k, 1), pa.array([len(raw)], pa.int64()), pa.array([rows], kind), pa.array([error], pa.string())],
-                    ["doc_id", "offsets", "length", "slices", "error"])
-
+    def make(doc_id, raw: bytes, offsets: list[int]) -> Iterable[tuple]:
+        # structure limits and dangerous actions refuse a document here too
+        doc, _, error = fs.open_pdf(raw, settings)
+        try:
+            bad = sorted({a["subtype"] for a in doc.actions()} & set(actions.DANGEROUS)) if doc else []
+        except Exception:  # noqa: BLE001
+            bad, error = [], "An internal discovery error occurred."
+        if bad:
+            error = f"Document rejected: an additional-actions (/AA) trigger references disallowed action type(s) ({', '.join(bad)})."
+        yield doc_id, offsets, len(raw), [] if error else [inspect_slice(raw[:end], settings) for end in offsets[:most]], error
+
+    run = fs.by_row(make, {"doc_id": None, "offsets": pa.list_(pa.int64()), "length": pa.int64(), "slices": kind, "error": pa.string()})
     seen = good.select(
         "doc_id", "content", b.boundary_offsets(b.latin1(F.col("content")), most=settings.forensics_max_boundary_candidates).alias("offsets"))
-    parsed = _once(seen.mapInArrow(run, f"doc_id {_kind(files)}, offsets array<long>, length long, slices array<{_SLICE}>, error string"))
+    parsed = materialize(seen.mapInArrow(run, f"doc_id {_kind(files)}, offsets array<long>, length long, slices array<{_SLICE}>, error string"))
     fine = parsed.where("error is null")
     slices = fine.select("doc_id", F.posexplode("slices").alias("pos", "s")).select("doc_id", (F.col("pos") + 1).alias("revision_index"), "s.*")
     revs = revisions.revisions(fine.select("doc_id", "length", "offsets"), settings).join(slices, ["doc_id", "revision_index"])
@@ -215,7 +202,7 @@ def extract_revision(files: DataFrame, doc_id, revision_index: int = 1, confirm_
 def clean_pdfs(pdfs: DataFrame, mode: str | None = None, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(outputs, flagged shapes) of sanitised PDFs (doc_id, content). mode 'redact' also takes out the text beneath; all else masks."""
     mode = mode or settings.vector_default_mode
-    parsed = _once(fs.parse_pdfs(pdfs, settings))
+    parsed = materialize(fs.parse_pdfs(pdfs, settings))
     rel = fs.relations(parsed.where("error is null"))
     shapes = vector.border_shapes(rel["drawings"], rel["pages"], settings)
     colors = vector.background_colors(shapes, rel["drawings"], rel["pages"])
@@ -223,60 +210,46 @@ def clean_pdfs(pdfs: DataFrame, mode: str | None = None, settings: Settings = DE
         F.collect_list(F.struct("page_number", "rect", "background")).alias("edits"), F.countDistinct("page_number").cast("int").alias("pages_flagged")))
     joined = pdfs.join(parsed.select("doc_id", "error"), "doc_id").join(edits, "doc_id", "left").select("doc_id", "content", "edits", "pages_flagged", "error")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        change = writer.redacted if mode == "redact" else writer.masked
-        for batch in batches:
-            for k in range(batch.num_rows):
-                error, out, began = batch.column(4)[k].as_py(), None, time.monotonic()
-                if error is None:
-                    try:
-                        doc, _ = fs.Document.open(batch.column(1)[k].as_py())
-                        pages, by_page = doc.pages(), {}
-                        for e in batch.column(2)[k].as_py() or []:
-                            by_page.setdefault(e["page_number"], []).append((tuple(e["rect"][c] for c in ("x0", "y0", "x1", "y1")), e["background"]))
-                        out = writer.rebuild(doc, {n: change(doc, pages[n], [r for r, _ in es], es[0][1]) for n, es in by_page.items()})
-                    except Exception:  # noqa: BLE001
-                        error = fs.ERROR_INTERNAL
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, 1), pa.array([out], pa.binary()), pa.array([batch.column(3)[k].as_py() or 0], pa.int32()),
-                     pa.array([time.monotonic() - began]), pa.array([error], pa.string())], ["doc_id", "output", "pages_flagged", "elapsed_seconds", "error"])
-
+    def make(doc_id, content: bytes, edits: list[dict] | None, flagged: int | None, error: str | None) -> Iterable[tuple]:
+        change, out, began = writer.redacted if mode == "redact" else writer.masked, None, time.monotonic()
+        if error is None:
+            try:
+                doc, _ = fs.Document.open(content)
+                pages, by_page = doc.pages(), {}
+                for e in edits or []:
+                    by_page.setdefault(e["page_number"], []).append((tuple(e["rect"][c] for c in ("x0", "y0", "x1", "y1")), e["background"]))
+                out = writer.rebuild(doc, {n: change(doc, pages[n], [r for r, _ in es], es[0][1]) for n, es in by_page.items()})
+            except Exception:  # noqa: BLE001
+                error = fs.ERROR_INTERNAL
+        yield doc_id, out, flagged or 0, time.monotonic() - began, error
+
+    run = fs.by_row(make, {"doc_id": None, "output": pa.binary(), "pages_flagged": pa.int32(), "elapsed_seconds": pa.float64(), "error": pa.string()})
     out = joined.mapInArrow(run, f"doc_id {_kind(pdfs)}, output binary, pages_flagged int, elapsed_seconds double, error string")
     return out.withColumn("output_format", F.lit("pdf")), shapes
 
 
 def decode_images(images: DataFrame) -> DataFrame:
     """doc_id, height, width, channels, data, format, error of PNG and TIFF bytes (doc_id, content), as the image source gives them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                try:
-                    bgr, fmt = im.decode(batch.column(1)[k].as_py())
-                    row = (*bgr.shape, bgr.tobytes(), fmt, None)
-                except im.ImageError as e:
-                    row = (None, None, None, None, None, f"Malformed or corrupt image: {e}")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, 1), *(pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())))],
-                    ["doc_id", "height", "width", "channels", "data", "format", "error"])
+    def make(doc_id, content: bytes) -> Iterable[tuple]:
+        try:
+            bgr, fmt = im.decode(content)
+            yield doc_id, *bgr.shape, bgr.tobytes(), fmt, None
+        except im.ImageError as e:
+            yield doc_id, None, None, None, None, None, f"Malformed or corrupt image: {e}"
 
+    run = fs.by_row(make, {"doc_id": None, "height": pa.int32(), "width": pa.int32(), "channels": pa.int32(), "data": pa.binary(), "format": pa.string(), "error": pa.string()})
     return images.select("doc_id", "content").mapInArrow(
         run, f"doc_id {_kind(images)}, height int, width int, channels int, data binary, format string, error string")
 
 
 def components_of(images: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Dark components of decoded images: the rows that operators.raster judges."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"x": pa.int32(), "y": pa.int32(), "w": pa.int32(), "h": pa.int32(), "img_w": pa.int32(), "img_h": pa.int32(),
-                 "mean_intensity": pa.float64(), "edge_fraction": pa.float64()}
-        for batch in batches:
-            for k in range(batch.num_rows):
-                h, w, c, data = (batch.column(i)[k].as_py() for i in range(1, 5))
-                rows = pixels.dark_components(pixels.to_bgr(data, h, w, c), settings)
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(0)[k].as_py()] * len(rows), batch.column(0).type), *(pa.array([r[n] for r in rows], t) for n, t in kinds.items())],
-                        ["doc_id", *kinds])
+    kinds = {"x": pa.int32(), "y": pa.int32(), "w": pa.int32(), "h": pa.int32(), "img_w": pa.int32(), "img_h": pa.int32(), "mean_intensity": pa.float64(), "edge_fraction": pa.float64()}
+
+    def make(doc_id, h: int, w: int, c: int, data: bytes) -> Iterable[tuple]:
+        return [(doc_id, *(r[n] for n in kinds)) for r in pixels.dark_components(pixels.to_bgr(data, h, w, c), settings)]
 
+    run = fs.by_row(make, {"doc_id": None, **kinds})
     return images.select("doc_id", "height", "width", "channels", "data").mapInArrow(
         run, f"doc_id {_kind(images)}, x int, y int, w int, h int, img_w int, img_h int, mean_intensity double, edge_fraction double")
 
@@ -288,28 +261,24 @@ def clean_images(images: DataFrame, mode: str | None = None, settings: Settings
     per = bands.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("side_order", "x", "y", "w", "h", "side"))).alias("bands"))
     joined = images.join(per, "doc_id", "left").select("doc_id", "height", "width", "channels", "data", "format", "bands")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                h, w, c, data, fmt, found = (batch.column(i)[k].as_py() for i in range(1, 7))
-                bgr, began = pixels.to_bgr(data, h, w, c), time.monotonic()
-                if found:
-                    bgr = pixels.crop(bgr, found) if mode == "crop" else pixels.paint(bgr, found)
-                fmt = fmt if fmt in ("PNG", "TIFF") else "PNG"
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, 1), pa.array([im.encode(np.asarray(bgr), fmt)], pa.binary()), pa.array([int(bool(found))], pa.int32()),
-                     pa.array([time.monotonic() - began]), pa.array([fmt.lower()])], ["doc_id", "output", "pages_flagged", "elapsed_seconds", "output_format"])
+    def make(doc_id, h: int, w: int, c: int, data: bytes, fmt: str, found: list[dict] | None) -> Iterable[tuple]:
+        bgr, began = pixels.to_bgr(data, h, w, c), time.monotonic()
+        if found:
+            bgr = pixels.crop(bgr, found) if mode == "crop" else pixels.paint(bgr, found)
+        fmt = fmt if fmt in ("PNG", "TIFF") else "PNG"
+        yield doc_id, im.encode(np.asarray(bgr), fmt), int(bool(found)), time.monotonic() - began, fmt.lower()
 
+    run = fs.by_row(make, {"doc_id": None, "output": pa.binary(), "pages_flagged": pa.int32(), "elapsed_seconds": pa.float64(), "output_format": pa.string()})
     out = joined.mapInArrow(run, f"doc_id {_kind(images)}, output binary, pages_flagged int, elapsed_seconds double, output_format string")
     return out, bands
 
 
 def process(files: DataFrame, vector_mode: str | None = None, raster_mode: str | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """Validate and clean files of any kind: doc_id, kind, output, output_format, pages_flagged, elapsed_seconds (3 places), error."""
-    validated = _once(validate(files, settings))
+    validated = materialize(validate(files, settings))
     good = lambda kind: validated.where((F.col("kind") == kind) & F.col("error").isNull()).select("doc_id", F.col("sanitized").alias("content"))
     pdf_out, _ = clean_pdfs(good("pdf"), vector_mode, settings)
-    decoded = _once(decode_images(good("raster_image")))
+    decoded = materialize(decode_images(good("raster_image")))
     image_out, _ = clean_images(decoded.where("error is null"), raster_mode, settings)
     none: Column = F.lit(None)
     cols = lambda df, kind, error: df.select("doc_id", F.lit(kind).alias("kind") if kind else "kind", "output", "output_format", "pages_flagged",

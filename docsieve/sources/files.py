@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,32 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
         image["origin"].alias("doc_id"), image["height"].alias("height"), image["width"].alias("width"), image["nChannels"].alias("channels"), image["data"].alias("data"))
 
 
+def by_row(make: Callable[..., Iterable[tuple]], types: dict[str, pa.DataType | None], rows: int = 512, size: int = 8_000_000) -> Callable:
+    """For mapInArrow: the rows that make(*values of a row) gives, in batches of at most `rows` rows and about `size` bytes.
+
+    types: names and types of what is made; None for the type of the first column that comes in.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, first = [], 0, None
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, first if t is None else t) for c, t in zip(zip(*out), types.values())], list(types))
+
+        for b in batches:
+            first = b.column(0).type
+            for values in zip(*b.columns):  # a value is taken out of Arrow when its turn comes
+                for row in make(*(v.as_py() for v in values)):
+                    out.append(row)
+                    held += sum(len(v) for v in row if isinstance(v, bytes | str))
+                    if len(out) >= rows or held >= size:
+                        yield batch()
+                        out, held = [], 0
+        if out:
+            yield batch()
+
+    return run
+
+
 _RECT = pa.struct([(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")])
 _PARTS = {
     "pages": [("page_number", pa.int32()), ("page_rect", _RECT)],
@@ -103,14 +129,11 @@ def parse_pdfs(files: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     kind = files.schema["doc_id"].dataType.simpleString()
     types = {k: pa.list_(pa.struct(v)) for k, v in _PARTS.items()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):  # documents are large; each is a batch of its own
-                row = parse_one(b.column(1)[k].as_py() or b"", settings)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(k, 1), *(pa.array([row[n]], t) for n, t in _HEAD), *(pa.array([row[n]], t) for n, t in types.items())],
-                    ["doc_id", *(n for n, _ in _HEAD), *types])
+    def make(doc_id, content: bytes | None) -> Iterable[tuple]:
+        row = parse_one(content or b"", settings)
+        yield (doc_id, *(row[n] for n, _ in _HEAD), *(row[n] for n in types))
 
+    run = by_row(make, {"doc_id": None, **dict(_HEAD), **types}, rows=64)
     head = ", ".join(f"{n} {'boolean' if t == pa.bool_() else _SQL[t]}" for n, t in _HEAD)
     parts = ", ".join(f"{n} array<struct<{','.join(f'{f}:{_SQL[t]}' for f, t in v)}>>" for n, v in _PARTS.items())
     return files.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, {head}, {parts}")

@@ -85,12 +85,20 @@ def _png(raw: bytes, w: int, h: int) -> np.ndarray:
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         at += 12 + n
-    a = unfilter(zlib.decompress(data), w * channels, channels, h).reshape(h, w, channels)
+    a = unfilter(_inflate(data, h * (w * channels + 1)), w * channels, channels, h).reshape(h, w, channels)
     if color == 3:
         return palette[a[:, :, 0]]
     return np.repeat(a[:, :, :1], 3, axis=2) if channels < 3 else a[:, :, :3]
 
 
+def _inflate(raw: bytes, size: int) -> bytes:
+    """At most `size` bytes, which is what the header states; no file can make more of its data."""
+    try:
+        return zlib.decompressobj().decompress(raw, max(1, size))
+    except zlib.error as e:
+        raise ImageError(str(e)) from e
+
+
 def unfilter(data: bytes, row: int, pixel: int, rows: int) -> np.ndarray:
     """Rows of bytes behind PNG's row filters."""
     a = np.frombuffer(data, np.uint8)[:rows * (row + 1)].reshape(rows, row + 1)
@@ -130,7 +138,7 @@ def _tiff(raw: bytes, w: int, h: int) -> np.ndarray:
     for at, n in zip(t[273], t[279]):
         strip = raw[at:at + n]
         if packing in (8, 32946):
-            strip = zlib.decompress(strip)
+            strip = _inflate(strip, w * h * channels)
         elif packing != 1:
             raise ImageError("TIFF packing isn't read")
         data += strip

@@ -145,6 +145,18 @@ class Lexer:
         raise PdfError("a string has no end")
 
 
+#: Most bytes that one stream may inflate to.
+MAX_STREAM = 256 * 1024 * 1024
+
+
+def _inflate(raw: bytes, most: int | None = None) -> bytes:
+    z = zlib.decompressobj()
+    out = z.decompress(raw, most or MAX_STREAM)
+    if z.unconsumed_tail:
+        raise PdfError("a stream inflates past the safe limit")
+    return out
+
+
 class Document:
     """The objects of a PDF. recover: read all `n g obj` in the file instead of following its tables."""
 
@@ -330,7 +342,7 @@ class Document:
         for name, parm in zip(names, parms):
             name = self.get(name)
             if name in ("FlateDecode", "Fl"):
-                out = _predicted(zlib.decompressobj().decompress(out), self.get(parm) or {})
+                out = _predicted(_inflate(out), self.get(parm) or {})
             elif name in ("ASCIIHexDecode", "AHx"):
                 digits = re.sub(rb"[^0-9A-Fa-f]", b"", out.split(b">")[0])
                 out = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
