@@ -1,7 +1,8 @@
 """Registered queries of the document operators over the driver's tables, with their SQL.
 
 The tables hold no PDFs, so rectangles, components, words and actions are derived from rows by integer arithmetic that both
-engines do alike; the operators that the queries call are the ones that real files go through.
+engines do alike. `dangerous_actions`, `channel_median` and `flat_image` are checked here alone: files go through the walk of `sources.pdf`,
+the median of `functions.pixels` and the judgement of `operators.audit`, which state the same rules.
 """
 
 from __future__ import annotations
@@ -223,7 +224,7 @@ def revision_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    revs = revisions.revisions(_bounds(spark, sf_dir), Settings(forensics_max_revisions_reported=3))
+    revs = revisions.revisions(_bounds(spark, sf_dir))
     return revs.join(_document_bytes(spark, sf_dir), "doc_id").select(
         "doc_id", "revision_index", F.md5(F.substring("content", F.lit(1), F.col("boundary_end_offset").cast("int"))).alias("digest"))
 
@@ -248,7 +249,7 @@ def ttl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_time_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _t(spark, sf_dir, "events")
-    return jobs.unread(ev.select("event_id", "user_id"), ev.where("event_type = 'purchase' and event_id % 97 = 0"), "user_id")
+    return jobs.unread(ev.select("event_id", "user_id"), ev.where("event_type = 'purchase'"), "user_id")
 
 
 def payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,13 +398,13 @@ ORACLES = {
           coalesce(found, 0) >= 200 OR coalesce(n, 0) >= 50 AS truncated
         FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "prefix_slice": f"""WITH {_BOUNDS},
-        o AS (SELECT doc_id, i, sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS chars FROM p QUALIFY i <= 3)
+        o AS (SELECT doc_id, i, sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS chars FROM p QUALIFY i <= 50)
         SELECT doc_id, i::INT AS revision_index, md5(substr(text, 1, chars)) AS digest FROM o JOIN documents USING (doc_id)""",
     "job_status": """
         SELECT user_id, arg_max(event_type, row(ts, event_id)) AS event_type, CASE user_id % 6 WHEN 1 THEN 'processing' WHEN 3 THEN 'failed'
                WHEN 2 THEN CASE WHEN user_id % 4 = 0 THEN 'failed' ELSE 'complete' END WHEN 5 THEN CASE WHEN user_id % 4 = 0 THEN 'failed' ELSE 'complete' END
                ELSE 'queued' END AS status FROM events GROUP BY user_id""",
     "ttl_filter": "SELECT event_id, user_id FROM events WHERE ts + INTERVAL 86400 SECOND > (SELECT max(ts) FROM events)",
-    "one_time_read": "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 97 = 0 AND user_id IS NOT NULL)",
+    "one_time_read": "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL)",
     "payload_roundtrip": "SELECT doc_id, md5(base64(encode(text))) AS digest, length(base64(encode(text)))::BIGINT AS n, true AS same FROM documents",
 } | file_queries.ORACLES
