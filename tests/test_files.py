@@ -343,3 +343,35 @@ def test_stream_of_files(spark, tmp_path):
     assert stream.results(spark, str(tmp_path / "out"), done.where("error is null").select("doc_id")).count() == 1
     assert stream.results(spark, str(tmp_path / "out"), settings=Settings(job_ttl_seconds=0)).count() == 0
     assert len(list(inbox.iterdir())) == 2  # inputs stay
+
+
+def test_two_million_triggers_and_a_cycle(spark):
+    rows = spark.range(2_000_000).selectExpr("id % 7 as doc_id", "id as action_id", "cast(null as long) as parent_id", "if(id = 3, 'Launch', 'GoTo') as subtype")
+    more = spark.createDataFrame([(1, 9_000_000, 1, None), (1, 9_000_001, 9_000_000, "JavaScript"), (1, 9_000_000, 9_000_001, None), (2, 9_000_002, 9_000_002, "Launch")], "doc_id long, action_id long, parent_id long, subtype string")
+    got = {r["doc_id"]: r["subtypes"] for r in actions.dangerous_actions(rows.unionByName(more)).collect()}
+    assert got == {3: ["Launch"], 1: ["JavaScript"]}
+
+
+def test_streams_that_inflate_past_the_limit_are_errors(monkeypatch):
+    import zlib
+
+    from docsieve.sources import images, pdf
+
+    monkeypatch.setattr(pdf, "MAX_STREAM", 1000)
+    assert pdf._inflate(zlib.compress(b"x" * 1000)) == b"x" * 1000
+    with pytest.raises(pdf.PdfError, match="past the safe limit"):
+        pdf._inflate(zlib.compress(b"x" * 100_000))
+    assert len(images._inflate(zlib.compress(b"x" * 100_000), 10)) == 10
+
+
+def test_intermediate_tables_of_a_batch_are_deleted_and_nothing_stays_cached(spark, tmp_path):
+    from docsieve import storage
+
+    with storage.scratch(spark):
+        kept = storage.materialize(spark.range(5))
+        home = storage.shared_dir(spark).rsplit("/", 1)[0]
+        assert kept.count() == 5 and storage.exists(spark, home)
+    assert not storage.exists(spark, home) and storage.shared_dir(spark).rsplit("/", 1)[0] != home
+    files = spark.createDataFrame([("a", b"%PDF-1.4 nothing"), ("b", b"")], "doc_id string, content binary")
+    assert api.process(files).count() == 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
