@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import clean_up, exists, materialize, shared_dir  # noqa: F401
+
 #: ASCII white space; the words of a text are the runs of other characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,54 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_FOLDERS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
-
-    All folders of an application lie in one, which goes when the driver's JVM ends, or by clean_up(). Where the session names no
-    folder, one of this machine serves a local master; with any other, executors couldn't read what they didn't write.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            base = "/tmp/docsieve-shared"
-        home = f"{base.rstrip('/')}/docsieve-{sc.applicationId}-{uuid.uuid4().hex}"
-        at, fs = _file_system(spark, home)
-        fs.mkdirs(at)
-        fs.deleteOnExit(at)
-        _FOLDERS[sc.applicationId] = home
-    return f"{_FOLDERS[sc.applicationId]}/{uuid.uuid4().hex}"
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at, fs = _file_system(spark, path)
-    return fs.exists(at)
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this application; frames that read them can't be used after that."""
-    if home := _FOLDERS.pop(spark.sparkContext.applicationId, None):
-        at, fs = _file_system(spark, home)
-        fs.delete(at, True)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and lost executors lose nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def integer_ids(docs: DataFrame, id_col: str) -> DataFrame:
     """docs, if its ids are integers."""
     kind = docs.schema[id_col].dataType.simpleString()
