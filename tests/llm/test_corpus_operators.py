@@ -327,3 +327,18 @@ def test_pipeline_stages(spark, tmp_path):
     digest = lambda df: sorted(map(tuple, df.select("doc_id", "start", "length", "ids_crc32").collect()))
     assert digest(whole) == digest(seen[corpus_pipeline.STAGES[4][0]])
 
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(0, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (None, "words " * 50, None, "b", 300), (None, "words " * 50, None, "b", 300), (4, "word " * 20_000, "en", "a", 1)]
+    for name, given in (("odd", rows), ("none", [])):
+        home = tmp_path / name
+        spark.createDataFrame(given, schema).write.parquet(str(home / "documents.parquet"))
+        # all labelled rows are good ones, so nothing is rejected
+        spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(home / "labels.parquet"))
+        spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(str(home / "benchmark.parquet"))
+        got = collections.Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(home)).where("start = 0").collect())
+        assert got == collections.Counter(r[0] for r in given)
