@@ -10,7 +10,8 @@ Documents with equal sets of shingles are one class; a class stands for all its
 3. Groups. Classes are put into groups by a min-hash, and large groups are cut into blocks. Links inside a block are found by
    matrix products; blocks of one group are dealt out a second time, so that a large family of near copies grows together.
    Connected components give each class a label.
-4. Queries. Tokens whose classes have one label are settled. For the others, the matrix gives the blocks that a class must be
+4. Queries. Tokens whose classes have one label are settled. Of the others, each class first asks one block, which holds the
+   largest family that its tokens point to; that settles most. For what is left, the matrix gives the blocks that a class must be
    held against: those with a token of its prefix and with another label. The block's token union bounds the overlap; only
    blocks whose bound is high enough are opened and compared. A pair of classes with equal labels is never compared again.
 
@@ -206,15 +207,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # among the frequent tokens the rarer ones come first
     ranks = sc.broadcast((hot_key[by], (np.uint64(len(hot_key)) - by.astype(np.uint64)) | _TOP))
 
-    # 2. prefixes: the token's place in the order serves as its name. n is sent as 2 * n, and 1 more for the first spare(n) + 1 tokens
-    # n is only sent for the tokens of `some`
+    # 2. prefixes: the token's place in the order serves as its name. n is sent as n * 2**32, plus the token's position in the set;
+    # it is only sent for the tokens of `some`
     def prefixes(batches: Iterator[pa.RecordBatch], some=None) -> Iterator[pa.RecordBatch]:
         often_key, often_rank = ranks.value
         for _, sets in _sets(batches, k):
             tokens, cls, size = [], [], []
             for (c, n), s in _distinct(sets).items():
-                plain = spare(n, percent) + 1
-                first = plain - 1 + least_shared(n, percent)
+                first = spare(n, percent) + least_shared(n, percent)
                 if len(often_key):
                     at = np.minimum(np.searchsorted(often_key, s), len(often_key) - 1)
                     is_hot = often_key[at] == s
@@ -224,14 +224,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         s = s[:first] >> np.uint64(1)
                 else:
                     s = s[:first] >> np.uint64(1)
-                twice = np.full(len(s), 2 * n)
-                twice[:plain] += 1
+                place = (n << 32) + np.arange(len(s))
                 if some is not None:
                     kept = in_bitmap(some.value, s)
-                    s, twice = s[kept], twice[kept]
+                    s, place = s[kept], place[kept]
                 tokens.append(s)
                 cls.append(c)
-                size.append(twice)
+                size.append(place)
             if tokens:
                 m = [len(t) for t in tokens]
                 cols = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), m)), pa.array(np.concatenate(size))]
@@ -252,8 +251,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     few = filter_of(several.select(F.col("token").alias("key")))
     shared = materialize(
         texts.mapInArrow(lambda batches: prefixes(batches, few), "token long, cls long, n long").join(several, "token", "left_semi")
-        .selectExpr("token", "cls", "n div 2 as n", "n % 2 = 1 as first").distinct()
-        .withColumn("have", F.count("*").over(own)).where(F.col("have") >= need(smallest)).select("token", "cls", "n", "first"))
+        .distinct().selectExpr("token", "cls", "shiftright(n, 32) as n", "n & 4294967295 as place")
+        .withColumn("have", F.count("*").over(own)).where(F.col("have") >= need(smallest)).select("token", "cls", "n", "place"))
     involved = shared.select("cls").distinct()
     flags = filter_of(involved.select(F.col("cls").alias("key")))
     classes = materialize(members.where("n > 0").select("cls", "n", "low").distinct().join(involved, "cls", "left_semi"))
@@ -292,51 +291,68 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     twice = flock.join(large, "low").select("low", salt(2), "cls", "tokens")
     edges = materialize(once.groupBy("low", "salt").applyInPandas(link, "a long, b long").unionByName(
         twice.groupBy("low", "salt").applyInPandas(link, "a long, b long")))
-    labels = components(edges)  # node, label
-
     # 4. what is left: tokens with several labels
-    label = F.coalesce("label", "cls")
-    known = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "low", label.alias("label"))
-    weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
-    known = materialize(known.join(weights, "label", "left").join(large, "low", "left").select(
-        "cls", "n", "label", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), "label").alias("rank"), "low", salt(1), blocks().alias("blocks")))
-    groups = known.groupBy(F.col("low").alias("to")).agg(
-        F.max("rank").alias("top"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("blocks").alias("parts"))
-    # the first spare(n) + 1 tokens are enough here: of them, a pair shares more the nearer its sizes are
-    rows = shared.where("first").select("token", "cls").join(known, "cls")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    rows = materialize(rows.join(mixed, "token", "left_semi"))
-    matrix = rows.select("token", F.col("low").alias("to")).distinct().join(groups, "to")
-    # a class asks the groups that hold a label of higher rank, sizes near its own, and enough of its prefix; but not its own block
+    def labelled(edges: DataFrame) -> DataFrame:
+        labels = components(edges)  # node, label
+        known = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "low", F.coalesce("label", "cls").alias("label"))
+        weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
+        return materialize(known.join(weights, "label", "left").join(large, "low", "left").select(
+            "cls", "n", "label", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), "label").alias("rank"), "low", salt(1), blocks().alias("blocks")))
+
+    def unsettled(known: DataFrame) -> DataFrame:
+        # the first spare(n) + 1 tokens are enough here: of them, a pair shares more the nearer its sizes are
+        rows = shared.where(F.col("place") <= slack(F.col("n"))).select("token", "cls", "place").join(known, "cls")
+        mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+        return materialize(rows.join(mixed, "token", "left_semi"))
+
+    def answers(asks: DataFrame, known: DataFrame) -> DataFrame:
+        """Edges between classes and the blocks (to, block) that they ask."""
+        per = asks.groupBy("to", "block").agg(F.ceil(F.count("*") / (2 * block)).alias("parts"))
+        asking = asks.join(per, ["to", "block"]).select(
+            "to", "block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).alias("part"), "cls", "label", F.lit(True).alias("asks"))
+        opened = known.join(per, (known["low"] == per["to"]) & (known["salt"] == per["block"])).select(
+            "to", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "cls", "label", F.lit(False).alias("asks"))
+        wanted = materialize(asking.unionByName(opened))
+        some = filter_of(wanted.select(F.col("cls").alias("key")).distinct())
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(in_bitmap(some.value, b.column(0).to_numpy().view(np.uint64))))
+
+        def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+            q, g = pdf[pdf["asks"]].drop_duplicates("cls"), pdf[~pdf["asks"]].drop_duplicates("cls")
+            a, b = _ask(q, g, percent) if len(q) and len(g) else ([], [])
+            return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+        picked = sets.select("cls", "tokens").mapInArrow(pick, "cls long, tokens binary")
+        return materialize(wanted.join(picked, "cls").groupBy("to", "block", "part").applyInPandas(ask, "a long, b long"))
+
+    # first each class asks one block only: of the blocks that hold the class of highest rank for one of its tokens, the one with most
+    # such tokens. So a family of near copies that is spread over many groups gets one label, and its tokens are settled.
+    known = labelled(edges)
+    rows = unsettled(known)
+    hubs = rows.groupBy("token").agg(F.max(F.struct("rank", "low", "salt")).alias("hub"))
+    best = (rows.join(hubs, "token").where((F.col("label") != F.col("hub.rank.label")) & ((F.col("low") != F.col("hub.low")) | (F.col("salt") != F.col("hub.salt"))))
+            .groupBy("cls", "label", "hub.low", "hub.salt").agg(F.count("*").alias("have"))
+            .groupBy("cls", "label").agg(F.max(F.struct("have", F.col("low").alias("to"), F.col("salt").alias("block"))).alias("best")))
+    edges = edges.unionByName(answers(materialize(best.select("best.to", "best.block", "cls", "label")), known))
+
+    # then the matrix over what is still open gives all blocks that can hold a partner
+    known = labelled(edges)
+    rows = unsettled(known)
+    groups = known.groupBy(F.col("low").alias("to")).agg(F.max("rank").alias("top"), F.max("blocks").alias("parts"))
+    matrix = rows.groupBy("token", F.col("low").alias("to")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest")).join(groups, "to")
+    # a class asks the groups that hold a label of higher rank and sizes near its own; but not its own block. The first token that two
+    # sets share has all others that they share behind it, in both: what is left of the sets there bounds the overlap.
     other = (F.col("low") != F.col("to")) | (F.col("parts") > 1)
     near = (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
-    bound = least_common(F.col("n"), F.greatest("least", smallest), F.least("most", F.floor(F.col("n") * 100 / percent)), percent)
-    asks = (rows.join(matrix, "token").where(other & near & (F.col("rank") < F.col("top")))
-            .groupBy("to", "cls", "n", "label", "least", "most", "parts", "low", "salt").agg(F.count("*").alias("have"))
-            .where(F.col("have") >= bound)
+    enough = F.least(F.col("n") - F.col("place"), "rest") >= F.ceil((F.col("n") + F.greatest("least", smallest)) * percent / (100 + percent))
+    asks = (rows.join(matrix, "token").where(other & near & enough & (F.col("rank") < F.col("top")))
+            .select("to", "cls", "label", "parts", "low", "salt").distinct()
             .select("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"), "cls", "label", "low", "salt")
             .where((F.col("low") != F.col("to")) | (F.col("salt") != F.col("block"))))
-    asks = materialize(asks.select("to", "block", "cls", "label"))
-    per = asks.groupBy("to", "block").agg(F.ceil(F.count("*") / (2 * block)).alias("parts"))
-    asking = asks.join(per, ["to", "block"]).select(
-        "to", "block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).alias("part"), "cls", "label", F.lit(True).alias("asks"))
-    opened = known.join(per, (known["low"] == per["to"]) & (known["salt"] == per["block"])).select(
-        "to", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "cls", "label", F.lit(False).alias("asks"))
-    wanted = materialize(asking.unionByName(opened))
-    some = filter_of(wanted.select(F.col("cls").alias("key")).distinct())
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(in_bitmap(some.value, b.column(0).to_numpy().view(np.uint64))))
-
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, g = pdf[pdf["asks"]].drop_duplicates("cls"), pdf[~pdf["asks"]].drop_duplicates("cls")
-        a, b = _ask(q, g, percent) if len(q) and len(g) else ([], [])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    picked = sets.select("cls", "tokens").mapInArrow(pick, "cls long, tokens binary")
-    more = materialize(wanted.join(picked, "cls").groupBy("to", "block", "part").applyInPandas(ask, "a long, b long"))
-    whole = components(edges.unionByName(more))
+    whole = components(edges.unionByName(answers(materialize(asks.select("to", "block", "cls", "label")), known)))
 
     # component of each document: the smallest id among the documents of the classes of its component
     first = members.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("lo"))
