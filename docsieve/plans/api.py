@@ -21,7 +21,7 @@ from ..settings import DEFAULT, Settings
 from ..sources import files as fs
 from ..sources import images as im
 from ..sources import pdf_writer as writer
-from ..storage import materialize
+from ..storage import folder_for_files, materialize, write_file
 
 log = logging.getLogger(__name__)
 
@@ -56,9 +56,9 @@ def _sanitize(raw: bytes, kind: str, settings: Settings) -> tuple[bytes | None,
                 return None, None, f"Image dimensions exceed the {settings.max_image_dimension}px per-side limit."
             if w * h > settings.max_image_pixels:
                 return None, None, "Image pixel count exceeds safe processing limits."
-            if fmt == "JPEG":  # pixels of JPEG files come from the image source
-                return raw, 1, None
-            bgr, _ = im.decode(raw)
+            if fmt == "JPEG":  # its pixels stay as they are coded
+                return im.bare_jpeg(raw), 1, None
+            bgr, _ = im.decode(raw, alpha=True)
             return im.encode(bgr, "PNG" if fmt == "PNG" and raw[25] in (3, 4, 6) else "TIFF"), 1, None
         except im.ImageError as e:
             return None, None, f"Malformed or corrupt image: {e}"
@@ -228,18 +228,44 @@ def clean_pdfs(pdfs: DataFrame, mode: str | None = None, settings: Settings = DE
     return out.withColumn("output_format", F.lit("pdf")), shapes
 
 
+_PIXELS = "height int, width int, channels int, data binary, format string, original binary, error string"
+
+
 def decode_images(images: DataFrame) -> DataFrame:
-    """doc_id, height, width, channels, data, format, error of PNG and TIFF bytes (doc_id, content), as the image source gives them."""
+    """doc_id, height, width, channels, data, format, original, error of image bytes (doc_id, content), as the image source gives them.
+
+    original: the bytes, of those formats that can't be written again as they were.
+    """
     def make(doc_id, content: bytes) -> Iterable[tuple]:
         try:
             bgr, fmt = im.decode(content)
-            yield doc_id, *bgr.shape, bgr.tobytes(), fmt, None
+            yield doc_id, *bgr.shape, bgr.tobytes(), fmt, content if im.has_alpha(content) else None, None
         except im.ImageError as e:
-            yield doc_id, None, None, None, None, None, f"Malformed or corrupt image: {e}"
+            yield doc_id, None, None, None, None, None, None, f"Malformed or corrupt image: {e}"
+
+    run = fs.by_row(make, {"doc_id": None, "height": pa.int32(), "width": pa.int32(), "channels": pa.int32(), "data": pa.binary(), "format": pa.string(),
+                           "original": pa.binary(), "error": pa.string()})
+    jpeg = F.coalesce(F.col("content").startswith(F.unhex(F.lit("FFD8FF"))), F.lit(False))
+    other = images.where(~jpeg).select("doc_id", "content").mapInArrow(run, f"doc_id {_kind(images)}, {_PIXELS}")
+    return other.unionByName(_decode_jpegs(images.where(jpeg)))
 
-    run = fs.by_row(make, {"doc_id": None, "height": pa.int32(), "width": pa.int32(), "channels": pa.int32(), "data": pa.binary(), "format": pa.string(), "error": pa.string()})
-    return images.select("doc_id", "content").mapInArrow(
-        run, f"doc_id {_kind(images)}, height int, width int, channels int, data binary, format string, error string")
+
+def _decode_jpegs(images: DataFrame) -> DataFrame:
+    """As decode_images: the bytes go to files of the shared folder, one for each content, which Spark's image source reads."""
+    names, (folder, uri) = F.sha2("content", 256), folder_for_files(images.sparkSession)
+
+    def make(doc_id, content: bytes, name: str) -> Iterable[tuple]:
+        write_file(uri, name + ".jpg", content)
+        yield doc_id, content, name
+
+    run = fs.by_row(make, {"doc_id": None, "original": pa.binary(), "name": pa.string()})
+    kept = materialize(images.select("doc_id", "content", names).mapInArrow(run, f"doc_id {_kind(images)}, original binary, name string"))
+    pixel = fs.read_pixels(images.sparkSession, folder, valid=False).withColumn("name", F.regexp_extract("doc_id", r"([0-9a-f]{64})\.jpg$", 1)).drop("doc_id")
+    good = F.coalesce(F.col("height") > 0, F.lit(False))
+    of = lambda c: F.when(good, F.col(c)).alias(c)
+    return kept.join(pixel, "name", "left").select(
+        "doc_id", *map(of, ("height", "width", "channels", "data")), F.when(good, "JPEG").alias("format"), of("original"),
+        F.when(~good, "Malformed or corrupt image: its pixels can't be decoded").alias("error"))
 
 
 def components_of(images: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -255,13 +281,21 @@ def components_of(images: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 def clean_images(images: DataFrame, mode: str | None = None, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(outputs, flagged bands) of decoded images (doc_id, height, width, channels, data, format). mode 'crop'; all else paints."""
+    """(outputs, flagged bands) of decoded images (doc_id, height, width, channels, data, format). mode 'crop'; all else paints.
+
+    Images without bands come back as the bytes in the column `original`, where there are any. What is changed is written without
+    alpha, and as PNG where it was a JPEG.
+    """
+    images = images if "original" in images.columns else images.withColumn("original", F.lit(None).cast("binary"))
     mode = mode or settings.raster_default_mode
     bands = raster.merge_by_side(raster.border_components(components_of(images, settings), settings))
     per = bands.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("side_order", "x", "y", "w", "h", "side"))).alias("bands"))
-    joined = images.join(per, "doc_id", "left").select("doc_id", "height", "width", "channels", "data", "format", "bands")
+    joined = images.join(per, "doc_id", "left").select("doc_id", "height", "width", "channels", "data", "format", "original", "bands")
 
-    def make(doc_id, h: int, w: int, c: int, data: bytes, fmt: str, found: list[dict] | None) -> Iterable[tuple]:
+    def make(doc_id, h: int, w: int, c: int, data: bytes, fmt: str, original: bytes | None, found: list[dict] | None) -> Iterable[tuple]:
+        if not found and original is not None:
+            yield doc_id, original, 0, 0.0, fmt.lower()
+            return
         bgr, began = pixels.to_bgr(data, h, w, c), time.monotonic()
         if found:
             bgr = pixels.crop(bgr, found) if mode == "crop" else pixels.paint(bgr, found)

@@ -26,10 +26,10 @@ def read_files(spark: SparkSession, path: str, settings: Settings = DEFAULT, ove
     return files.select(F.col("path").alias("doc_id"), "content", "length", F.col("modificationTime").alias("arrived"))
 
 
-def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (the path), height, width, channels, data of PNG, TIFF and JPEG files, decoded by Spark."""
+def read_pixels(spark: SparkSession, path: str, valid: bool = True) -> DataFrame:
+    """doc_id (the path), height, width, channels, data of PNG, TIFF and JPEG files, decoded by Spark; valid=False: -1 for a broken file's."""
     image = F.col("image")
-    return spark.read.format("image").option("dropInvalid", True).load(path).select(
+    return spark.read.format("image").option("dropInvalid", valid).load(path).select(
         image["origin"].alias("doc_id"), image["height"].alias("height"), image["width"].alias("width"), image["nChannels"].alias("channels"), image["data"].alias("data"))
 
 

@@ -1,4 +1,4 @@
-"""Headers, decoding and encoding of PNG and TIFF bytes; JPEG pixels come from Spark's image source."""
+"""Headers, decoding and encoding of PNG and TIFF bytes; of JPEG bytes what surrounds the pixels, which Spark's image source decodes."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from .codecs import lzw, run_lengths, samples, to_bytes
+
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -59,36 +61,87 @@ def _tags(raw: bytes) -> dict[int, list[int]]:
     return out
 
 
-def decode(raw: bytes) -> tuple[np.ndarray, str]:
-    """(pixels as height, width, 3 in blue-green-red, format) of PNG and TIFF bytes; the alpha channel is dropped."""
+def decode(raw: bytes, alpha: bool = False) -> tuple[np.ndarray, str]:
+    """(pixels as height, width, 3 in blue-green-red, format) of PNG and TIFF bytes; with `alpha`, a fourth channel where a PNG has one.
+
+    Samples of 16 bits are cut to their upper 8.
+    """
     fmt, w, h = dimensions(raw)
     try:
         rgb = _png(raw, w, h) if fmt == "PNG" else _tiff(raw, w, h) if fmt == "TIFF" else None
-    except (struct.error, zlib.error, KeyError, IndexError, ValueError) as e:
+    except (struct.error, zlib.error, KeyError, IndexError, ValueError, TypeError) as e:
         raise ImageError(f"broken image: {e}") from None
     if rgb is None:
         raise ImageError("JPEG bytes are decoded by the image source")
-    return np.ascontiguousarray(rgb[:, :, ::-1]), fmt
+    bgr = rgb[:, :, [2, 1, 0, 3]] if alpha and rgb.shape[2] == 4 else rgb[:, :, 2::-1]
+    return np.ascontiguousarray(bgr), fmt
+
+
+def has_alpha(raw: bytes) -> bool:
+    return raw.startswith(PNG) and raw[25:26] in (b"\x04", b"\x06")
+
+
+def bare_jpeg(raw: bytes) -> bytes:
+    """JPEG bytes without what rides along: comments, application data but for JFIF and Adobe's colour mark, bytes after the end."""
+    out, at = bytearray(raw[:2]), 2
+    try:
+        while True:
+            if raw[at] != 0xFF:
+                raise ImageError("a marker is missing")
+            kind = raw[at + 1]
+            if kind == 0xFF:  # filling
+                at += 1
+                continue
+            if kind == 0xD9:
+                return bytes(out + b"\xff\xd9")
+            (n,) = struct.unpack(">H", raw[at + 2:at + 4])
+            end = at + 2 + n
+            if n < 2 or end > len(raw):
+                raise ImageError("a segment is cut off")
+            if kind == 0xDA:  # coded pixels follow, up to a marker that is neither a restart nor a stuffed byte
+                while True:
+                    end = raw.index(b"\xff", end)
+                    if raw[end + 1] == 0 or 0xD0 <= raw[end + 1] <= 0xD7:
+                        end += 2
+                    elif raw[end + 1] == 0xFF:
+                        end += 1
+                    else:
+                        break
+            if not (0xE1 <= kind <= 0xED or kind in (0xEF, 0xFE)):
+                out += raw[at:end]
+            at = end
+    except (IndexError, ValueError, struct.error) as e:
+        raise e if isinstance(e, ImageError) else ImageError("the end is missing") from None
+
+
+#: First column and row, steps between columns and rows, of the passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 def _png(raw: bytes, w: int, h: int) -> np.ndarray:
-    depth, color, interlace = raw[24], raw[25], raw[28]
+    bits, color, interlace = raw[24], raw[25], raw[28]
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    if depth != 8 or interlace:
-        raise ImageError("only 8-bit PNG without interlacing is read")
-    at, data, palette = 8, b"", None
+    at, parts, palette = 8, [], None
     while at + 8 <= len(raw):
         (n,) = struct.unpack(">I", raw[at:at + 4])
         kind, body = raw[at + 4:at + 8], raw[at + 8:at + 8 + n]
         if kind == b"IDAT":
-            data += body
+            parts.append(body)
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         at += 12 + n
-    a = unfilter(_inflate(data, h * (w * channels + 1)), w * channels, channels, h).reshape(h, w, channels)
+    passes = [(x, y, dx, dy, -(-(w - x) // dx), -(-(h - y) // dy)) for x, y, dx, dy in PASSES if x < w and y < h] if interlace else [(0, 0, 1, 1, w, h)]
+    width = lambda n: -(-n * channels * bits // 8)
+    data, used = _inflate(b"".join(parts), sum(rows * (width(cols) + 1) for *_, cols, rows in passes)), 0
+    a = np.zeros((h, w, channels), np.uint8)
+    for x, y, dx, dy, cols, rows in passes:
+        lines = unfilter(data[used:used + rows * (width(cols) + 1)], width(cols), max(1, channels * bits // 8), rows)
+        used += rows * (width(cols) + 1)
+        a[y::dy, x::dx] = samples(lines.tobytes(), rows, cols * channels, bits).reshape(rows, cols, channels)
     if color == 3:
         return palette[a[:, :, 0]]
-    return np.repeat(a[:, :, :1], 3, axis=2) if channels < 3 else a[:, :, :3]
+    a = to_bytes(a, bits)
+    return a if channels >= 3 else np.concatenate([np.repeat(a[:, :, :1], 3, axis=2), a[:, :, 1:]], axis=2)
 
 
 def _inflate(raw: bytes, size: int) -> bytes:
@@ -130,30 +183,53 @@ def unfilter(data: bytes, row: int, pixel: int, rows: int) -> np.ndarray:
 
 def _tiff(raw: bytes, w: int, h: int) -> np.ndarray:
     t = _tags(raw)
-    channels = t.get(277, [1])[0]
-    if any(b != 8 for b in t.get(258, [1])) or t.get(284, [1])[0] != 1:
-        raise ImageError("only 8-bit TIFF with joint planes is read")
-    packing = t.get(259, [1])[0]
-    data = b""
-    for at, n in zip(t[273], t[279]):
+    channels, bits, packing = t.get(277, [1])[0], t.get(258, [1])[0], t.get(259, [1])[0]
+    planes = channels if t.get(284, [1])[0] == 2 else 1
+    each = channels // planes
+    if any(b != bits for b in t.get(258, [1])) or t.get(266, [1])[0] != 1:
+        raise ImageError("TIFF samples of several sizes or with low bits first aren't read")
+    row = -(-w * each * bits // 8)
+    high, data = min(h, t.get(278, [h])[0]), []
+    strips = -(-h // high)
+    for k, (at, n) in enumerate(zip(t[273], t[279])):
+        rows = min(high, h - k % strips * high)
         strip = raw[at:at + n]
         if packing in (8, 32946):
-            strip = _inflate(strip, w * h * channels)
+            strip = _inflate(strip, rows * row)
+        elif packing == 5:
+            strip = lzw(strip, rows * row + 4096)
+        elif packing == 32773:
+            strip = run_lengths(strip, rows * row + 128, ends=False)
         elif packing != 1:
             raise ImageError("TIFF packing isn't read")
-        data += strip
-    a = np.frombuffer(data, np.uint8)[:w * h * channels].reshape(h, w, channels)
+        if bits == 16 and raw[:2] == b"II":
+            strip = np.frombuffer(strip, "<u2").astype(">u2").tobytes()
+        if t.get(317, [1])[0] == 2:  # differences along a row
+            kind = {8: np.dtype("u1"), 16: np.dtype(">u2")}.get(bits)
+            if kind is None:
+                raise ImageError("TIFF differences of small samples aren't read")
+            line = np.frombuffer(strip, kind)[:rows * w * each].reshape(rows, w, each)
+            strip = np.cumsum(line, axis=1, dtype=kind.newbyteorder("=")).astype(kind).tobytes()
+        data.append(samples(strip, rows, w * each, bits).reshape(rows, w, each))
+    a = np.concatenate([np.concatenate(data[p * strips:(p + 1) * strips]) for p in range(planes)], axis=2)
+    meaning = t.get(262, [1])[0]
+    if meaning == 3:
+        return (np.array(t[320]).reshape(3, -1) >> 8).astype(np.uint8).T[a[:, :, 0]]
+    a = to_bytes(a, bits)
     if channels < 3:
         a = np.repeat(a[:, :, :1], 3, axis=2)
-        return 255 - a if t.get(262, [1])[0] == 0 else a
+        return 255 - a if meaning == 0 else a
+    if meaning not in (2,):
+        raise ImageError("only gray, palette and RGB colours of TIFF are read")
     return a[:, :, :3]
 
 
 def encode(bgr: np.ndarray, fmt: str) -> bytes:
-    """PNG or TIFF bytes of pixels; other formats become PNG."""
-    rgb = np.ascontiguousarray(bgr[:, :, ::-1])
+    """PNG or TIFF bytes of pixels; other formats become PNG, and so do pixels with alpha, the fourth channel."""
+    alpha = bgr.shape[2] == 4
+    rgb = np.ascontiguousarray(bgr[:, :, [2, 1, 0, 3]] if alpha else bgr[:, :, ::-1])
     h, w = rgb.shape[:2]
-    if fmt == "TIFF":
+    if fmt == "TIFF" and not alpha:
         tags = [(256, 4, w), (257, 4, h), (258, 3, None), (259, 3, 1), (262, 3, 2), (273, 4, None), (277, 3, 3), (278, 4, h), (279, 4, w * h * 3)]
         body = 8 + 2 + 12 * len(tags) + 4
         out = struct.pack("<2sHIH", b"II", 42, 8, len(tags))
@@ -166,4 +242,4 @@ def encode(bgr: np.ndarray, fmt: str) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     lines = np.concatenate([np.zeros((h, 1), np.uint8), rgb.reshape(h, -1)], axis=1)
-    return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+    return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6 if alpha else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
@@ -71,3 +73,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder_for_files(spark: SparkSession) -> tuple[str, str]:
+    """(path, address for write_file) of a new empty folder of the shared one."""
+    path = shared_dir(spark)
+    at, fs = _file_system(spark, path)
+    fs.mkdirs(at)
+    return path, re.sub(r"^file:/+", "file:///", fs.makeQualified(at).toString())
+
+
+def write_file(uri: str, name: str, content: bytes) -> None:
+    """One file, from a task; it is replaced where a task runs again."""
+    files, folder = FileSystem.from_uri(uri)
+    with files.open_output_stream(f"{folder}/{name}") as out:
+        out.write(content)
