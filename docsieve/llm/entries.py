@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     chat_format,
     decontamination,
+    filter_audit,
     jaccard_join,
     license_scan,
     packing,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_secret_scans": secret_scans.op8_secret_scans,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES = {
     "op3_jaccard_join": jaccard_join.ORACLE,
@@ -33,4 +35,5 @@ ORACLES = {
     "op7_quality_rules": quality_rules.ORACLE,
     "op8_secret_scans": secret_scans.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
