@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    bpe_trie,
     chat_format,
     decontamination,
     filter_audit,
@@ -13,6 +14,7 @@ from . import (
     quality_rules,
     secret_scans,
     substring_dedup,
+    token_alignment,
     token_counts,
 )
 
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_secret_scans": secret_scans.op8_secret_scans,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
+    "op11_bpe_trie": bpe_trie.op11_bpe_trie,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES = {
