@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .token_counts import _slices, byte_chars
+from .common import table, text_slices
+from .token_counts import byte_chars
 
 _LAST = 256  # added to the byte that ends a word, where the vocabulary marks ends
 _NEVER = 1 << 60
@@ -40,7 +40,7 @@ _NEVER = 1 << 60
 class BytePairs:
     """The merges of a vocabulary: last tokens of prefixes, and encodings of words through a trie."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "", shared: int = 1000, remember: int = 1_000_000):
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "", shared: int = 1000, remember: int = 500_000):
         self.shared, self.remember = shared, remember
         self.mark = _LAST if suffix else 0
         pairs = [tuple(m) if isinstance(m, (list, tuple)) else tuple(m.split(" ")) for m in merges]
@@ -137,29 +137,38 @@ class BytePairs:
         out.reverse()
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word; the words are distinct and not empty."""
+    def encode_words(self, words: list[bytes], held: int = 100_000) -> list[list[int]]:
+        """Ids of each word; the words are distinct and not empty.
+
+        Neighbours in alphabetical order share most, so words go into a trie in that order, and after `held` bytes a new one begins.
+        """
         out: list[list[int]] = [[]] * len(words)
-        root: dict = {}
-        deepest = 0
-        for k, w in enumerate(words):
+        trie, size, deepest = {}, 0, 0
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            w = words[k]
             if len(w) > self.shared:
                 out[k] = self._alone(w)
                 continue
-            deepest = max(deepest, len(w))
-            node = root
-            for s in w[:-1]:
-                below = node.get(s)
-                if below is None:
-                    below = node[s] = {}
-                node = below
-            s = w[-1] + self.mark
+            self._insert(trie, w, k)
+            size, deepest = size + len(w), max(deepest, len(w))
+            if size >= held:
+                self._walk(trie, deepest, out)
+                trie, size, deepest = {}, 0, 0
+        self._walk(trie, deepest, out)
+        return out
+
+    def _insert(self, node: dict, word: bytes, number: int) -> None:
+        for s in word[:-1]:
             below = node.get(s)
             if below is None:
                 below = node[s] = {}
-            below[-1] = k
+            node = below
+        node.setdefault(word[-1] + self.mark, {})[-1] = number
+
+    def _walk(self, trie: dict, deepest: int, out: list[list[int]]) -> None:
+        """Give each node of the trie its last token, depth first, and each word that ends there its ids."""
         path, state = [0] * deepest, [0] * (deepest + 1)
-        todo = [(1, s, below) for s, below in root.items()]
+        todo = [(1, s, below) for s, below in trie.items()]
         step, read = self._step, self._read
         while todo:
             d, s, node = todo.pop()
@@ -170,7 +179,6 @@ class BytePairs:
                     out[below] = read(state, d)
                 else:
                     todo.append((d + 1, s, below))
-        return out
 
     def _alone(self, word: bytes) -> list[int]:
         path = array("H", iter(word))
@@ -184,7 +192,7 @@ class BytePairs:
 class TrieEncoder:
     """Ids of whole texts as the `tokenizers` library gives them for a byte-level vocabulary file without begin or end tokens."""
 
-    def __init__(self, spec: str, remember: int = 400_000):
+    def __init__(self, spec: str, remember: int = 150_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -212,7 +220,7 @@ class TrieEncoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.words: dict[bytes, list[int]] = {}
+        self.words: dict[bytes, bytes] = {}  # ids as 32-bit integers
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def pieces(self, text: str) -> list[bytes]:
@@ -236,23 +244,15 @@ class TrieEncoder:
     def _learn(self, chunks: list[bytes]) -> None:
         parts = [list(self._parts(c)) for c in chunks]
         new = list({w for p in parts for x in p if isinstance(x, list) for w in x if w not in self.words})
-        self.words.update(zip(new, self.pairs.encode_words(new)))
-        ids: list[int] = []
-        sizes = []
-        for p in parts:
-            before = len(ids)
-            for x in p:
-                if isinstance(x, list):
-                    for w in x:
-                        ids += self.words[w]
-                else:
-                    ids.append(x)
-            sizes.append(len(ids) - before)
-        sizes = np.array(sizes, np.int64)
+        self.words.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.pairs.encode_words(new)))
+        ids = [b"".join(b"".join(map(self.words.__getitem__, x)) if isinstance(x, list) else array("i", (x,)).tobytes() for x in p) for p in parts]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         self.known.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks))))
         self.start = np.r_[self.start, len(self.flat) + np.cumsum(sizes) - sizes]
         self.size = np.r_[self.size, sizes]
-        self.flat = np.r_[self.flat, np.array(ids, np.int32)]
+        self.flat = np.r_[self.flat, np.frombuffer(b"".join(ids), np.int32)]
+        if len(self.words) > self.remember:
+            self.words.clear()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
@@ -269,8 +269,6 @@ class TrieEncoder:
         if not self.find:  # whole texts don't come again
             self.known.clear()
             self.start, self.size, self.flat = self.start[:0], self.size[:0], self.flat[:0]
-            if len(self.words) > self.remember:
-                self.words.clear()
         bounds = np.r_[0, ends][np.r_[0, np.cumsum([len(s) for s in split], dtype=np.int64)]]
         return ids, np.diff(bounds)
 
@@ -303,25 +301,36 @@ def _read(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: the id and `ids`, an array of ints, without begin or end tokens.
+def _texts(strings: np.ndarray, joined: bool, flat: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The decoded text of each run of ids."""
+    ends = np.cumsum(sizes)
+    out = []
+    for lo, hi in zip((ends - sizes).tolist(), ends.tolist()):
+        own = strings[flat[lo:hi]].tolist()
+        out.append(b"".join(own).decode(errors="replace") if joined else " ".join(own))
+    return out
+
+
+def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row a document: the id and `ids`, an array of ints, without begin or end tokens; with `decoded`, also the text they decode to.
 
     tokenizer_json is the path of a vocabulary file on the driver; its content (under 4 MB, a fixed size) is broadcast.
     """
     spec = docs.sparkSession.sparkContext.broadcast(_read(tokenizer_json))
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value)
         for b in batches:
-            raw = [(t or "").encode() for t in b.column(1).to_pylist()]
-            for lo, hi in _slices(raw):
-                ids, sizes = encoder.encode(raw[lo:hi])
+            for lo, texts in text_slices(b.column(1)):
+                ids, sizes = encoder.encode(texts)
                 offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["id", "ids"])
+                more = [pa.array(_texts(*_token_strings(spec.value), ids, sizes), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), *more], names)
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
-    return out.select(F.col("id").alias(id_col), "ids")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decoded)
+    return out.withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, tokenizer_json: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -335,13 +344,10 @@ def decode(rows: DataFrame, tokenizer_json: str, id_col: str = "doc_id", ids_col
             lists = b.column(1)
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
-            for lo in range(0, len(sizes), 256):  # few texts at a time: objects for all tokens of a batch would be many
-                texts = []
-                for k in range(lo, min(lo + 256, len(sizes))):
-                    own = strings[flat[ends[k] - sizes[k]:ends[k]]].tolist()
-                    texts.append(b"".join(own).decode(errors="replace") if joined else " ".join(own))
+            ends = np.r_[0, np.cumsum(sizes)]
+            for lo in range(0, len(sizes), 256):
                 part = b.slice(lo, 256)
+                texts = _texts(strings, joined, flat[ends[lo]:ends[lo + part.num_rows]], sizes[lo:lo + part.num_rows])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     out = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
@@ -352,7 +358,7 @@ def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    out = encode(table(spark, sf_dir, "documents"), path, decoded=True)  # in one pass; decode() alone starts from ids
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
                       digest(F.col("decoded")).alias("decoded_sha256"))

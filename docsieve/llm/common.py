@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,17 @@ def integer_ids(docs: DataFrame, id_col: str) -> DataFrame:
     return docs
 
 
+def text_slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, UTF-8 of the texts) for rows of about `most` bytes together."""
+    size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for k, n in enumerate(size.tolist()):
+        held += n
+        if held >= most or k + 1 == len(size):
+            yield lo, [t or b"" for t in column.slice(lo, k + 1 - lo).cast(pa.binary()).to_pylist()]
+            lo, held = k + 1, 0
+
+
 def words_col(text: Column) -> Column:
     """Array of the words of a text; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
