@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .token_counts import _slices, byte_chars
+from .common import materialize, table, text_slices
+from .packing import Encoder
+from .token_counts import byte_chars
 
 ALIGNED = "a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>, n_overlaps long"
 
@@ -70,12 +71,11 @@ def cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Aligner:
     """Aligns texts of a batch at once."""
 
-    def __init__(self, spec: str, model: bytes):
+    def __init__(self, spec: str, model: bytes, ranks: bytes | None = None, pattern: str | None = None):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(spec)
-        self.a.encode_special_tokens = True
+        self.a = Encoder(spec, ranks, pattern)
+        self.a.tokenizer.encode_special_tokens, self.a.special = True, []  # special strings are plain text, so none has to be kept from the fast way
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bytes_a, self.bytes_b = token_bytes_a(spec), token_bytes_b(self.b)
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
@@ -86,12 +86,12 @@ class Aligner:
         some = [k for k, t in enumerate(texts) if t]
         none = np.zeros(0, np.int32)
         out_a, out_b = [none] * len(texts), [none] * len(texts)
-        got_a = self.a.encode_batch_fast([" " + texts[k] for k in some], add_special_tokens=False) if some else []
+        got_a = self.a.encode([" " + texts[k] for k in some])
         got_b = self.b.encode([texts[k] for k in some], num_threads=1) if some else []
-        for k, e, ids_b in zip(some, got_a, got_b):
-            ids_a, want = e.ids, b" " + texts[k].encode()
-            if b"".join(map(self.bytes_a.__getitem__, ids_a)) == want and b"".join(map(self.bytes_b.__getitem__, ids_b)) == want:
-                out_a[k], out_b[k] = np.array(ids_a, np.int32), np.array(ids_b, np.int32)
+        for k, raw_a, ids_b in zip(some, got_a, got_b):
+            ids_a, want = np.frombuffer(raw_a, self.a.type), b" " + texts[k].encode()
+            if b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == want and b"".join(map(self.bytes_b.__getitem__, ids_b)) == want:
+                out_a[k], out_b[k] = ids_a.astype(np.int32), np.array(ids_b, np.int32)
         return out_a, out_b
 
     def align(self, texts: list[str]) -> pa.RecordBatch:
@@ -114,28 +114,41 @@ class Aligner:
 
 
 @functools.lru_cache(maxsize=1)
-def _aligner(spec: str, model: bytes) -> Aligner:
-    return Aligner(spec, model)
+def _aligner(*parts) -> Aligner:
+    return Aligner(*parts)
 
 
-def align(docs: DataFrame, a_json: str, b_model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: the id, a_ids, b_ids, a_ends, b_ends (for each group, how many tokens of A and B come up to its end), n_overlaps.
-
-    The vocabulary files are read on the driver; their contents (3 MB together, a fixed size) are broadcast.
-    """
-    with open(a_json, encoding="utf-8") as fa, open(b_model, "rb") as fb:
-        shared = docs.sparkSession.sparkContext.broadcast((fa.read(), fb.read()))
-    kind = docs.schema[id_col].dataType.simpleString()
+def _by_slice(docs: DataFrame, files: tuple[str, str, str | None], pattern: str | None):
+    """What mapInArrow runs on (id, text): batches of the id and the columns of ALIGNED. The vocabulary files' contents are broadcast."""
+    contents = []
+    for path, binary in zip(files, (False, True, True)):
+        if path is None:
+            contents.append(None)
+            continue
+        with open(path, "rb") as f:
+            contents.append(f.read() if binary else f.read().decode())
+    shared = docs.sparkSession.sparkContext.broadcast((*contents, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(*shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in _slices([t.encode() for t in texts], 1_000_000):
-                got = aligner.align(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *got.columns], ["id", *got.schema.names])
+            for lo, texts in text_slices(batch.column(1), 1_000_000):
+                got = aligner.align([t.decode() for t in texts])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), *got.columns], ["id", *got.schema.names])
+
+    return run
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {ALIGNED}")
+
+def align(docs: DataFrame, a_json: str, b_model: str, a_ranks: str | None = None, pattern: str | None = None,
+          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: the id, a_ids, b_ids, a_ends, b_ends (for each group, how many tokens of A and B come up to its end), n_overlaps.
+
+    The vocabulary files are read on the driver; their contents (4 MB together, a fixed size) are broadcast. a_ranks and pattern:
+    A's vocabulary as a rank file with its pattern, by which plain Latin texts are encoded in a third of the time; the ids are the same.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        _by_slice(docs, (a_json, b_model, a_ranks), pattern), f"id {kind}, {ALIGNED}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -155,38 +168,43 @@ def _digest(a: list[str], b: list[str], ends_a: list[int], ends_b: list[int]) ->
     return hashlib.sha256(";".join(out).encode()).hexdigest()
 
 
-def summarize(aligned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each of aligned: the id, n_a, n_b, n_groups, groups_sha256, links, times.
+def _summary(part: pa.RecordBatch) -> pa.RecordBatch:
+    (a, sa), (b, sb), (ea, sg), (eb, _) = (_ragged(part.column(k)) for k in range(1, 5))
+    digests, links, times, sizes = [], [], [], []
+    for k in range(part.num_rows):
+        own_a, own_b = a[sa[k]:sa[k + 1]], b[sb[k]:sb[k + 1]]
+        end_a, end_b = ea[sg[k]:sg[k + 1]], eb[sg[k]:sg[k + 1]]
+        digests.append(_digest(list(map(str, own_a.tolist())), list(map(str, own_b.tolist())), end_a.tolist(), end_b.tolist()))
+        pairs, n = np.unique((own_a[end_a - 1].astype(np.int64) << 32) | own_b[end_b - 1], return_counts=True)
+        links.append(pairs)
+        times.append(n)
+        sizes.append(len(pairs))
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int64))) for x in (links, times)]
+    return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.diff(s).astype(np.int64)) for s in (sa, sb, sg)), pa.array(digests), *lists],
+                                      ["id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "times"])
+
+
+def summarize(docs: DataFrame, a_json: str, b_model: str, a_ranks: str | None = None, pattern: str | None = None,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """align() in short, in the same pass. One row a document: the id, n_a, n_b, n_groups, groups_sha256, links, times.
 
     links: the distinct pairs of ids that are linked in the text, a * 2**32 + b, ascending; times: how often each is.
     """
-    kind = aligned.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                (a, sa), (b, sb), (ea, sg), (eb, _) = (_ragged(part.column(k)) for k in range(1, 5))
-                digests, links, times, sizes = [], [], [], []
-                for k in range(part.num_rows):
-                    own_a, own_b = a[sa[k]:sa[k + 1]], b[sb[k]:sb[k + 1]]
-                    end_a, end_b = ea[sg[k]:sg[k + 1]], eb[sg[k]:sg[k + 1]]
-                    digests.append(_digest(list(map(str, own_a.tolist())), list(map(str, own_b.tolist())), end_a.tolist(), end_b.tolist()))
-                    pairs, n = np.unique((own_a[end_a - 1].astype(np.int64) << 32) | own_b[end_b - 1], return_counts=True)
-                    links.append(pairs)
-                    times.append(n)
-                    sizes.append(len(pairs))
-                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int64))) for x in (links, times)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(np.diff(s).astype(np.int64)) for s in (sa, sb, sg)), pa.array(digests), *lists],
-                    ["id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "times"])
-
-    out = aligned.select(F.col(id_col).alias("id"), "a_ids", "b_ids", "a_ends", "b_ends").mapInArrow(
-        run, f"id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>, times array<long>")
+    kind, aligned = docs.schema[id_col].dataType.simpleString(), _by_slice(docs, (a_json, b_model, a_ranks), pattern)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        lambda batches: map(_summary, aligned(batches)),
+        f"id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>, times array<long>")
     return out.withColumnRenamed("id", id_col)
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: their arrays are long."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def count_pairs(summary: DataFrame, held: int = 1_000_000) -> DataFrame:
     """(pair, count, best) over all links: best where no pair of the same B id has a higher count.
 
@@ -207,7 +225,7 @@ def count_pairs(summary: DataFrame, held: int = 1_000_000) -> DataFrame:
             for lo in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo:lo + 100_000]), pa.array(total[lo:lo + 100_000])], ["pair", "count"])
 
-        for b in batches:
+        for b in _few(batches):
             kept.append((b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()))
             n += len(kept[-1][0])
             if n >= 2 * held:
@@ -252,7 +270,7 @@ def score_links(summary: DataFrame, id_col: str = "doc_id", max_pairs: int = 2_0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, count, best = shared.value
-        for b in batches:
+        for b in _few(batches):
             (links, start), times = _ragged(b.column(len(keep))), b.column(len(keep) + 1).flatten().to_numpy()
             at = np.minimum(np.searchsorted(pair, links), max(len(pair) - 1, 0))
             there = pair[at] == links if len(pair) else np.zeros(len(links), bool)
@@ -289,6 +307,6 @@ def _sums(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    aligned = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    out = score_links(materialize(summarize(aligned)))
+    files = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
+    out = score_links(materialize(summarize(table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN)))
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -37,6 +37,7 @@ def test_encoding_and_decoding_equal_the_library(spark, path):
     for k, t in enumerate(texts):
         want = own.encode(t or "", add_special_tokens=False).ids
         assert got[k]["ids"] == want and got[k]["decoded"] == own.decode(want, skip_special_tokens=False), repr(t)[:80]
+    assert bpe_trie.encode(docs(spark, texts), path, decoded=True).exceptAll(out).count() == 0
     assert bpe_trie.encode(empty(spark), path).count() == 0
     broken = spark.createDataFrame([(1, None), (1, []), (None, [220, 128])], "doc_id long, ids array<int>")
     assert sorted(x["decoded"] for x in bpe_trie.decode(broken, path).collect()) == sorted(["", "", own.decode([220, 128], skip_special_tokens=False)])
@@ -132,9 +133,9 @@ def test_alignment_against_walking_over_bytes(spark, max_pairs):
     highest = {}
     for (_, y), n in counts.items():
         highest[y] = max(n, highest.get(y, 0))
-    aligned = token_alignment.align(docs(spark, texts), BYTE, PIECE)
-    spans = {r["doc_id"]: r for r in aligned.collect()}
-    got = {r["doc_id"]: r for r in token_alignment.score_links(token_alignment.summarize(aligned), max_pairs=max_pairs).collect()}
+    more = (public.path("byte_bpe_50k.tiktoken"), public.PATTERN) if max_pairs else (None, None)
+    spans = {r["doc_id"]: r for r in token_alignment.align(docs(spark, texts), BYTE, PIECE, *more).collect()}
+    got = {r["doc_id"]: r for r in token_alignment.score_links(token_alignment.summarize(docs(spark, texts), BYTE, PIECE, *more), max_pairs=max_pairs).collect()}
     for k, (groups, common) in enumerate(want):
         links = [(g[0][-1], g[1][-1]) for g in groups]
         digest = hashlib.sha256(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode()).hexdigest() if groups else ""
@@ -146,7 +147,7 @@ def test_alignment_against_walking_over_bytes(spark, max_pairs):
 
 
 def test_alignment_of_no_rows_null_ids_and_repeated_rows(spark):
-    run = lambda d: token_alignment.score_links(token_alignment.summarize(token_alignment.align(d, BYTE, PIECE)))
+    run = lambda d: token_alignment.score_links(token_alignment.summarize(d, BYTE, PIECE))
     assert run(empty(spark)).count() == 0
     got = run(docs(spark, ["a b", "a b", None], [None, None, 3])).collect()
     assert sorted((r["n_links"], r["n_best"], r["count_sum"]) for r in got) == [(0, 0, 0), (2, 2, 4), (2, 2, 4)]
