@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from docsieve.llm import chat_format as chat
 from docsieve.llm import license_scan as lic
 from docsieve.llm import packing, quality_classifier, quality_rules, secret_scans, token_counts
+from docsieve.storage import materialize
 
 DOCS = "doc_id long, text string, source string, n_words string, blob int"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -438,7 +439,7 @@ def test_pieces_are_the_same_past_the_bound_of_queues(spark):
     source = lambda k: None if k % 50 == 7 else "hot" if k % 2 else f"host{k % 90}"
     rows = [(None if k == 5 else k % 380, words(rng.randint(0, 90)), source(k)) for k in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
-    d.cache().count()
+    d = materialize(d)
     some = lambda **more: sorted(map(repr, packing.pack(d, public.path("byte_bpe_50k.json"), length=128, epoch=8, **more).collect()))
     whole = some()
     assert some(max_queues=4) == whole and len(whole) > len(rows)
