@@ -181,7 +181,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [pa.array(np.r_[x.context[one], x.hash[at]].view(np.int64)), pa.array(doc[owner]), pa.array(shard[owner])], ["key", "doc_id", "shard"])
 
     rows = materialize(dealt.mapInArrow(units, "key long, doc_id long, shard int"))
-    least = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo")
+    # a table before the join, so that the rows of a passage which very many documents have can be split among tasks
+    least = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo"))
     asks = materialize(rows.join(least, "key").where("doc_id > lo"))
     asked = materialize(asks.groupBy("shard", "key").agg(F.min("lo").alias("lo")))
     askers = filter_of(asks.select(F.col("doc_id").alias("key")).distinct())
