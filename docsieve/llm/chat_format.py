@@ -215,8 +215,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["conv", "turn", "role", "text"]
-    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("conv", "role", "text")
+    keys = ["conv", "turn", "role"]
+    # the bounds of ranges are sampled by the driver, so of a text only its first characters are in them; they sort as the texts do
+    ordered = rows.repartitionByRange(n, *keys, F.substring("text", 1, 64)).sortWithinPartitions(*keys, "text").select("conv", "role", "text")
     sql = {pa.int64(): "long", pa.string(): "string"}
     seen = materialize(ordered.mapInArrow(lambda batches: _stream(batches, segment, segment_bytes),
                                           f"conv {kind}, " + ", ".join(f"{c} {sql[t]}" for c, t in _TYPES.items())))
