@@ -272,7 +272,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [pa.array(keys[kept]), pa.array(low), pa.array(in_bitmap(flocks.value, low.view(np.uint64))),
                      pa.array([x.tobytes() for x in rows], pa.binary())], ["cls", "low", "grouped", "tokens"])
 
-    sets = materialize(texts.mapInArrow(fetch, "cls long, low long, grouped boolean, tokens binary"))
+    # one row a class: every task and then every shuffle partition keeps one of its copies, so no group ever holds copies
+    sets = materialize(texts.mapInArrow(fetch, "cls long, low long, grouped boolean, tokens binary").dropDuplicates(["cls"]))
     large = materialize(size.where(F.col("size") > block))  # a group in every `block` classes at most
 
     def blocks() -> Column:
@@ -282,7 +283,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.pmod(F.xxhash64("cls", F.lit(seed)), blocks()).alias("salt")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("cls")
         a, b = link_block(pdf["cls"].to_numpy(np.int64), [np.frombuffer(t, np.uint64) for t in pdf["tokens"]], percent) if len(pdf) > 1 else ([], [])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
@@ -302,7 +302,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def unsettled(known: DataFrame) -> DataFrame:
         # the first spare(n) + 1 tokens are enough here: of them, a pair shares more the nearer its sizes are
         rows = shared.where(F.col("place") <= slack(F.col("n"))).select("token", "cls", "place").join(known, "cls")
-        mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+        # tables before they are joined by token: with no aggregation in between, a hot token's rows are split among tasks
+        mixed = materialize(rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token"))
         return materialize(rows.join(mixed, "token", "left_semi"))
 
     def answers(asks: DataFrame, known: DataFrame) -> DataFrame:
@@ -331,7 +332,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # such tokens. So a family of near copies that is spread over many groups gets one label, and its tokens are settled.
     known = labelled(edges)
     rows = unsettled(known)
-    hubs = rows.groupBy("token").agg(F.max(F.struct("rank", "low", "salt")).alias("hub"))
+    hubs = materialize(rows.groupBy("token").agg(F.max(F.struct("rank", "low", "salt")).alias("hub")))
     best = (rows.join(hubs, "token").where((F.col("label") != F.col("hub.rank.label")) & ((F.col("low") != F.col("hub.low")) | (F.col("salt") != F.col("hub.salt"))))
             .groupBy("cls", "label", "hub.low", "hub.salt").agg(F.count("*").alias("have"))
             .groupBy("cls", "label").agg(F.max(F.struct("have", F.col("low").alias("to"), F.col("salt").alias("block"))).alias("best")))
@@ -341,8 +342,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = labelled(edges)
     rows = unsettled(known)
     groups = known.groupBy(F.col("low").alias("to")).agg(F.max("rank").alias("top"), F.max("blocks").alias("parts"))
-    matrix = rows.groupBy("token", F.col("low").alias("to")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest")).join(groups, "to")
+    matrix = materialize(rows.groupBy("token", F.col("low").alias("to")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest")).join(groups, "to"))
     # a class asks the groups that hold a label of higher rank and sizes near its own; but not its own block. The first token that two
     # sets share has all others that they share behind it, in both: what is left of the sets there bounds the overlap.
     other = (F.col("low") != F.col("to")) | (F.col("parts") > 1)
