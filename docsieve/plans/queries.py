@@ -248,8 +248,22 @@ def ttl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_time_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of users who read none on the last day."""
     ev = _t(spark, sf_dir, "events")
-    return jobs.unread(ev.select("event_id", "user_id"), ev.where("event_type = 'purchase'"), "user_id")
+    reads = ev.where("event_type = 'purchase'").crossJoin(F.broadcast(_now(ev))).where("ts > now - interval 1 day")
+    return jobs.unread(ev.select("event_id", "user_id"), reads, "user_id")
+
+
+_LIMITS = Settings(processing_timeout_seconds=150_000, processing_grace_seconds=60_000, job_ttl_seconds=400_000)
+
+
+def job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as the events of their jobs, four a user and week; limits of days instead of seconds."""
+    ev = _t(spark, sf_dir, "events").withColumn("us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))  # whatever the zone
+    job = F.concat_ws("-", "user_id", F.expr("us div 604800000000"), F.col("event_id") % 4)
+    kind = F.element_at(F.array(*map(F.lit, jobs.KINDS)), (F.floor(F.col("event_id") / 4) % 5 + 1).cast("int"))
+    out = jobs.lifecycle(ev.select(job.alias("job_id"), F.timestamp_micros("us").alias("at"), kind.alias("kind"), F.col("event_type").alias("error")), settings=_LIMITS)
+    return out.select("job_id", "state", F.unix_micros("since").alias("since"), "error", jobs.reported(F.col("state")).alias("status"))
 
 
 def payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +285,7 @@ def document_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     document_screen, size_guard, magic_sniff, token_scan, action_chain, border_shapes, pages_flagged, background_color, raster_sides,
     raster_bars, raster_merge, channel_median, area_gate, audit_vectors, flat_image, text_under_box, tolerance_dedupe, audit_findings,
-    audit_report, revision_offsets, revision_report, prefix_slice, job_status, ttl_filter, one_time_read, payload_roundtrip)} | file_queries.QUERIES
+    audit_report, revision_offsets, revision_report, prefix_slice, job_status, ttl_filter, one_time_read, job_lifecycle, payload_roundtrip)} | file_queries.QUERIES
 
 # ---- SQL ------------------------------------------------------------------------------------------------------------------------
 
@@ -405,6 +419,26 @@ ORACLES = {
                WHEN 2 THEN CASE WHEN user_id % 4 = 0 THEN 'failed' ELSE 'complete' END WHEN 5 THEN CASE WHEN user_id % 4 = 0 THEN 'failed' ELSE 'complete' END
                ELSE 'queued' END AS status FROM events GROUP BY user_id""",
     "ttl_filter": "SELECT event_id, user_id FROM events WHERE ts + INTERVAL 86400 SECOND > (SELECT max(ts) FROM events)",
-    "one_time_read": "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL)",
+    "one_time_read": """SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL
+        AND ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY)""",
+    "job_lifecycle": f"""
+        WITH e AS (SELECT user_id || '-' || (epoch_us(ts) // 604800000000) || '-' || event_id % 4 AS job_id, epoch_us(ts) AS t,
+                          (['submit', 'start', 'fail', 'finish', 'read'])[event_id // 4 % 5 + 1] AS kind, event_type AS error FROM events),
+        q AS (SELECT job_id, min(t) AS submitted FROM e WHERE kind = 'submit' GROUP BY 1),
+        s AS (SELECT job_id, min(t) AS started FROM e JOIN q USING (job_id) WHERE kind = 'start' AND t >= submitted GROUP BY 1),
+        d AS (SELECT job_id, min(t) AS ended, arg_min(kind, row(t, kind)) AS how, arg_min(error, row(t, kind)) AS error FROM e JOIN s USING (job_id)
+              WHERE kind IN ('finish', 'fail') AND t >= started GROUP BY 1),
+        l AS (SELECT *, started + {_LIMITS.processing_timeout_seconds}000000 AS soft, started + {_LIMITS.processing_timeout_seconds + _LIMITS.processing_grace_seconds}000000 AS hard,
+                     (SELECT max(t) FROM e) AS now FROM q LEFT JOIN s USING (job_id) LEFT JOIN d USING (job_id)),
+        x AS (SELECT *, CASE WHEN ended < hard THEN ended WHEN hard <= now THEN hard END AS done,
+                     CASE WHEN ended < soft AND how = 'finish' THEN 'complete' ELSE 'failed' END AS outcome,
+                     CASE WHEN ended < soft THEN error WHEN ended < hard THEN '{jobs.ERROR_LIMIT}' ELSE '{jobs.ERROR_INTERNAL}' END AS why FROM l),
+        r AS (SELECT job_id, min(t) AS read FROM e JOIN x USING (job_id)
+              WHERE kind = 'read' AND outcome = 'complete' AND t >= done AND t < done + {_LIMITS.job_ttl_seconds}000000 GROUP BY 1),
+        y AS (SELECT *, CASE WHEN read IS NOT NULL THEN 'read' WHEN done + {_LIMITS.job_ttl_seconds}000000 <= now THEN 'expired' WHEN done IS NOT NULL THEN outcome
+                     WHEN soft <= now THEN 'stopping' WHEN started IS NOT NULL THEN 'processing' ELSE 'queued' END AS state FROM x LEFT JOIN r USING (job_id))
+        SELECT job_id, state, CASE state WHEN 'read' THEN read WHEN 'expired' THEN done + {_LIMITS.job_ttl_seconds}000000 WHEN 'stopping' THEN soft
+                 WHEN 'processing' THEN started WHEN 'queued' THEN submitted ELSE done END AS since, CASE WHEN state = 'failed' THEN why END AS error,
+               CASE WHEN state IN ('processing', 'complete', 'failed') THEN state WHEN state = 'stopping' THEN 'processing' ELSE 'queued' END AS status FROM y""",
     "payload_roundtrip": "SELECT doc_id, md5(base64(encode(text))) AS digest, length(base64(encode(text)))::BIGINT AS n, true AS same FROM documents",
 } | file_queries.ORACLES

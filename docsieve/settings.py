@@ -15,6 +15,7 @@ class Settings:
     max_image_pixels: int = 64_000_000
     max_image_dimension: int = 12_000
     processing_timeout_seconds: int = 90
+    processing_grace_seconds: int = 15
     job_ttl_seconds: int = 900
     vector_edge_band_ratio: float = 0.12
     vector_min_span_ratio: float = 0.55
