@@ -5,10 +5,10 @@ does depends on these two tokens alone (`BytePairs.outlives`). So the encoding o
 that shorter word, and a prefix's encoding is known by its last token: it is the only vocabulary entry at the prefix's end whose cut
 to the last token of the prefix before it outlives all merges.
 
-Distinct pre-tokens of a batch are put into a trie. A depth-first walk gives every node its last token from the last tokens of the
-nodes above it, once however many words pass through it; a word's tokens are then read backwards from its end. Words whose last
-symbol is marked (end-of-word suffixes) share all but that symbol. Words of more than `shared` bytes have a path of their own, which
-takes the same steps on flat arrays and is dropped at once, so memory is bounded by the batch.
+Distinct pre-tokens of a batch form a trie, laid out in depth-first order. The walk gives every node its last token from the last
+tokens of the nodes above it, once however many words pass through it; a word's tokens are then read backwards from its end. Words
+whose last symbol is marked (end-of-word suffixes) share all but that symbol. Only the path from the root to the present node is
+held, so memory is bounded by the batch and its longest word.
 
 The texts themselves go through the vocabulary's own normalizer and cutter. Ids are gathered from the ids of chunks already met.
 
@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,8 @@ _NEVER = 1 << 60
 class BytePairs:
     """The merges of a vocabulary: last tokens of prefixes, and encodings of words through a trie."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "", shared: int = 1000, remember: int = 500_000):
-        self.shared, self.remember = shared, remember
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "", remember: int = 500_000):
+        self.remember = remember
         self.mark = _LAST if suffix else 0
         pairs = [tuple(m) if isinstance(m, (list, tuple)) else tuple(m.split(" ")) for m in merges]
         self.width = max(vocab.values()) + 1
@@ -117,77 +119,54 @@ class BytePairs:
             known = self._cuts[key] = self._survives(a, b)
         return known
 
-    def _step(self, path, state, d: int) -> int:
-        """The last token of the prefix path[:d], from the last tokens of shorter ones in state."""
-        edges, entry = self.edges, self.entry
-        at = edges[path[d - 1]]
-        k = d - 1
-        while True:
-            t = entry[at]
-            if t >= 0 and (k == 0 or self.outlives(state[k], t)):
-                return t
-            k -= 1
-            at = edges[at << 9 | path[k]]
-
-    def _read(self, state, d: int) -> list[int]:
-        out = []
-        while d:
-            out.append(state[d])
-            d -= self.length[state[d]]
-        out.reverse()
-        return out
-
-    def encode_words(self, words: list[bytes], held: int = 100_000) -> list[list[int]]:
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word; the words are distinct and not empty.
 
-        Neighbours in alphabetical order share most, so words go into a trie in that order, and after `held` bytes a new one begins.
+        In alphabetical order the words are the trie's branches from left to right: what a word has in common with the one before is the
+        part of its path that was walked already, and the rest are its new nodes, which follow depth first. `state` holds the last tokens
+        along the path, so memory is that of one word, however many nodes the trie has.
         """
         out: list[list[int]] = [[]] * len(words)
-        trie, size, deepest = {}, 0, 0
-        for k in sorted(range(len(words)), key=words.__getitem__):
-            w = words[k]
-            if len(w) > self.shared:
-                out[k] = self._alone(w)
-                continue
-            self._insert(trie, w, k)
-            size, deepest = size + len(w), max(deepest, len(w))
-            if size >= held:
-                self._walk(trie, deepest, out)
-                trie, size, deepest = {}, 0, 0
-        self._walk(trie, deepest, out)
+        edges, entry, cuts, width, length, mark = self.edges, self.entry, self._cuts, self.width, self.length, self.mark
+        state, before = array("i", [0]), b""
+        for number in sorted(range(len(words)), key=words.__getitem__):
+            word = words[number]
+            n = len(word)
+            shared = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                shared += 1
+            if mark:  # the last symbol of a word is another one than inside
+                shared = min(shared, n - 1, len(before) - 1) if before else 0
+            if len(state) <= n:
+                state.extend([0] * (n + 1 - len(state)))
+            for d in range(shared, n):
+                at = edges[word[d] + mark if d == n - 1 else word[d]]
+                k = d
+                while True:
+                    t = entry[at]
+                    if t >= 0:
+                        if not k:
+                            break
+                        key = state[k] * width + t
+                        good = cuts.get(key)
+                        if good is None:
+                            good = self.outlives(state[k], t)
+                        if good:
+                            break
+                    k -= 1
+                    at = edges[at << 9 | word[k]]
+                state[d + 1] = t
+            ids, d = [], n
+            while d:
+                t = state[d]
+                ids.append(t)
+                d -= length[t]
+            ids.reverse()
+            out[number], before = ids, word
         return out
 
-    def _insert(self, node: dict, word: bytes, number: int) -> None:
-        for s in word[:-1]:
-            below = node.get(s)
-            if below is None:
-                below = node[s] = {}
-            node = below
-        node.setdefault(word[-1] + self.mark, {})[-1] = number
-
-    def _walk(self, trie: dict, deepest: int, out: list[list[int]]) -> None:
-        """Give each node of the trie its last token, depth first, and each word that ends there its ids."""
-        path, state = [0] * deepest, [0] * (deepest + 1)
-        todo = [(1, s, below) for s, below in trie.items()]
-        step, read = self._step, self._read
-        while todo:
-            d, s, node = todo.pop()
-            path[d - 1] = s  # what lies above is this node's: siblings come after all below
-            state[d] = step(path, state, d)
-            for s, below in node.items():
-                if s == -1:
-                    out[below] = read(state, d)
-                else:
-                    todo.append((d + 1, s, below))
-
-    def _alone(self, word: bytes) -> list[int]:
-        path = array("H", iter(word))
-        path[-1] += self.mark
-        state = array("i", bytes(4 * (len(word) + 1)))
-        for d in range(1, len(word) + 1):
-            state[d] = self._step(path, state, d)
-        return self._read(state, len(word))
-
 
 class TrieEncoder:
     """Ids of whole texts as the `tokenizers` library gives them for a byte-level vocabulary file without begin or end tokens."""
@@ -204,7 +183,6 @@ class TrieEncoder:
         self.cut = own.pre_tokenizer.pre_tokenize_str
         self.back = {c: b for b, c in enumerate(byte_chars())}
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        self.marks = [c.encode() for c in self.special]
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         # a cutter that keeps only what its pattern finds, and finds no white space, can be asked for each chunk between white space
         cutters = parsed["pre_tokenizer"].get("pretokenizers", [{}])
@@ -213,46 +191,55 @@ class TrieEncoder:
         if first.get("behavior") == "Removed" and first.get("invert"):
             pattern = regex.compile(first["pattern"]["Regex"])
             if not pattern.search(" \t\n\v\f\r"):
-                self.find = pattern.findall
+                self.find = regex.compile(first["pattern"]["Regex"] + "|\n").findall
+        # chunks that may hold a special token, or characters that normalizing could compose or lower-case by more than one rule
+        self.apart = re.compile(b"|".join([b"[\xcc-\xff]", *(re.escape(c.encode()) for c in self.special)])).search
         self.lowers = '"Lowercase"' in json.dumps(parsed["normalizer"])
         self.remember = remember
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.words: dict[bytes, bytes] = {}  # ids as 32-bit integers
+        self.words: dict[str, bytes] = {}  # ids as 32-bit integers
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def pieces(self, text: str) -> list[bytes]:
-        """Pre-tokens of a text without special tokens."""
-        if self.find and max(text, default="") < "̀":  # composed already, and lower case goes by single characters
-            return [x.encode() for x in self.find(text.lower() if self.lowers else text)]
-        return [bytes(map(self.back.__getitem__, x)) for x, _ in self.cut(self.normal(text))]
-
-    def _parts(self, chunk: bytes) -> Iterator[int | list[bytes]]:
-        """A chunk in order: ids of special tokens, and pre-tokens of what lies between them."""
-        text, at = chunk.decode(), 0
-        if any(m in chunk for m in self.marks):
-            for m in self.specials.finditer(text):
-                if m.start() > at:
-                    yield self.pieces(text[at:m.start()])
-                yield self.special[m[0]]
-                at = m.end()
-        if at < len(text):
-            yield self.pieces(text[at:])
+    def _cut(self, chunks: list[bytes]) -> list[list]:
+        """Each chunk in order: pre-tokens, and ids of special tokens."""
+        plain = [] if self.find is None else [c for c in chunks if not self.apart(c)]
+        out: dict[bytes, list] = {}
+        if plain:  # cut all at once, at line ends, which no chunk has
+            text = b"\n".join(plain).decode() + "\n"
+            found, at = self.find(text.lower() if self.lowers else text), 0
+            for c in plain:
+                end = found.index("\n", at)
+                out[c] = found[at:end]
+                at = end + 1
+        for c in chunks:
+            if c not in out:
+                text, at, parts = c.decode(), 0, []
+                for m in self.specials.finditer(text) if self.specials else ():
+                    parts += [*self._pieces(text[at:m.start()]), self.special[m[0]]]
+                    at = m.end()
+                out[c] = parts + self._pieces(text[at:])
+        return [out[c] for c in chunks]
+
+    def _pieces(self, text: str) -> list[str]:
+        return [bytes(map(self.back.__getitem__, x)).decode("utf-8", "surrogateescape") for x, _ in self.cut(self.normal(text))] if text else []
 
     def _learn(self, chunks: list[bytes]) -> None:
-        parts = [list(self._parts(c)) for c in chunks]
-        new = list({w for p in parts for x in p if isinstance(x, list) for w in x if w not in self.words})
-        self.words.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.pairs.encode_words(new)))
-        ids = [b"".join(b"".join(map(self.words.__getitem__, x)) if isinstance(x, list) else array("i", (x,)).tobytes() for x in p) for p in parts]
+        parts = self._cut(chunks)
+        words = self.words
+        new = list({w for p in parts for w in p if w not in words and type(w) is str})
+        got = self.pairs.encode_words([w.encode("utf-8", "surrogateescape") for w in new])
+        words.update((w, array("i", ids).tobytes()) for w, ids in zip(new, got))
+        ids = [words[p[0]] if len(p) == 1 and type(p[0]) is str else b"".join(array("i", (w,)).tobytes() if type(w) is int else words[w] for w in p) for p in parts]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         self.known.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks))))
         self.start = np.r_[self.start, len(self.flat) + np.cumsum(sizes) - sizes]
         self.size = np.r_[self.size, sizes]
         self.flat = np.r_[self.flat, np.frombuffer(b"".join(ids), np.int32)]
-        if len(self.words) > self.remember:
-            self.words.clear()
+        if len(words) > self.remember:
+            words.clear()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
@@ -262,7 +249,7 @@ class TrieEncoder:
         new = set().union(*split).difference(self.known)
         if new:
             self._learn(list(new))
-        code = np.fromiter((self.known[c] for s in split for c in s), np.int64)
+        code = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
         size = self.size[code]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[code] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
