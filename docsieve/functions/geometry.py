@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -68,3 +68,46 @@ def tolerance_dedupe(items: Column, tolerances: tuple[float, float, float, float
 
     return F.aggregate(items, F.array().cast(f"array<{item_type}>"),
                        lambda acc, x: F.when(F.exists(acc, lambda k: near(k, x)), acc).otherwise(F.array_append(acc, x)))
+
+
+#: Cells of level k are squares of CELL * 2**k; rectangles beyond the top level's reach are held to it.
+CELL, LEVELS = 16.0, 16
+_REACH = CELL * 2 ** (LEVELS - 1)
+
+
+def level(r: Column) -> Column:
+    """The finest level at which a rectangle meets two columns and two rows of cells at most."""
+    longest = F.greatest(width(r), height(r), F.lit(CELL))
+    return F.least(F.ceil(F.log2(longest / CELL)), F.lit(LEVELS - 1)).cast("int")
+
+
+def _index(v: Column, at: Column) -> Column:
+    held = F.greatest(F.least(v, F.lit(_REACH)), F.lit(-_REACH))
+    return F.floor(held / (F.lit(CELL) * F.pow(F.lit(2.0), at)))
+
+
+def in_cells(rows: DataFrame, r: str, levels: Column) -> DataFrame:
+    """rows once for each cell that the rectangle r meets at each of these levels: cell_level, cell_x, cell_y."""
+    at, col = F.col("cell_level"), F.col(r)
+    return (rows.withColumn("cell_level", F.explode(levels))
+            .withColumn("cell_x", F.explode(F.sequence(_index(col["x0"], at), _index(col["x1"], at))))
+            .withColumn("cell_y", F.explode(F.sequence(_index(col["y0"], at), _index(col["y1"], at)))))
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """All pairs of rows of left and right with equal keys whose rectangles a and b overlap, each pair once.
+
+    A pair meets at the coarser of its two levels, in the cell that has the upper left corner of what the rectangles share. So rows are
+    joined by key and cell, not by key alone: what a row is held against lies near it, however many rows its key has.
+    """
+    cells = ["cell_level", "cell_x", "cell_y"]
+    left = left.withColumn("level_a", level(F.col(a)))
+    there = left.groupBy(*keys).agg(F.collect_set("level_a").alias("levels"))  # LEVELS numbers a key at most
+    right = right.join(there, keys).withColumn("level_b", level(F.col(b)))  # of keys without a rectangle at the left, nothing goes on
+    upward = F.sequence(F.col("level_a"), F.lit(LEVELS - 1))
+    own = F.array_union(F.array("level_b"), F.filter("levels", lambda x: x > F.col("level_b")))
+    pairs = in_cells(left, a, upward).join(in_cells(right, b, own).drop("levels"), [*keys, *cells])
+    x, y = F.greatest(F.col(a)["x0"], F.col(b)["x0"]), F.greatest(F.col(a)["y0"], F.col(b)["y0"])
+    at = F.col("cell_level")
+    owner = (F.col("cell_x") == _index(x, at)) & (F.col("cell_y") == _index(y, at))
+    return pairs.where((at == F.greatest("level_a", "level_b")) & owner & overlap(F.col(a), F.col(b))).drop(*cells, "level_a", "level_b")

@@ -5,6 +5,8 @@ The text itself is no column of any result. reveal() gives it for a single docum
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,6 @@ SUMMARY_CRITICAL = ("%d potential redaction failure(s) found: opaque box(es) wit
 SUMMARY_CLEAR = ("%d opaque box(es) reviewed; none had extractable text underneath. No redaction failures detected by this method — see "
                  "per-finding notes for coverage limitations.")
 SUMMARY_NONE = "No candidate redaction boxes were found on this document."
-_BOX = f"struct<seq:int,rect:{g.RECT}>"
 
 
 def _area(s: Settings) -> Column:
@@ -57,21 +58,53 @@ def annotation_candidates(annots: DataFrame) -> DataFrame:
     return annots.where("subtype = 'Redact'").select(*PAGE, "seq", "rect", F.lit(ANNOTATION).alias("source"))
 
 
+def near_first(rects: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which rows of rects (x0, y0, x1, y1; in order) are kept: those that aren't near one kept before, by less than tolerance in all four.
+
+    What is kept is looked up by cells as large as the tolerance, so a row meets the few kept ones near it instead of all.
+    """
+    keep = np.zeros(len(rects), bool)
+    if tolerance <= 0:
+        return ~keep
+    kept: dict[tuple[int, int], list[int]] = {}
+    cell = np.floor(rects[:, :2] / tolerance).tolist()
+    rows = rects.tolist()
+    for k, ((cx, cy), r) in enumerate(zip(cell, rows)):
+        near = (j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in kept.get((cx + dx, cy + dy), ()))
+        if not any(all(abs(p - q) < tolerance for p, q in zip(rows[j], r)) for j in near):
+            keep[k] = True
+            kept.setdefault((cx, cy), []).append(k)
+    return keep
+
+
 def dedupe(candidates: DataFrame, tolerance: float = DEFAULT.audit_dedupe_tolerance) -> DataFrame:
-    """Candidates without those near an earlier one of the same page and source."""
-    kept = g.tolerance_dedupe(F.array_sort(F.collect_list(F.struct("seq", "rect"))), (tolerance,) * 4, _BOX)
-    return candidates.groupBy(*PAGE, "source").agg(kept.alias("kept")).select(*PAGE, "source", F.explode("kept").alias("k")).select(
-        *PAGE, "source", "k.seq", "k.rect")
+    """Candidates without those near an earlier one of the same page and source.
+
+    First wins, and nearness isn't transitive, so a page's candidates are gone through in order; the size limit of files bounds them.
+    """
+    keys = [*PAGE, "source"]
+    several = candidates.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    schema = candidates.select(*keys, "seq", "rect").schema
+
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq")
+        rect = t.column("rect").combine_chunks()
+        sides = np.stack([rect.field(k).to_numpy(zero_copy_only=False) for k in ("x0", "y0", "x1", "y1")], 1)
+        return t.filter(pa.array(near_first(sides, tolerance)))
+
+    rows = candidates.select(*keys, "seq", "rect")
+    return (rows.join(several, keys, "left_anti")  # most pages have one candidate of a source
+            .unionByName(rows.join(several, keys, "left_semi").groupBy(*keys).applyInArrow(fold, schema)))
 
 
 def text_under(boxes: DataFrame, words: DataFrame) -> DataFrame:
     """boxes with word_count, char_count (words joined by one space) and text of the words that overlap them.
 
-    An equi-join on document and page bounds the pairs to those of a page.
+    Boxes and words meet by page and cell, so a page of very many of both isn't all its pairs.
     """
     keys = [*PAGE, "source", "seq"]
     w = words.select(*PAGE, "word_seq", F.col("rect").alias("word_rect"), "word")
-    hit = (boxes.join(w, PAGE).where(g.overlap(F.col("rect"), F.col("word_rect"))).groupBy(*keys)
+    hit = (g.overlapping(boxes.select(*keys, "rect"), w, PAGE, "rect", "word_rect").groupBy(*keys)
            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_seq", "word"))), lambda x: x["word"]), " ").alias("text"),
                 F.count("*").alias("word_count")))
     return boxes.join(hit, keys, "left").select(
