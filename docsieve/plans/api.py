@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes_ops as b
 from ..functions import pixels
-from ..operators import actions, audit, raster, revisions, vector
+from ..operators import actions, audit, graphs, raster, revisions, saves, vector
 from ..settings import DEFAULT, Settings
 from ..sources import files as fs
 from ..sources import images as im
+from ..sources import pdf_saves
 from ..sources import pdf_writer as writer
 from ..storage import folder_for_files, materialize, write_file
 
@@ -145,8 +146,35 @@ def inspect_slice(raw: bytes, settings: Settings = DEFAULT) -> dict:
 _SLICE = "struct<openable:boolean,page_count:int,object_count:int,creation_date:string,mod_date:string,note:string>"
 
 
+_SAVES = {"saves": "struct<save:int,root:bigint,creation_date:string,mod_date:string,locked:boolean>", "changes": "struct<save:int,object:bigint,alive:boolean>",
+          "nodes": "struct<save:int,object:bigint,leaves:int,kids:array<bigint>>"}
+_SAVE_TYPES = {
+    "saves": pa.struct([("save", pa.int32()), ("root", pa.int64()), ("creation_date", pa.string()), ("mod_date", pa.string()), ("locked", pa.bool_())]),
+    "changes": pa.struct([("save", pa.int32()), ("object", pa.int64()), ("alive", pa.bool_())]),
+    "nodes": pa.struct([("save", pa.int32()), ("object", pa.int64()), ("leaves", pa.int32()), ("kids", pa.list_(pa.int64()))])}
+
+
+def read_saves(raw: bytes, offsets: list[int], settings: Settings = DEFAULT) -> tuple[dict, list[dict]]:
+    """(rows of all saves from one parse, slices). A file whose saves don't build on each other plainly has no rows, but every slice opened by itself."""
+    small = sum(end < settings.forensics_min_revision_bytes for end in offsets)
+    try:
+        rows = pdf_saves.read_saves(raw, offsets[small:])
+    except Exception:  # noqa: BLE001
+        return {k: [] for k in _SAVES}, [inspect_slice(raw[:end], settings) for end in offsets]
+    named = {k: [dict(zip([f.name for f in _SAVE_TYPES[k]], row)) for row in v] for k, v in rows.items()}
+    return named, [inspect_slice(raw[:end], settings) for end in offsets[:small]]
+
+
+def save_relations(parsed: DataFrame) -> dict[str, DataFrame]:
+    """saves, changes and nodes of operators.saves, a row each."""
+    return {k: parsed.select("doc_id", F.explode(k).alias("r")).select("doc_id", "r.*") for k in _SAVES}
+
+
 def discover_revisions(files: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(revisions, reports, errors) of the files as they came: a rebuild would merge their saves."""
+    """(revisions, reports, errors) of the files as they came: a rebuild would merge their saves.
+
+    A file is parsed once; what each of its saves holds follows from the rows of its tables (operators.saves).
+    """
     checked = guards(files, settings, pdf_only=True)
     errors = checked.where("error is not null").select("doc_id", "error")
     good = checked.where("error is null").select("doc_id", "content")
@@ -163,19 +191,50 @@ def discover_revisions(files: DataFrame, settings: Settings = DEFAULT) -> tuple[
             bad, error = [], "An internal discovery error occurred."
         if bad:
             error = f"Document rejected: an additional-actions (/AA) trigger references disallowed action type(s) ({', '.join(bad)})."
-        yield doc_id, offsets, len(raw), [] if error else [inspect_slice(raw[:end], settings) for end in offsets[:most]], error
+        rows, slices = ({k: [] for k in _SAVES}, []) if error else read_saves(raw, offsets[:most], settings)
+        yield doc_id, offsets, len(raw), slices, *rows.values(), error
 
-    run = fs.by_row(make, {"doc_id": None, "offsets": pa.list_(pa.int64()), "length": pa.int64(), "slices": kind, "error": pa.string()})
+    run = fs.by_row(make, {"doc_id": None, "offsets": pa.list_(pa.int64()), "length": pa.int64(), "slices": kind,
+                           **{k: pa.list_(t) for k, t in _SAVE_TYPES.items()}, "error": pa.string()}, rows=64)
     seen = good.select(
         "doc_id", "content", b.boundary_offsets(b.latin1(F.col("content")), most=settings.forensics_max_boundary_candidates).alias("offsets"))
-    parsed = materialize(seen.mapInArrow(run, f"doc_id {_kind(files)}, offsets array<long>, length long, slices array<{_SLICE}>, error string"))
+    schema = ", ".join(f"{k} array<{t}>" for k, t in _SAVES.items())
+    parsed = materialize(seen.mapInArrow(run, f"doc_id {_kind(files)}, offsets array<long>, length long, slices array<{_SLICE}>, {schema}, error string"))
     fine = parsed.where("error is null")
-    slices = fine.select("doc_id", F.posexplode("slices").alias("pos", "s")).select("doc_id", (F.col("pos") + 1).alias("revision_index"), "s.*")
-    revs = revisions.revisions(fine.select("doc_id", "length", "offsets"), settings).join(slices, ["doc_id", "revision_index"])
+    opened = fine.select("doc_id", F.posexplode("slices").alias("pos", "s")).select("doc_id", (F.col("pos") + 1).alias("revision_index"), "s.*")
+    rel, small = save_relations(fine), fine.select("doc_id", F.size("slices").alias("small"))
+    counted = (rel["saves"].join(saves.object_counts(rel["changes"], rel["saves"]), ["doc_id", "save"])
+               .join(saves.page_counts(rel["nodes"], rel["saves"]), ["doc_id", "save"]).join(small, "doc_id"))
+    free = lambda c: F.when(~F.col("locked"), F.col(c)).alias(c)
+    derived = counted.select(
+        "doc_id", (F.col("small") + F.col("save") + 1).alias("revision_index"), (~F.col("locked")).alias("openable"),
+        *map(free, ("page_count", "object_count", "creation_date", "mod_date")), F.when(F.col("locked"), NOTE_UNPARSED).otherwise("").alias("note"))
+    revs = revisions.revisions(fine.select("doc_id", "length", "offsets"), settings).join(opened.unionByName(derived), ["doc_id", "revision_index"])
     return revs, revisions.report(revs, fine.select("doc_id", "length", "offsets"), settings), errors.unionByName(
         parsed.where("error is not null").select("doc_id", "error"))
 
 
+def object_graph(files: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(reports, unreachable objects) of the object graphs of PDFs (operators.graphs.report); documents that can't be read have an error."""
+    link = pa.struct([("source", pa.int64()), ("target", pa.int64())])
+
+    def make(doc_id, raw: bytes | None) -> Iterable[tuple]:
+        doc, _, error = fs.open_pdf(raw or b"", settings)
+        if doc is None:
+            yield doc_id, [], [], error
+        else:
+            objects, links = pdf_saves.object_links(doc)
+            yield doc_id, objects, [dict(zip(("source", "target"), x)) for x in links], None
+
+    run = fs.by_row(make, {"doc_id": None, "objects": pa.list_(pa.int64()), "links": pa.list_(link), "error": pa.string()}, rows=64)
+    parsed = materialize(files.select("doc_id", "content").mapInArrow(
+        run, f"doc_id {_kind(files)}, objects array<long>, links array<struct<source:bigint,target:bigint>>, error string"))
+    reports, dropped = graphs.report(parsed.select("doc_id", F.explode("objects").alias("object")),
+                                     parsed.select("doc_id", F.explode("links").alias("r")).select("doc_id", "r.*"), settings)
+    failed = parsed.where("error is not null").select("doc_id", "error")
+    return reports.unionByName(failed, allowMissingColumns=True), dropped
+
+
 def extract_revision(files: DataFrame, doc_id, revision_index: int = 1, confirm_ownership: bool = False, settings: Settings = DEFAULT) -> bytes:
     """The sanitised bytes of one earlier save of one document, for its owner. Every call is logged; there is no way to ask for many."""
     if confirm_ownership is not True:

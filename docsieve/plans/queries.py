@@ -14,7 +14,7 @@ from ..functions import bytes_ops as b
 from ..functions import geometry as g
 from ..operators import actions, audit, jobs, raster, revisions, vector
 from ..settings import Settings
-from . import file_queries
+from . import file_queries, history_queries
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -285,7 +285,7 @@ def document_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     document_screen, size_guard, magic_sniff, token_scan, action_chain, border_shapes, pages_flagged, background_color, raster_sides,
     raster_bars, raster_merge, channel_median, area_gate, audit_vectors, flat_image, text_under_box, tolerance_dedupe, audit_findings,
-    audit_report, revision_offsets, revision_report, prefix_slice, job_status, ttl_filter, one_time_read, job_lifecycle, payload_roundtrip)} | file_queries.QUERIES
+    audit_report, revision_offsets, revision_report, prefix_slice, job_status, ttl_filter, one_time_read, job_lifecycle, payload_roundtrip)} | file_queries.QUERIES | history_queries.QUERIES
 
 # ---- SQL ------------------------------------------------------------------------------------------------------------------------
 
@@ -441,4 +441,4 @@ ORACLES = {
                  WHEN 'processing' THEN started WHEN 'queued' THEN submitted ELSE done END AS since, CASE WHEN state = 'failed' THEN why END AS error,
                CASE WHEN state IN ('processing', 'complete', 'failed') THEN state WHEN state = 'stopping' THEN 'processing' ELSE 'queued' END AS status FROM y""",
     "payload_roundtrip": "SELECT doc_id, md5(base64(encode(text))) AS digest, length(base64(encode(text)))::BIGINT AS n, true AS same FROM documents",
-} | file_queries.ORACLES
+} | file_queries.ORACLES | history_queries.ORACLES

@@ -12,6 +12,7 @@ class Settings:
     max_upload_bytes: int = 50 * 1024 * 1024
     max_pdf_pages: int = 500
     max_pdf_objects: int = 250_000
+    max_pdf_nest_depth: int = 24
     max_image_pixels: int = 64_000_000
     max_image_dimension: int = 12_000
     processing_timeout_seconds: int = 90
@@ -38,7 +39,8 @@ class Settings:
     forensics_max_boundary_candidates: int = 200
     forensics_max_revisions_reported: int = 50
     forensics_min_revision_bytes: int = 64
-    #: on: a save is the current one only if nothing at all follows its end; off: one byte may follow
+    #: on: a save is the current one only if nothing at all follows its end, and graphs deeper than max_pdf_nest_depth are refused;
+    #: off: one byte may follow, and depth isn't limited
     strict: bool = False
 
     @classmethod
