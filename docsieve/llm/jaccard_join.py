@@ -23,7 +23,9 @@ text still links others; repeated rows link as copies; other columns are left ou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,25 @@ from .common import LOWER, bitmap, components, gram_hashes, in_bitmap, integer_i
 _TOP = np.uint64(1 << 63)
 
 
+@functools.cache
+def _give_back() -> None:
+    """Have a worker's freed arrays of a megabyte or more go back to the machine at once: it serves further tasks, of later stages too."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # glibc's M_MMAP_THRESHOLD; otherwise it grows with the arrays that were freed
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def _lean(run: Callable) -> Callable:
+    """run, for mapInArrow, without memory that is kept after it."""
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return go
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct tokens of the k-word shingles of a text; of the whole sequence where it has fewer words.
 
@@ -199,7 +220,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if total:
             yield frequent()
 
-    seen = materialize(texts.mapInArrow(survey, "doc_id long, key long, n long, low long, doc boolean"))
+    seen = materialize(texts.mapInArrow(_lean(survey), "doc_id long, key long, n long, low long, doc boolean"))
     members = seen.where("doc").select("doc_id", F.col("key").alias("cls"), "n", "low")
     often = (seen.where("not doc").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(hot).toArrow())
     hot_key = often.column("key").to_numpy().view(np.uint64)
@@ -246,11 +267,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     need = lambda n: (1 + F.floor(slack(n) / 3)).cast("long")
     smallest = F.ceil(F.col("n") * percent / 100)  # of a partner
     # tokens of two classes or more, combined before the shuffle, so that one of very many classes is a few rows; then their rows
-    several = materialize(texts.mapInArrow(prefixes, "token long, cls long").groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    several = materialize(texts.mapInArrow(_lean(prefixes), "token long, cls long").groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
                           .where("lo < hi").select("token"))
     few = filter_of(several.select(F.col("token").alias("key")))
     shared = materialize(
-        texts.mapInArrow(lambda batches: prefixes(batches, few), "token long, cls long, n long").join(several, "token", "left_semi")
+        texts.mapInArrow(_lean(lambda batches: prefixes(batches, few)), "token long, cls long, n long").join(several, "token", "left_semi")
         .distinct().selectExpr("token", "cls", "shiftright(n, 32) as n", "n & 4294967295 as place")
         .withColumn("have", F.count("*").over(own)).where(F.col("have") >= need(smallest)).select("token", "cls", "n", "place"))
     involved = shared.select("cls").distinct()
@@ -273,7 +294,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      pa.array([x.tobytes() for x in rows], pa.binary())], ["cls", "low", "grouped", "tokens"])
 
     # one row a class: every task and then every shuffle partition keeps one of its copies, so no group ever holds copies
-    sets = materialize(texts.mapInArrow(fetch, "cls long, low long, grouped boolean, tokens binary").dropDuplicates(["cls"]))
+    sets = materialize(texts.mapInArrow(_lean(fetch), "cls long, low long, grouped boolean, tokens binary").dropDuplicates(["cls"]))
     large = materialize(size.where(F.col("size") > block))  # a group in every `block` classes at most
 
     def blocks() -> Column:
@@ -283,6 +304,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.pmod(F.xxhash64("cls", F.lit(seed)), blocks()).alias("salt")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        _give_back()
         a, b = link_block(pdf["cls"].to_numpy(np.int64), [np.frombuffer(t, np.uint64) for t in pdf["tokens"]], percent) if len(pdf) > 1 else ([], [])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
@@ -321,11 +343,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield b.filter(pa.array(in_bitmap(some.value, b.column(0).to_numpy().view(np.uint64))))
 
         def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+            _give_back()
             q, g = pdf[pdf["asks"]].drop_duplicates("cls"), pdf[~pdf["asks"]].drop_duplicates("cls")
             a, b = _ask(q, g, percent) if len(q) and len(g) else ([], [])
             return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-        picked = sets.select("cls", "tokens").mapInArrow(pick, "cls long, tokens binary")
+        picked = sets.select("cls", "tokens").mapInArrow(_lean(pick), "cls long, tokens binary")
         return materialize(wanted.join(picked, "cls").groupBy("to", "block", "part").applyInPandas(ask, "a long, b long"))
 
     # first each class asks one block only: of the blocks that hold the class of highest rank for one of its tokens, the one with most
