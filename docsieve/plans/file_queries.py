@@ -18,11 +18,11 @@ from ..sources import images as im
 from . import api
 
 
-def sample_pdf(content: bytes, saves: int = 0, root: bytes = b"", page: bytes = b"") -> bytes:
+def sample_pdf(content: bytes, saves: int = 0, root: bytes = b"", page: bytes = b"", resources: bytes = b"") -> bytes:
     """A PDF of one page, saved again `saves` times."""
     objs = {
         1: b"<</Type/Catalog/Pages 2 0 R" + root + b">>", 2: b"<</Type/Pages/Count 1/Kids[3 0 R]>>",
-        3: b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 612 792]/Resources<</Font<</F 4 0 R>>>>/Contents 5 0 R" + page + b">>",
+        3: b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 612 792]/Resources<</Font<</F 4 0 R>>" + resources + b">>/Contents 5 0 R" + page + b">>",
         4: b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>", 5: b"<</Length %d>>stream\n%s\nendstream" % (len(content), content)}
     out, prev = bytearray(b"%PDF-1.4\n"), None
     for k in range(saves + 1):
@@ -101,7 +101,31 @@ def image_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "kind", "pages_flagged", "output_format", "error").join(size, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (pdf_guards, pdf_audit, pdf_revisions, pdf_clean, image_clean)}
+_INK = b"[/Separation/Black/DeviceCMYK<</FunctionType 2/Domain[0 1]/C0[0 0 0 0]/C1[0 0 0 1]/N 1>>]"
+_STEPS = (b"[/Separation/Spot/DeviceGray<</FunctionType 3/Domain[0 1]/Bounds[0.5]/Encode[0 1 0 1]/Functions[<</FunctionType 2/Domain[0 1]/C0[1]/C1[1]/N 1>>"
+          b"<</FunctionType 2/Domain[0 1]/C0[1]/C1[0]/N 1>>]>>]")
+_SPACES = (b"/ColorSpace<</Ink " + _INK + b"/Steps " + _STEPS + b"/Few[/Indexed/DeviceRGB 1<FFFFFF000000>]/Cie[/Lab<</WhitePoint[0.9505 1 1.089]>>]>>")
+#: Fills of boxes; the even ones of each kind of space are dark.
+_FILLS = (b"0 g", b"1 g", b"/Ink cs 1 scn", b"/Ink cs 0 scn", b"/Few cs 1 sc", b"/Few cs 0 sc", b"/Cie cs 5 0 0 sc", b"/Cie cs 95 0 0 sc", b"/Steps cs 0.95 scn", b"/Steps cs 0.5 scn")
+
+
+def pdf_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of files whose box is filled in one of five colour spaces, over none to three words, on a page that is shown turned."""
+    def make(i: int, n_chars: int, lang: str) -> bytes:
+        words = b" ".join([lang.encode()] * (n_chars % 4))
+        return sample_pdf(b"BT /F 12 Tf 72 700 Td (%s) Tj ET\n%s 70 690 200 30 re f\n" % (words, _FILLS[i % 10]), page=b"/Rotate %d" % (n_chars // 4 % 4 * 90), resources=_SPACES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(k).to_pylist() for k in range(3)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([make(*r) for r in rows], pa.binary())], ["doc_id", "content"])
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.coalesce("lang", F.lit("")).alias("lang"))
+    found, _, _ = api.audit_redactions(docs.mapInArrow(run, "doc_id long, content binary"))
+    return found.select("doc_id", "source", "risk_level", "underlying_word_count", "underlying_char_count", *(F.round(F.col("rect")[c]).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+QUERIES = {f.__name__: f for f in (pdf_guards, pdf_audit, pdf_colors, pdf_revisions, pdf_clean, image_clean)}
 
 _q = lambda s: s.replace("'", "''")
 
@@ -119,6 +143,11 @@ ORACLES = {
                CASE WHEN bad > 0 THEN replace('{_q(audit.SUMMARY_CRITICAL)}', '%d', bad::VARCHAR) WHEN n > 0 THEN replace('{_q(audit.SUMMARY_CLEAR)}', '%d', n::VARCHAR)
                     ELSE '{_q(audit.SUMMARY_NONE)}' END AS summary
         FROM (SELECT doc_id, (doc_id % 3 < 2)::INT + (doc_id % 5 = 0)::INT AS n, (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT AS bad FROM documents)""",
+    "pdf_colors": """
+        SELECT doc_id, 'vector_fill' AS source, CASE WHEN w > 0 THEN 'critical' ELSE 'clear' END AS risk_level, w AS underlying_word_count,
+               CASE WHEN w > 0 THEN w * length(lang) + w - 1 ELSE 0 END::INT AS underlying_char_count,
+               [70, 690, 342, 72][t] AS x0, [72, 70, 690, 342][t] AS y0, [270, 720, 542, 102][t] AS x1, [102, 270, 720, 542][t] AS y1
+        FROM (SELECT doc_id, lang, (n_chars % 4)::INT AS w, n_chars // 4 % 4 + 1 AS t FROM documents WHERE doc_id % 2 = 0)""",
     "pdf_revisions": f"""
         SELECT doc_id, (1 + doc_id % 4)::INT AS total_revisions_found, 1 AS pages_in_current_revision,
                CASE WHEN doc_id % 4 > 0 THEN replace('{_q(revisions.SUMMARY_PRIOR)}', '%d', (doc_id % 4)::VARCHAR) ELSE '{_q(revisions.SUMMARY_NONE)}' END AS summary,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULT, Settings
-from .pdf import Document, EncryptedError, Painter, PdfError
+from .pdf import Document, EncryptedError, Painter, PdfError, turned
 
 ERROR_ENCRYPTED = "Encrypted/password-protected PDFs are not supported."
 ERROR_OBJECTS = "Document object graph exceeds safe processing limits."
@@ -105,7 +105,8 @@ def parse_one(raw: bytes, settings: Settings = DEFAULT) -> dict:
         for number, page in enumerate(doc.pages()):
             painter = Painter(doc, page)
             here = {"page_number": number}
-            x, _, _, top = doc.box(page)
+            x, low, right, top = doc.box(page)
+            turns = doc.rotation(page)
             rows["pages"].append({**here, "page_rect": _rect((0, 0, *painter.size))})
             rows["drawings"] += [{**here, **d, "rect": _rect(d["rect"]), "fill": None if d["fill"] is None else list(d["fill"])} for d in painter.drawings]
             rows["words"] += [{**here, "word_seq": k, "rect": _rect(w["rect"]), "word": w["word"]} for k, w in enumerate(painter.words)]
@@ -114,7 +115,7 @@ def parse_one(raw: bytes, settings: Settings = DEFAULT) -> dict:
                 if isinstance(annot, dict) and isinstance(r := doc.get(annot.get("Rect")), list) and len(r) == 4:
                     a, b, c, d = (float(doc.get(v)) for v in r)
                     rows["annots"].append({**here, "seq": k, "subtype": str(doc.get(annot.get("Subtype")) or ""),
-                                           "rect": _rect((min(a, c) - x, top - max(b, d), max(a, c) - x, top - min(b, d)))})
+                                           "rect": _rect(turned((min(a, c) - x, top - max(b, d), max(a, c) - x, top - min(b, d)), turns, right - x, top - low))})
         rows["actions"] = doc.actions()
         created, modified = doc.info()
         return out | rows | {"n_pages": len(rows["pages"]), "n_objects": doc.n_objects(), "creation_date": created, "mod_date": modified}

@@ -152,35 +152,78 @@ def _inflate(raw: bytes, size: int) -> bytes:
         raise ImageError(str(e)) from e
 
 
-def unfilter(data: bytes, row: int, pixel: int, rows: int) -> np.ndarray:
-    """Rows of bytes behind PNG's row filters."""
+def unfilter(data: bytes, row: int, pixel: int, rows: int, band: int = 512) -> np.ndarray:
+    """Rows of bytes behind PNG's row filters.
+
+    A row that is filtered by its left or upper left neighbours can't be done at once, but all pixels of an anti-diagonal can: what they
+    need lies on the two anti-diagonals before. So `band` rows are undone together, in as many steps as a row has pixels, plus `band`.
+    """
     a = np.frombuffer(data, np.uint8)[:rows * (row + 1)].reshape(rows, row + 1)
+    if rows and a[:, 0].max() > 4:
+        raise ImageError("unknown row filter")
     out = np.zeros((rows, row), np.uint8)
-    above = np.zeros(row, np.int64)
-    for y in range(rows):
-        kind, line = a[y, 0], a[y, 1:].astype(np.int64)
-        if kind == 1:
-            for k in range(pixel):
-                line[k::pixel] = np.cumsum(line[k::pixel])
-        elif kind == 2:
-            line = line + above
-        elif kind in (3, 4):
-            for x in range(row):
-                left = line[x - pixel] if x >= pixel else 0
-                if kind == 3:
-                    line[x] = (line[x] + (left + above[x]) // 2) & 255
-                else:
-                    corner = above[x - pixel] if x >= pixel else 0
-                    p = left + above[x] - corner
-                    pa, pb, pc = abs(p - left), abs(p - above[x]), abs(p - corner)
-                    line[x] = (line[x] + (left if pa <= pb and pa <= pc else above[x] if pb <= pc else corner)) & 255
-        elif kind:
-            raise ImageError("unknown row filter")
-        above = line & 255
-        out[y] = above
+    above = np.zeros(row, np.uint8)
+    y = 0
+    while y < rows:
+        kind = a[y, 0]
+        if kind < 3:
+            line = a[y, 1:]
+            if kind == 1:
+                line = line.copy()
+                for k in range(pixel):
+                    line[k::pixel] = np.cumsum(line[k::pixel], dtype=np.uint8)
+            elif kind == 2:
+                line = line + above
+            out[y] = above = line
+            y += 1
+            continue
+        end = min(rows, y + band)
+        plain = np.flatnonzero(a[y:end, 0] < 3)
+        end = y + int(plain[0]) if len(plain) and plain[0] > 16 else end  # rows without such neighbours are done faster by themselves
+        _wavefront(a[y:end], out[y:end], above, pixel)
+        above, y = out[end - 1], end
     return out
 
 
+def _wavefront(a: np.ndarray, out: np.ndarray, above: np.ndarray, pixel: int) -> None:
+    """Undo the filters of the rows a (kind first) below the row `above`; pixels are `pixel` bytes, of which a row's last may lack some."""
+    n, row = out.shape
+    columns = -(-row // pixel)
+    padded = np.zeros((n, columns * pixel), np.uint8)
+    padded[:, :row] = a[:, 1:]
+    # line d of `skewed` is anti-diagonal d: of row r the pixel d - r
+    skewed = np.zeros((columns + n, n, pixel), np.uint8)
+    s0, s1, s2 = skewed.strides
+    by_row = np.lib.stride_tricks.as_strided(skewed, (n, columns, pixel), (s0 + s1, s0, s2))
+    by_row[...] = padded.reshape(n, columns, pixel)
+    top = np.zeros((columns + 1, pixel), np.int16)  # the row above, behind a pixel of zeros
+    top.reshape(-1)[pixel:pixel + row] = above
+    kinds = a[:, 0]
+    sub, up, average, paeth = (np.flatnonzero(kinds == k) for k in (1, 2, 3, 4))
+    last, older = np.zeros((n + 1, pixel), np.int16), np.zeros((n + 1, pixel), np.int16)  # anti-diagonals d - 1 and d - 2; row r at r + 1
+    for d in range(columns + n - 1):
+        lo, hi = max(0, d - columns + 1), min(n, d + 1)
+        last[0], older[0] = top[d + 1] if d < columns else 0, top[d] if d <= columns else 0  # above row 0: pixels d and d - 1
+        guess = np.zeros((n, pixel), np.int16)
+        left, upper, corner = last[1:], last[:-1], older[:-1]
+        if len(sub):
+            guess[sub] = left[sub]
+        if len(up):
+            guess[up] = upper[up]
+        if len(average):
+            guess[average] = (left[average] + upper[average]) >> 1
+        if len(paeth):
+            p, q, c = (left, upper, corner) if len(paeth) == n else (left[paeth], upper[paeth], corner[paeth])
+            pa, pb = np.abs(q - c), np.abs(p - c)
+            pc = np.abs(p + q - 2 * c)
+            guess[paeth] = np.where((pa <= pb) & (pa <= pc), p, np.where(pb <= pc, q, c))
+        now = np.zeros((n + 1, pixel), np.int16)
+        now[lo + 1:hi + 1] = (skewed[d, lo:hi] + guess[lo:hi]) & 255
+        skewed[d, lo:hi] = now[lo + 1:hi + 1]
+        last, older = now, last
+    out[...] = by_row.reshape(n, -1)[:, :row]
+
+
 def _tiff(raw: bytes, w: int, h: int) -> np.ndarray:
     t = _tags(raw)
     channels, bits, packing = t.get(277, [1])[0], t.get(258, [1])[0], t.get(259, [1])[0]

@@ -2,7 +2,8 @@
 
 Read: cross-reference tables and streams, object streams, Flate with predictors, ASCII filters, simple and composite fonts with
 ToUnicode maps, form XObjects, fill opacity. Not read: encryption, and content behind other filters; both are errors with a text,
-never an empty result. Coordinates are those of a page with the origin at the top left; /Rotate isn't applied.
+never an empty result. Coordinates are those of a page as it is shown, turned by /Rotate,
+with the origin at the top left.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from . import codecs
+from . import codecs, pdf_color
 from .images import unfilter
 
 MAX_DEPTH = 25
@@ -392,6 +393,11 @@ class Document:
         x0, y0, x1, y1 = (float(self.get(v)) for v in box)
         return min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)
 
+    def rotation(self, page: dict) -> int:
+        """Quarter turns to the right that a page is shown after."""
+        turn = self.get(page.get("Rotate"))
+        return int(turn) // 90 % 4 if isinstance(turn, (int, float)) and turn % 90 == 0 else 0
+
     def content(self, page: dict) -> bytes:
         parts = self.get(page.get("Contents"))
         parts = parts if isinstance(parts, list) else [parts]
@@ -536,6 +542,12 @@ class Font:
             yield self.names.get(code, chr(code) if not self.wide else ""), w, step == 1 and code == 32
 
 
+def turned(r: tuple, turns: int, width: float, height: float) -> tuple[float, float, float, float]:
+    """A rectangle of a page of this size after quarter turns of the page to the right."""
+    x0, y0, x1, y1 = r
+    return (r, (height - y1, x0, height - y0, x1), (width - x1, height - y1, width - x0, height - y0), (y0, width - x1, y1, width - x0))[turns]
+
+
 class Painter:
     """Runs the content of a page and collects drawings, words and images, in paint order."""
 
@@ -548,6 +560,11 @@ class Painter:
         self.fonts: dict[int, Font] = {}
         self.seq = 0
         self._run(doc.content(page), doc.get(page.get("Resources")) or {}, self.base, {"fill": (0.0, 0.0, 0.0), "ca": 1.0}, 0)
+        if turns := doc.rotation(page):  # words are put together as they were written, and turned with the page afterwards
+            for row in (*self.drawings, *self.words, *self.images):
+                row["rect"] = turned(row["rect"], turns, *self.size)
+            self.shows = [(start, end, turned(r, turns, *self.size), *more) for start, end, r, *more in self.shows]
+            self.size = self.size[::-1] if turns % 2 else self.size
 
     def _font(self, resources: dict, name: str) -> Font:
         value = (self.doc.get(resources.get("Font")) or {}).get(name)
@@ -563,7 +580,7 @@ class Painter:
 
     def _run(self, data: bytes, resources: dict, ctm: tuple, state: dict, depth: int) -> None:
         doc, stack = self.doc, []
-        s = {"ctm": ctm, "font": None, "size": 1.0, "tc": 0.0, "tw": 0.0, "th": 1.0, "tl": 0.0, "rise": 0.0, **state}
+        s = {"ctm": ctm, "font": None, "size": 1.0, "tc": 0.0, "tw": 0.0, "th": 1.0, "tl": 0.0, "rise": 0.0, "space": "DeviceGray", **state}
         tm = line = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
         path: list[tuple[float, float]] = []
         glyphs: list[tuple[str, tuple]] = []  # characters since the last gap
@@ -613,10 +630,14 @@ class Painter:
                 elif op == "gs":
                     g = doc.get((doc.get(resources.get("ExtGState")) or {}).get(a[0])) or {}
                     s["ca"] = float(doc.get(g.get("ca", s["ca"])))
-                elif op in ("g", "rg", "k", "sc", "scn"):
-                    s["fill"] = _color(a)
+                elif op in ("g", "rg", "k"):
+                    s["space"] = {"g": "DeviceGray", "rg": "DeviceRGB", "k": "DeviceCMYK"}[op]
+                    s["fill"] = pdf_color.rgb(doc, s["space"], a)
+                elif op in ("sc", "scn"):
+                    s["fill"] = pdf_color.rgb(doc, s["space"], a)
                 elif op == "cs":
-                    s["fill"] = None if a and a[0] == "Pattern" else (0.0, 0.0, 0.0)
+                    s["space"] = (doc.get(resources.get("ColorSpace")) or {}).get(a[0], a[0])
+                    s["fill"] = pdf_color.start(doc, s["space"])
                 elif op == "re":
                     x, y, w, h = map(float, a)
                     path += [_at(s["ctm"], p, q) for p, q in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
@@ -662,7 +683,7 @@ class Painter:
                             raise PdfError("forms are nested too deeply")
                         flush()
                         m = tuple(float(doc.get(v)) for v in doc.get(x.head.get("Matrix")) or (1, 0, 0, 1, 0, 0))
-                        self._run(doc.data(x), doc.get(x.head.get("Resources")) or resources, _times(m, s["ctm"]), {"fill": s["fill"], "ca": s["ca"]}, depth + 1)
+                        self._run(doc.data(x), doc.get(x.head.get("Resources")) or resources, _times(m, s["ctm"]), {"fill": s["fill"], "space": s["space"], "ca": s["ca"]}, depth + 1)
                     elif x.head.get("Subtype") == "Image":
                         self.images.append({"seq": self.seq, "rect": self._rect([_at(s["ctm"], p, q) for p in (0, 1) for q in (0, 1)]), **image_samples(doc, x)})
                         self.seq += 1
@@ -673,15 +694,6 @@ class Painter:
         flush()
 
 
-def _color(a: list) -> tuple[float, float, float] | None:
-    v = [float(x) for x in a if isinstance(x, (int, float))]
-    if len(v) != len(a) or len(v) not in (1, 3, 4):
-        return None
-    if len(v) == 1:
-        return v[0], v[0], v[0]
-    return tuple(v) if len(v) == 3 else tuple((1 - c) * (1 - v[3]) for c in v[:3])
-
-
 def image_samples(doc: Document, x: Stream) -> dict:
     """Variance and mean over the samples of the first three channels together; nulls where they can't be read."""
     try:

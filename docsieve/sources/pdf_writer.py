@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from .pdf import Document, Name, Op, Painter, Ref, Stream
+from .pdf import Document, Name, Op, Painter, Ref, Stream, turned
 
 
 def _text(value) -> bytes:
@@ -96,7 +96,10 @@ def masked(doc: Document, page: dict, rects: list[tuple], color: list[float]) ->
 
 
 def _fills(doc: Document, page: dict, rects: list[tuple], color: list[float]) -> bytes:
-    x, _, _, top = doc.box(page)
+    x, low, right, top = doc.box(page)
+    if turns := doc.rotation(page):  # back to the page as it is written
+        size = (right - x, top - low)[::-1] if turns % 2 else (right - x, top - low)
+        rects = [turned(r, 4 - turns, *size) for r in rects]
     shapes = b"".join(b"%s re f\n" % b" ".join(_text(float(v)) for v in (x0 + x, top - y1, x1 - x0, y1 - y0)) for x0, y0, x1, y1 in rects)
     return b"q " + b" ".join(_text(float(c)) for c in color) + b" rg\n" + shapes + b"Q\n"
 

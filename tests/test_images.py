@@ -193,3 +193,27 @@ def test_overlays_of_small_and_indexed_samples(spark, head, data, found):
     image = b"<</Type/XObject/Subtype/Image/Width 8/Height 8%s/Length %d>>stream\n%s\nendstream" % (head, len(data), data)
     raw = pdf([text(72, 700, b"under") + b"q 200 0 0 30 70 690 cm /X Do Q"], extra=[image]).replace(b"/Font<<", b"/XObject<</X 100 0 R>>/Font<<")
     assert api.audit_redactions(table(spark, a=raw))[0].where("source = 'image_overlay' and risk_level = 'critical'").count() == found
+
+
+def test_row_filters_against_one_byte_at_a_time():
+    from docsieve.sources.images import unfilter
+
+    def plain(a, row, pixel):
+        out, above = [], [0] * row
+        for kind, *line in a.tolist():
+            for x in range(row):
+                left, corner = (line[x - pixel], above[x - pixel]) if x >= pixel else (0, 0)
+                p = left + above[x] - corner
+                near = sorted(((abs(p - left), 0, left), (abs(p - above[x]), 1, above[x]), (abs(p - corner), 2, corner)))[0][2]
+                line[x] = (line[x] + (0, left, above[x], (left + above[x]) // 2, near)[kind]) & 255
+            out.append(line)
+            above = line
+        return out
+
+    rng = np.random.default_rng(16)
+    for kinds in ([0, 1, 2, 3, 4], [4], [3], [3, 4]):
+        for _ in range(25):
+            pixel, row, rows = (int(rng.integers(1, n)) for n in (5, 30, 40))
+            a = rng.integers(0, 256, (rows, row + 1), dtype=np.uint8)
+            a[:, 0] = rng.choice(kinds, rows)
+            assert unfilter(a.tobytes(), row, pixel, rows, int(rng.integers(1, 20))).tolist() == plain(a, row, pixel)
