@@ -84,7 +84,8 @@ def validate(files: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
             out, n, error = None, None, fs.ERROR_INTERNAL
         yield doc_id, kind, n, out, error
 
-    run = fs.by_row(make, {"doc_id": None, "kind": pa.string(), "page_count": pa.int32(), "sanitized": pa.binary(), "error": pa.string()})
+    run = fs.by_row(make, {"doc_id": None, "kind": pa.string(), "page_count": pa.int32(), "sanitized": pa.binary(), "error": pa.string()},
+                    limit=settings.processing_timeout_seconds)
     schema = f"doc_id {_kind(files)}, kind string, page_count int, sanitized binary, error string"
     good = checked.where(F.col("error").isNull()).select("doc_id", "content", "kind").mapInArrow(run, schema)
     bad = checked.where(F.col("error").isNotNull()).select(
@@ -195,7 +196,8 @@ def discover_revisions(files: DataFrame, settings: Settings = DEFAULT) -> tuple[
         yield doc_id, offsets, len(raw), slices, *rows.values(), error
 
     run = fs.by_row(make, {"doc_id": None, "offsets": pa.list_(pa.int64()), "length": pa.int64(), "slices": kind,
-                           **{k: pa.list_(t) for k, t in _SAVE_TYPES.items()}, "error": pa.string()}, rows=64)
+                           **{k: pa.list_(t) for k, t in _SAVE_TYPES.items()}, "error": pa.string()}, rows=64,
+                    limit=settings.processing_timeout_seconds, late="Discovery exceeded the allotted time limit.")
     seen = good.select(
         "doc_id", "content", b.boundary_offsets(b.latin1(F.col("content")), most=settings.forensics_max_boundary_candidates).alias("offsets"))
     schema = ", ".join(f"{k} array<{t}>" for k, t in _SAVES.items())
@@ -226,7 +228,7 @@ def object_graph(files: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFr
             objects, links = pdf_saves.object_links(doc)
             yield doc_id, objects, [dict(zip(("source", "target"), x)) for x in links], None
 
-    run = fs.by_row(make, {"doc_id": None, "objects": pa.list_(pa.int64()), "links": pa.list_(link), "error": pa.string()}, rows=64)
+    run = fs.by_row(make, {"doc_id": None, "objects": pa.list_(pa.int64()), "links": pa.list_(link), "error": pa.string()}, rows=64, limit=settings.processing_timeout_seconds)
     parsed = materialize(files.select("doc_id", "content").mapInArrow(
         run, f"doc_id {_kind(files)}, objects array<long>, links array<struct<source:bigint,target:bigint>>, error string"))
     reports, dropped = graphs.report(parsed.select("doc_id", F.explode("objects").alias("object")),
@@ -282,7 +284,8 @@ def clean_pdfs(pdfs: DataFrame, mode: str | None = None, settings: Settings = DE
                 error = fs.ERROR_INTERNAL
         yield doc_id, out, flagged or 0, time.monotonic() - began, error
 
-    run = fs.by_row(make, {"doc_id": None, "output": pa.binary(), "pages_flagged": pa.int32(), "elapsed_seconds": pa.float64(), "error": pa.string()})
+    run = fs.by_row(make, {"doc_id": None, "output": pa.binary(), "pages_flagged": pa.int32(), "elapsed_seconds": pa.float64(), "error": pa.string()},
+                    limit=settings.processing_timeout_seconds)
     out = joined.mapInArrow(run, f"doc_id {_kind(pdfs)}, output binary, pages_flagged int, elapsed_seconds double, error string")
     return out.withColumn("output_format", F.lit("pdf")), shapes
 

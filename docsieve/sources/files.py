@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import signal
+import threading
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,7 @@ ERROR_OBJECTS = "Document object graph exceeds safe processing limits."
 ERROR_PAGES = "Document exceeds maximum supported page count."
 ERROR_NO_PAGES = "PDF contains no pages."
 ERROR_INTERNAL = "An internal processing error occurred."
+ERROR_LIMIT = "Processing exceeded the allotted time limit."
 
 
 def read_files(spark: SparkSession, path: str, settings: Settings = DEFAULT, oversized: bool = True) -> DataFrame:
@@ -33,11 +37,44 @@ def read_pixels(spark: SparkSession, path: str, valid: bool = True) -> DataFrame
         image["origin"].alias("doc_id"), image["height"].alias("height"), image["width"].alias("width"), image["nChannels"].alias("channels"), image["data"].alias("data"))
 
 
-def by_row(make: Callable[..., Iterable[tuple]], types: dict[str, pa.DataType | None], rows: int = 512, size: int = 8_000_000) -> Callable:
+class _Late(BaseException):
+    """A row takes too long; no Exception, so that no handler on the way takes it for a fault of the document."""
+
+
+@contextmanager
+def time_limit(seconds: float | None) -> Iterator[None]:
+    """_Late where what is inside takes longer; a worker runs it in its main thread, elsewhere there is no limit."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_) -> None:
+        raise _Late
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def by_row(make: Callable[..., Iterable[tuple]], types: dict[str, pa.DataType | None], rows: int = 512, size: int = 8_000_000,
+           limit: float | None = None, late: str = ERROR_LIMIT) -> Callable:
     """For mapInArrow: the rows that make(*values of a row) gives, in batches of at most `rows` rows and about `size` bytes.
 
-    types: names and types of what is made; None for the type of the first column that comes in.
+    types: names and types of what is made; None for the type of the first column that comes in. limit: seconds for a row, past which it
+    is given up and becomes one row with the error `late`, so a document that never ends costs its time and nothing else.
     """
+    def made(values: tuple) -> list[tuple]:
+        try:
+            with time_limit(limit):
+                return list(make(*values))
+        except _Late:
+            none = lambda t: [] if t is not None and pa.types.is_list(t) else None
+            return [tuple(values[0] if t is None else late if name == "error" else none(t) for name, t in types.items())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held, first = [], 0, None
 
@@ -47,7 +84,7 @@ def by_row(make: Callable[..., Iterable[tuple]], types: dict[str, pa.DataType |
         for b in batches:
             first = b.column(0).type
             for values in zip(*b.columns):  # a value is taken out of Arrow when its turn comes
-                for row in make(*(v.as_py() for v in values)):
+                for row in made(tuple(v.as_py() for v in values)):
                     out.append(row)
                     held += sum(len(v) for v in row if isinstance(v, bytes | str))
                     if len(out) >= rows or held >= size:
@@ -94,6 +131,23 @@ def open_pdf(raw: bytes, settings: Settings = DEFAULT) -> tuple[Document | None,
         return None, False, ERROR_INTERNAL
 
 
+def page_rows(doc: Document, number: int, page: dict) -> dict[str, list[dict]]:
+    """The rows of one page: page, drawings, words, page_images, annots."""
+    painter, here = Painter(doc, page), {"page_number": number}
+    x, low, right, top = doc.box(page)
+    turns, annots = doc.rotation(page), []
+    for k, annot in enumerate(map(doc.get, doc.get(page.get("Annots")) or [])):
+        if isinstance(annot, dict) and isinstance(r := doc.get(annot.get("Rect")), list) and len(r) == 4:
+            a, b, c, d = (float(doc.get(v)) for v in r)
+            annots.append({**here, "seq": k, "subtype": str(doc.get(annot.get("Subtype")) or ""),
+                           "rect": _rect(turned((min(a, c) - x, top - max(b, d), max(a, c) - x, top - min(b, d)), turns, right - x, top - low))})
+    return {
+        "pages": [{**here, "page_rect": _rect((0, 0, *painter.size))}],
+        "drawings": [{**here, **d, "rect": _rect(d["rect"]), "fill": None if d["fill"] is None else list(d["fill"])} for d in painter.drawings],
+        "words": [{**here, "word_seq": k, "rect": _rect(w["rect"]), "word": w["word"]} for k, w in enumerate(painter.words)],
+        "page_images": [{**here, **i, "rect": _rect(i["rect"])} for i in painter.images], "annots": annots}
+
+
 def parse_one(raw: bytes, settings: Settings = DEFAULT) -> dict:
     """The relations of one document as lists of rows; a document that can't be read in full has an error and no rows."""
     doc, recovered, error = open_pdf(raw, settings)
@@ -103,19 +157,8 @@ def parse_one(raw: bytes, settings: Settings = DEFAULT) -> dict:
     rows: dict = {k: [] for k in _PARTS}
     try:
         for number, page in enumerate(doc.pages()):
-            painter = Painter(doc, page)
-            here = {"page_number": number}
-            x, low, right, top = doc.box(page)
-            turns = doc.rotation(page)
-            rows["pages"].append({**here, "page_rect": _rect((0, 0, *painter.size))})
-            rows["drawings"] += [{**here, **d, "rect": _rect(d["rect"]), "fill": None if d["fill"] is None else list(d["fill"])} for d in painter.drawings]
-            rows["words"] += [{**here, "word_seq": k, "rect": _rect(w["rect"]), "word": w["word"]} for k, w in enumerate(painter.words)]
-            rows["page_images"] += [{**here, **i, "rect": _rect(i["rect"])} for i in painter.images]
-            for k, annot in enumerate(map(doc.get, doc.get(page.get("Annots")) or [])):
-                if isinstance(annot, dict) and isinstance(r := doc.get(annot.get("Rect")), list) and len(r) == 4:
-                    a, b, c, d = (float(doc.get(v)) for v in r)
-                    rows["annots"].append({**here, "seq": k, "subtype": str(doc.get(annot.get("Subtype")) or ""),
-                                           "rect": _rect(turned((min(a, c) - x, top - max(b, d), max(a, c) - x, top - min(b, d)), turns, right - x, top - low))})
+            for name, found in page_rows(doc, number, page).items():
+                rows[name] += found
         rows["actions"] = doc.actions()
         created, modified = doc.info()
         return out | rows | {"n_pages": len(rows["pages"]), "n_objects": doc.n_objects(), "creation_date": created, "mod_date": modified}
@@ -134,7 +177,7 @@ def parse_pdfs(files: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         row = parse_one(content or b"", settings)
         yield (doc_id, *(row[n] for n, _ in _HEAD), *(row[n] for n in types))
 
-    run = by_row(make, {"doc_id": None, **dict(_HEAD), **types}, rows=64)
+    run = by_row(make, {"doc_id": None, **dict(_HEAD), **types}, rows=64, limit=settings.processing_timeout_seconds)
     head = ", ".join(f"{n} {'boolean' if t == pa.bool_() else _SQL[t]}" for n, t in _HEAD)
     parts = ", ".join(f"{n} array<struct<{','.join(f'{f}:{_SQL[t]}' for f, t in v)}>>" for n, v in _PARTS.items())
     return files.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, {head}, {parts}")
