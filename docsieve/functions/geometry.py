@@ -53,6 +53,27 @@ def contains(outer: Column, x: Column, y: Column) -> Column:
     return (outer["x0"] <= x) & (x < outer["x1"]) & (outer["y0"] <= y) & (y < outer["y1"])
 
 
+def winding(path: Column, x: Column, y: Column) -> Column:
+    """How often the segments of a path go around a point: crossings of the ray to its right, downward ones less upward ones.
+
+    path: array of doubles, four a segment (x0, y0, x1, y1).
+    """
+    def crossing(i: Column) -> Column:
+        x0, y0, x1, y1 = (F.get(path, 4 * i + k) for k in range(4))
+        right = x < x0 + (y - y0) * (x1 - x0) / (y1 - y0)
+        return F.when((y0 <= y) & (y < y1) & right, 1).when((y1 <= y) & (y < y0) & right, -1).otherwise(0)
+
+    n = F.coalesce(F.floor(F.size(path) / 4), F.lit(0)).cast("int")
+    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.lit(0), lambda acc, i: acc + crossing(i))
+
+
+def inside(path: Column, even_odd: Column, x: Column, y: Column) -> Column:
+    """Whether a fill of the path covers a point, by the rule that its operator names."""
+    turns = winding(path, x, y)
+    return F.when(F.coalesce(even_odd, F.lit(False)), turns % 2 != 0).otherwise(turns != 0)
+
+
 def tolerance_dedupe(items: Column, tolerances: tuple[float, float, float, float], item_type: str) -> Column:
     """Items (structs with a field rect) without those near one kept before: all four coordinates differ by less than the tolerances.
 

@@ -130,6 +130,16 @@ def background_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.background_colors(vector.border_shapes(d, p), d, p).select("doc_id", "page_number", F.col("background")[0].alias("gray"))
 
 
+def winding_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons of five points from each order, some with a second one inside, and how they wind around the centre of a page."""
+    k = F.col("o_orderkey")
+    point = lambda i: [((k * (37 + i)) % 612).cast("double"), ((k * (53 + 7 * i)) % 792).cast("double")]
+    corner = [point(i) for i in range(5)]
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", (k % 2 == 0).alias("even_odd"), F.array(*(v for i in range(5) for v in (*corner[i], *corner[(i + 1) % 5]))).alias("path"))
+    turns = g.winding(F.col("path"), F.lit(306.0), F.lit(396.0))
+    return rows.select("o_orderkey", turns.alias("winding"), g.inside(F.col("path"), F.col("even_odd"), F.lit(306.0), F.lit(396.0)).alias("covers"))
+
+
 # ---- C: raster borders ----------------------------------------------------------------------------------------------------------
 
 
@@ -283,7 +293,7 @@ def document_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    document_screen, size_guard, magic_sniff, token_scan, action_chain, border_shapes, pages_flagged, background_color, raster_sides,
+    document_screen, size_guard, magic_sniff, token_scan, action_chain, border_shapes, pages_flagged, background_color, winding_number, raster_sides,
     raster_bars, raster_merge, channel_median, area_gate, audit_vectors, flat_image, text_under_box, tolerance_dedupe, audit_findings,
     audit_report, revision_offsets, revision_report, prefix_slice, job_status, ttl_filter, one_time_read, job_lifecycle, payload_roundtrip)} | file_queries.QUERIES | history_queries.QUERIES
 
@@ -368,6 +378,13 @@ ORACLES = {
         p AS (SELECT doc_id, page_number, bool_or(x0 <= 306 AND 306 < x1 AND y0 <= 396 AND 396 < y1) AS hidden FROM s GROUP BY 1, 2),
         t AS (SELECT doc_id, page_number, arg_max(gray, seq) AS gray FROM d WHERE x0 <= 306 AND 306 < x1 AND y0 <= 396 AND 396 < y1 GROUP BY 1, 2)
         SELECT p.doc_id, p.page_number, CASE WHEN hidden THEN 1.0 ELSE coalesce(gray, 1.0) END::DOUBLE AS gray FROM p LEFT JOIN t USING (doc_id, page_number)""",
+    "winding_number": """
+        WITH p AS (SELECT o_orderkey, unnest([0, 1, 2, 3, 4]) AS i FROM orders),
+        s AS (SELECT o_orderkey, (o_orderkey * (37 + i)) % 612 AS x0, (o_orderkey * (53 + 7 * i)) % 792 AS y0,
+                     (o_orderkey * (37 + (i + 1) % 5)) % 612 AS x1, (o_orderkey * (53 + 7 * ((i + 1) % 5))) % 792 AS y1 FROM p),
+        w AS (SELECT o_orderkey, sum(CASE WHEN y0 <= 396 AND 396 < y1 AND 306 < x0 + (396 - y0)::DOUBLE * (x1 - x0) / (y1 - y0) THEN 1
+                     WHEN y1 <= 396 AND 396 < y0 AND 306 < x0 + (396 - y0)::DOUBLE * (x1 - x0) / (y1 - y0) THEN -1 ELSE 0 END)::INT AS winding FROM s GROUP BY 1)
+        SELECT o_orderkey, winding, CASE WHEN o_orderkey % 2 = 0 THEN winding % 2 <> 0 ELSE winding <> 0 END AS covers FROM w""",
     "raster_sides": f"WITH {_COMPONENTS} SELECT side, count(*) AS n FROM e GROUP BY side",
     "raster_bars": f"WITH {_COMPONENTS} SELECT doc_id, seq, side, x, y, w, h FROM f",
     "raster_merge": f"""WITH {_COMPONENTS}

@@ -97,16 +97,19 @@ def by_row(make: Callable[..., Iterable[tuple]], types: dict[str, pa.DataType |
 
 
 _RECT = pa.struct([(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")])
+_CLIPS = pa.list_(pa.struct([("even_odd", pa.bool_()), ("path", pa.list_(pa.float64()))]))
 _PARTS = {
     "pages": [("page_number", pa.int32()), ("page_rect", _RECT)],
-    "drawings": [("page_number", pa.int32()), ("seq", pa.int32()), ("rect", _RECT), ("fill", pa.list_(pa.float64())), ("fill_opacity", pa.float64())],
+    "drawings": [("page_number", pa.int32()), ("seq", pa.int32()), ("rect", _RECT), ("fill", pa.list_(pa.float64())), ("fill_opacity", pa.float64()),
+                 ("even_odd", pa.bool_()), ("path", pa.list_(pa.float64())), ("clips", _CLIPS)],
     "words": [("page_number", pa.int32()), ("word_seq", pa.int32()), ("rect", _RECT), ("word", pa.string())],
     "page_images": [("page_number", pa.int32()), ("seq", pa.int32()), ("rect", _RECT), ("n_channels", pa.int32()), ("variance", pa.float64()), ("mean_intensity", pa.float64())],
     "annots": [("page_number", pa.int32()), ("seq", pa.int32()), ("subtype", pa.string()), ("rect", _RECT)],
     "actions": [("origin", pa.string()), ("action_id", pa.int64()), ("parent_id", pa.int64()), ("subtype", pa.string())],
 }
 _SQL = {pa.int32(): "int", pa.int64(): "bigint", pa.float64(): "double", pa.string(): "string",
-        _RECT: "struct<x0:double,y0:double,x1:double,y1:double>", pa.list_(pa.float64()): "array<double>"}
+        _RECT: "struct<x0:double,y0:double,x1:double,y1:double>", pa.list_(pa.float64()): "array<double>", pa.bool_(): "boolean",
+        _CLIPS: "array<struct<even_odd:boolean,path:array<double>>>"}
 _HEAD = [("error", pa.string()), ("n_pages", pa.int32()), ("n_objects", pa.int32()), ("recovered", pa.bool_()), ("creation_date", pa.string()), ("mod_date", pa.string())]
 
 
@@ -178,7 +181,7 @@ def parse_pdfs(files: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         yield (doc_id, *(row[n] for n, _ in _HEAD), *(row[n] for n in types))
 
     run = by_row(make, {"doc_id": None, **dict(_HEAD), **types}, rows=64, limit=settings.processing_timeout_seconds)
-    head = ", ".join(f"{n} {'boolean' if t == pa.bool_() else _SQL[t]}" for n, t in _HEAD)
+    head = ", ".join(f"{n} {_SQL[t]}" for n, t in _HEAD)
     parts = ", ".join(f"{n} array<struct<{','.join(f'{f}:{_SQL[t]}' for f, t in v)}>>" for n, v in _PARTS.items())
     return files.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, {head}, {parts}")
 

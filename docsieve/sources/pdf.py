@@ -548,6 +548,38 @@ def turned(r: tuple, turns: int, width: float, height: float) -> tuple[float, fl
     return (r, (height - y1, x0, height - y0, x1), (width - x1, height - y1, width - x0, height - y0), (y0, width - x1, y1, width - x0))[turns]
 
 
+def _turned_path(path: list[float], turns: int, width: float, height: float) -> list[float]:
+    return [v for x, y in zip(path[::2], path[1::2]) for v in turned((x, y, x, y), turns, width, height)[:2]]
+
+
+class _Path:
+    """The segments of a path under construction, curves as lines."""
+
+    STEPS = 8
+
+    def __init__(self):
+        self.parts: list[list[tuple[float, float]]] = []
+
+    def add(self, op: str, points: list[tuple[float, float]]) -> None:
+        if op == "re":
+            self.parts.append([*points, points[0]])
+        elif op == "m" or not self.parts:
+            self.parts.append([points[-1]])
+        elif op == "l":
+            self.parts[-1].append(points[0])
+        else:
+            begin = self.parts[-1][-1]
+            a, b, c = {"c": lambda p: p, "v": lambda p: [begin, *p], "y": lambda p: [*p, p[-1]]}[op](points)
+            for k in range(1, self.STEPS + 1):
+                t = k / self.STEPS
+                w = ((1 - t) ** 3, 3 * t * (1 - t) ** 2, 3 * t * t * (1 - t), t ** 3)
+                self.parts[-1].append(tuple(sum(f * p[i] for f, p in zip(w, (begin, a, b, c))) for i in (0, 1)))
+
+    def segments(self) -> list[float]:
+        """Four numbers a segment; a fill closes all parts."""
+        return [v for part in self.parts for p, q in zip(part, [*part[1:], part[0]]) if p != q for v in (*p, *q)]
+
+
 class Painter:
     """Runs the content of a page and collects drawings, words and images, in paint order."""
 
@@ -563,6 +595,9 @@ class Painter:
         if turns := doc.rotation(page):  # words are put together as they were written, and turned with the page afterwards
             for row in (*self.drawings, *self.words, *self.images):
                 row["rect"] = turned(row["rect"], turns, *self.size)
+            for row in self.drawings:
+                for held in (row, *row["clips"]):
+                    held["path"] = held["path"] and _turned_path(held["path"], turns, *self.size)
             self.shows = [(start, end, turned(r, turns, *self.size), *more) for start, end, r, *more in self.shows]
             self.size = self.size[::-1] if turns % 2 else self.size
 
@@ -580,9 +615,10 @@ class Painter:
 
     def _run(self, data: bytes, resources: dict, ctm: tuple, state: dict, depth: int) -> None:
         doc, stack = self.doc, []
-        s = {"ctm": ctm, "font": None, "size": 1.0, "tc": 0.0, "tw": 0.0, "th": 1.0, "tl": 0.0, "rise": 0.0, "space": "DeviceGray", **state}
+        s = {"ctm": ctm, "font": None, "size": 1.0, "tc": 0.0, "tw": 0.0, "th": 1.0, "tl": 0.0, "rise": 0.0, "space": "DeviceGray", "clips": (), **state}
         tm = line = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
         path: list[tuple[float, float]] = []
+        outline, clip_rule = _Path(), None
         glyphs: list[tuple[str, tuple]] = []  # characters since the last gap
 
         def flush() -> None:
@@ -640,15 +676,28 @@ class Painter:
                     s["fill"] = pdf_color.start(doc, s["space"])
                 elif op == "re":
                     x, y, w, h = map(float, a)
-                    path += [_at(s["ctm"], p, q) for p, q in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+                    points = [_at(s["ctm"], p, q) for p, q in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+                    path += points
+                    outline.add(op, points)
                 elif op in ("m", "l", "c", "v", "y"):
-                    path += [_at(s["ctm"], float(p), float(q)) for p, q in zip(a[::2], a[1::2])]
+                    points = [_at(s["ctm"], float(p), float(q)) for p, q in zip(a[::2], a[1::2])]
+                    path += points
+                    outline.add(op, points)
+                elif op in ("W", "W*"):
+                    clip_rule = op == "W*"
                 elif op in ("f", "F", "f*", "B", "B*", "b", "b*", "S", "s", "n"):
                     if path and op != "n":
                         filled = op not in ("S", "s")
-                        self.drawings.append({"seq": self.seq, "rect": self._rect(path), "fill": s["fill"] if filled else None, "fill_opacity": s["ca"] if filled else None})
+                        row = {"seq": self.seq, "rect": self._rect(path), "fill": s["fill"] if filled else None, "fill_opacity": s["ca"] if filled else None,
+                               "even_odd": None, "path": None, "clips": []}
+                        if filled and row["rect"][0] <= self.size[0] / 2 <= row["rect"][2] and row["rect"][1] <= self.size[1] / 2 <= row["rect"][3]:
+                            # only what may lie under the page's centre is ever asked for its outline
+                            row |= {"even_odd": op.endswith("*"), "path": outline.segments(), "clips": [{"even_odd": e, "path": list(p)} for e, p in s["clips"]]}
+                        self.drawings.append(row)
                         self.seq += 1
-                    path = []
+                    if clip_rule is not None:
+                        s["clips"] = (*s["clips"], (clip_rule, tuple(outline.segments())))
+                    path, outline, clip_rule = [], _Path(), None
                 elif op == "BT":
                     tm = line = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
                 elif op == "ET":
@@ -683,7 +732,7 @@ class Painter:
                             raise PdfError("forms are nested too deeply")
                         flush()
                         m = tuple(float(doc.get(v)) for v in doc.get(x.head.get("Matrix")) or (1, 0, 0, 1, 0, 0))
-                        self._run(doc.data(x), doc.get(x.head.get("Resources")) or resources, _times(m, s["ctm"]), {"fill": s["fill"], "space": s["space"], "ca": s["ca"]}, depth + 1)
+                        self._run(doc.data(x), doc.get(x.head.get("Resources")) or resources, _times(m, s["ctm"]), {k: s[k] for k in ("fill", "space", "ca", "clips")}, depth + 1)
                     elif x.head.get("Subtype") == "Image":
                         self.images.append({"seq": self.seq, "rect": self._rect([_at(s["ctm"], p, q) for p in (0, 1) for q in (0, 1)]), **image_samples(doc, x)})
                         self.seq += 1

@@ -35,7 +35,8 @@ from ..settings import DEFAULT, Settings
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 RELATIONS = ("drawings", "words", "page_images", "annots")
 SCHEMA = (f"path string, length bigint, page_number int, page_rect {RECT}, error string, "
-          f"drawings array<struct<page_number:int,seq:int,rect:{RECT},fill:array<double>,fill_opacity:double>>, "
+          f"drawings array<struct<page_number:int,seq:int,rect:{RECT},fill:array<double>,fill_opacity:double,"
+          "even_odd:boolean,path:array<double>,clips:array<struct<even_odd:boolean,path:array<double>>>>>, "
           f"words array<struct<page_number:int,word_seq:int,rect:{RECT},word:string>>, "
           f"page_images array<struct<page_number:int,seq:int,rect:{RECT},n_channels:int,variance:double,mean_intensity:double>>, "
           f"annots array<struct<page_number:int,seq:int,subtype:string,rect:{RECT}>>")
