@@ -32,6 +32,11 @@ def dangerous_actions(actions: DataFrame, max_depth: int = MAX_DEPTH) -> DataFra
             .agg(F.array_sort(F.collect_set("subtype")).alias("subtypes")))
 
 
+def dangerous(subtypes) -> F.Column:
+    """The dangerous ones of an array of action types, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(subtypes, lambda x: x.isin(*DANGEROUS))))
+
+
 def error(subtypes) -> F.Column:
     return F.when(F.size(subtypes) > 0, F.concat(
         F.lit("Document rejected: an additional-actions (/AA) trigger references disallowed action type(s) ("),

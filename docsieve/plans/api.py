@@ -11,7 +11,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytes_ops as b
@@ -48,46 +48,64 @@ def guards(files: DataFrame, settings: Settings = DEFAULT, pdf_only: bool = Fals
     return files.select("doc_id", "content", kind.alias("kind"), F.coalesce(b.size_error(length, settings), wrong, tokens).alias("error"))
 
 
-def _sanitize(raw: bytes, kind: str, settings: Settings) -> tuple[bytes | None, int | None, str | None]:
-    """(rebuilt bytes, pages, error)."""
-    if kind == "raster_image":
-        try:
-            fmt, w, h = im.dimensions(raw)
-            if max(w, h) > settings.max_image_dimension:
-                return None, None, f"Image dimensions exceed the {settings.max_image_dimension}px per-side limit."
-            if w * h > settings.max_image_pixels:
-                return None, None, "Image pixel count exceeds safe processing limits."
-            if fmt == "JPEG":  # its pixels stay as they are coded
-                return im.bare_jpeg(raw), 1, None
-            bgr, _ = im.decode(raw, alpha=True)
-            return im.encode(bgr, "PNG" if fmt == "PNG" and raw[25] in (3, 4, 6) else "TIFF"), 1, None
-        except im.ImageError as e:
-            return None, None, f"Malformed or corrupt image: {e}"
-    doc, _, error = fs.open_pdf(raw, settings)
-    if error:
-        return None, None, error
-    bad = sorted({a["subtype"] for a in doc.actions()} & set(actions.DANGEROUS))
-    if bad:
-        return None, None, f"Document rejected: an additional-actions (/AA) trigger references disallowed action type(s) ({', '.join(bad)})."
-    n = len(doc.pages())
-    return (writer.rebuild(doc), n, None) if n else (None, None, fs.ERROR_NO_PAGES)
+def _sanitize_image(raw: bytes, settings: Settings) -> tuple[bytes | None, str | None]:
+    """(rebuilt bytes, error)."""
+    try:
+        fmt, w, h = im.dimensions(raw)
+        if max(w, h) > settings.max_image_dimension:
+            return None, f"Image dimensions exceed the {settings.max_image_dimension}px per-side limit."
+        if w * h > settings.max_image_pixels:
+            return None, "Image pixel count exceeds safe processing limits."
+        if fmt == "JPEG":  # its pixels stay as they are coded
+            return im.bare_jpeg(raw), None
+        bgr, _ = im.decode(raw, alpha=True)
+        return im.encode(bgr, "PNG" if fmt == "PNG" and raw[25] in (3, 4, 6) else "TIFF"), None
+    except im.ImageError as e:
+        return None, f"Malformed or corrupt image: {e}"
+
+
+def _facts(raw: bytes, settings: Settings, rebuild: bool) -> tuple[int | None, int | None, list[str], bytes | None, str | None]:
+    """(pages, objects, action types behind triggers, rebuilt bytes, error) of a PDF; past a limit nothing more is read."""
+    doc, error = fs.open_any(raw)
+    if doc is None:
+        return None, None, [], None, error
+    n_objects, n_pages = doc.n_objects(), len(doc.pages())
+    if n_objects > settings.max_pdf_objects or n_pages > settings.max_pdf_pages:
+        return n_pages, n_objects, [], None, None
+    return n_pages, n_objects, [a["subtype"] for a in doc.actions()], writer.rebuild(doc) if rebuild and n_pages else None, None
+
+
+def screened(settings: Settings = DEFAULT, empty: bool = True) -> Column:
+    """The first error of a PDF with the columns error, n_objects, n_pages and subtypes: what reading gave, limits, actions, no pages."""
+    return F.coalesce(
+        "error", F.when(F.col("n_objects") > settings.max_pdf_objects, fs.ERROR_OBJECTS), F.when(F.col("n_pages") > settings.max_pdf_pages, fs.ERROR_PAGES),
+        actions.error(actions.dangerous(F.col("subtypes"))), F.when(F.col("n_pages") == 0, fs.ERROR_NO_PAGES) if empty else F.lit(None).cast("string"))
 
 
 def validate(files: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """doc_id, kind, page_count, sanitized (rebuilt bytes), error."""
+    """doc_id, kind, page_count, sanitized (rebuilt bytes), error.
+
+    Tasks turn bytes into facts and rebuilt bytes; which facts refuse a document, and which of several errors it gets, are expressions.
+    """
     checked = guards(files, settings)
 
     def make(doc_id, content: bytes, kind: str) -> Iterable[tuple]:
         try:
-            out, n, error = _sanitize(content, kind, settings)
+            if kind == "raster_image":
+                out, error = _sanitize_image(content, settings)
+                facts = (1, None, [], out, error)
+            else:
+                facts = _facts(content, settings, True)
         except Exception:  # noqa: BLE001 - one bad document must not end a job
-            out, n, error = None, None, fs.ERROR_INTERNAL
-        yield doc_id, kind, n, out, error
-
-    run = fs.by_row(make, {"doc_id": None, "kind": pa.string(), "page_count": pa.int32(), "sanitized": pa.binary(), "error": pa.string()},
-                    limit=settings.processing_timeout_seconds)
-    schema = f"doc_id {_kind(files)}, kind string, page_count int, sanitized binary, error string"
-    good = checked.where(F.col("error").isNull()).select("doc_id", "content", "kind").mapInArrow(run, schema)
+            facts = (None, None, [], None, fs.ERROR_INTERNAL)
+        yield doc_id, kind, *facts
+
+    run = fs.by_row(make, {"doc_id": None, "kind": pa.string(), "n_pages": pa.int32(), "n_objects": pa.int32(), "subtypes": pa.list_(pa.string()),
+                           "sanitized": pa.binary(), "error": pa.string()}, limit=settings.processing_timeout_seconds)
+    facts = checked.where(F.col("error").isNull()).select("doc_id", "content", "kind").mapInArrow(
+        run, f"doc_id {_kind(files)}, kind string, n_pages int, n_objects int, subtypes array<string>, sanitized binary, error string")
+    fine = lambda c, name: F.when(F.col("verdict").isNull(), F.col(c)).alias(name)
+    good = facts.withColumn("verdict", screened(settings)).select("doc_id", "kind", fine("n_pages", "page_count"), fine("sanitized", "sanitized"), F.col("verdict").alias("error"))
     bad = checked.where(F.col("error").isNotNull()).select(
         "doc_id", "kind", F.lit(None).cast("int").alias("page_count"), F.lit(None).cast("binary").alias("sanitized"), "error")
     return good.unionByName(bad)
@@ -184,24 +202,23 @@ def discover_revisions(files: DataFrame, settings: Settings = DEFAULT) -> tuple[
                                ("mod_date", pa.string()), ("note", pa.string())]))
 
     def make(doc_id, raw: bytes, offsets: list[int]) -> Iterable[tuple]:
-        # structure limits and dangerous actions refuse a document here too
-        doc, _, error = fs.open_pdf(raw, settings)
         try:
-            bad = sorted({a["subtype"] for a in doc.actions()} & set(actions.DANGEROUS)) if doc else []
+            n_pages, n_objects, subtypes, _, error = _facts(raw, settings, False)
         except Exception:  # noqa: BLE001
-            bad, error = [], "An internal discovery error occurred."
-        if bad:
-            error = f"Document rejected: an additional-actions (/AA) trigger references disallowed action type(s) ({', '.join(bad)})."
+            n_pages, n_objects, subtypes, error = None, None, [], "An internal discovery error occurred."
         rows, slices = ({k: [] for k in _SAVES}, []) if error else read_saves(raw, offsets[:most], settings)
-        yield doc_id, offsets, len(raw), slices, *rows.values(), error
+        yield doc_id, offsets, len(raw), slices, *rows.values(), n_pages, n_objects, subtypes, error
 
     run = fs.by_row(make, {"doc_id": None, "offsets": pa.list_(pa.int64()), "length": pa.int64(), "slices": kind,
-                           **{k: pa.list_(t) for k, t in _SAVE_TYPES.items()}, "error": pa.string()}, rows=64,
+                           **{k: pa.list_(t) for k, t in _SAVE_TYPES.items()}, "n_pages": pa.int32(), "n_objects": pa.int32(),
+                           "subtypes": pa.list_(pa.string()), "error": pa.string()}, rows=64,
                     limit=settings.processing_timeout_seconds, late="Discovery exceeded the allotted time limit.")
     seen = good.select(
         "doc_id", "content", b.boundary_offsets(b.latin1(F.col("content")), most=settings.forensics_max_boundary_candidates).alias("offsets"))
     schema = ", ".join(f"{k} array<{t}>" for k, t in _SAVES.items())
-    parsed = materialize(seen.mapInArrow(run, f"doc_id {_kind(files)}, offsets array<long>, length long, slices array<{_SLICE}>, {schema}, error string"))
+    parsed = materialize(seen.mapInArrow(run, f"doc_id {_kind(files)}, offsets array<long>, length long, slices array<{_SLICE}>, {schema}, "
+                                             "n_pages int, n_objects int, subtypes array<string>, error string").withColumn(
+        "error", screened(settings, empty=False)))  # structure limits and dangerous actions refuse a document here too
     fine = parsed.where("error is null")
     opened = fine.select("doc_id", F.posexplode("slices").alias("pos", "s")).select("doc_id", (F.col("pos") + 1).alias("revision_index"), "s.*")
     rel, small = save_relations(fine), fine.select("doc_id", F.size("slices").alias("small"))
@@ -237,12 +254,47 @@ def object_graph(files: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFr
     return reports.unionByName(failed, allowMissingColumns=True), dropped
 
 
-def extract_revision(files: DataFrame, doc_id, revision_index: int = 1, confirm_ownership: bool = False, settings: Settings = DEFAULT) -> bytes:
-    """The sanitised bytes of one earlier save of one document, for its owner. Every call is logged; there is no way to ask for many."""
+EXTRACTIONS = "doc_id string, revision_index int, event string, bytes bigint, error string, at timestamp"
+
+
+def _record(files: DataFrame, audit_table: str | None, doc_id, index: int, event: str, size: int | None = None, error: str | None = None) -> None:
+    log.warning("extraction of revision %s of %s: %s%s", index, doc_id, event, "" if size is None else f", {size} bytes")
+    if audit_table:
+        row = files.sparkSession.createDataFrame([(str(doc_id), index, event, size, error)], "doc_id string, revision_index int, event string, bytes bigint, error string")
+        row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(audit_table)
+
+
+def extractions(spark: SparkSession, audit_table: str) -> DataFrame:
+    """One row a call of extract_revision with audit_table: doc_id, revision_index, requested_at, then of its end, if it had one, outcome, bytes, error."""
+    rows = spark.read.schema(EXTRACTIONS).parquet(audit_table)
+    own = Window.partitionBy("doc_id", "revision_index").orderBy("at")
+    ends = F.struct("event", "bytes", "error")
+    paired = rows.withColumn("end", F.lead(ends).over(own)).where("event = 'requested'")
+    ended = F.col("end.event") != "requested"
+    return paired.select("doc_id", "revision_index", F.col("at").alias("requested_at"),
+                         *(F.when(ended, F.col(f"end.{c}")).alias(n) for c, n in (("event", "outcome"), ("bytes", "bytes"), ("error", "error"))))
+
+
+def extract_revision(files: DataFrame, doc_id, revision_index: int = 1, confirm_ownership: bool = False, settings: Settings = DEFAULT,
+                     audit_table: str | None = None) -> bytes:
+    """The sanitised bytes of one earlier save of one document, for its owner. There is no way to ask for many.
+
+    Every call is logged, and with `audit_table` recorded in that Parquet folder before anything is read and when it ends.
+    """
     if confirm_ownership is not True:
         raise ValueError("extract_revision() requires confirm_ownership=True — this call must originate from an explicit, owner-confirmed "
                          "action, never a default or automatic one.")
-    log.warning("extraction of revision %s of %s begins", revision_index, doc_id)
+    _record(files, audit_table, doc_id, revision_index, "requested")
+    try:
+        out = _extracted(files, doc_id, revision_index, settings)
+    except Exception as e:
+        _record(files, audit_table, doc_id, revision_index, "refused" if isinstance(e, ValueError) else "failed", error=str(e) if isinstance(e, ValueError) else None)
+        raise
+    _record(files, audit_table, doc_id, revision_index, "completed", len(out))
+    return out
+
+
+def _extracted(files: DataFrame, doc_id, revision_index: int, settings: Settings) -> bytes:
     bounds = revisions.boundaries(files.where(F.col("doc_id") == doc_id), settings)
     row = bounds.first()
     offsets = row["offsets"] if row else []
@@ -253,7 +305,6 @@ def extract_revision(files: DataFrame, doc_id, revision_index: int = 1, confirm_
     out = validate(part, settings).first()
     if out["error"]:
         raise ValueError(f"Historical revision failed exploit screening and cannot be released: {out['error']}")
-    log.warning("extraction of revision %s of %s gave %d bytes", revision_index, doc_id, len(out["sanitized"]))
     return bytes(out["sanitized"])
 
 

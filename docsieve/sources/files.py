@@ -117,15 +117,9 @@ def _rect(r: tuple) -> dict:
     return dict(zip(("x0", "y0", "x1", "y1"), map(float, r)))
 
 
-def open_pdf(raw: bytes, settings: Settings = DEFAULT) -> tuple[Document | None, bool, str | None]:
-    """(document, recovered, error)."""
+def _opened(raw: bytes) -> tuple[Document | None, bool, str | None]:
     try:
-        doc, recovered = Document.open(raw)
-        if doc.n_objects() > settings.max_pdf_objects:
-            return None, recovered, ERROR_OBJECTS
-        if len(doc.pages()) > settings.max_pdf_pages:
-            return None, recovered, ERROR_PAGES
-        return doc, recovered, None
+        return *Document.open(raw), None
     except EncryptedError:
         return None, False, ERROR_ENCRYPTED
     except PdfError as e:
@@ -134,6 +128,22 @@ def open_pdf(raw: bytes, settings: Settings = DEFAULT) -> tuple[Document | None,
         return None, False, ERROR_INTERNAL
 
 
+def open_any(raw: bytes) -> tuple[Document | None, str | None]:
+    """(document, error), whatever the document's size."""
+    doc, _, error = _opened(raw)
+    return doc, error
+
+
+def open_pdf(raw: bytes, settings: Settings = DEFAULT) -> tuple[Document | None, bool, str | None]:
+    """(document, recovered, error); a document past a limit is an error."""
+    doc, recovered, error = _opened(raw)
+    if doc is not None and doc.n_objects() > settings.max_pdf_objects:
+        return None, recovered, ERROR_OBJECTS
+    if doc is not None and len(doc.pages()) > settings.max_pdf_pages:
+        return None, recovered, ERROR_PAGES
+    return doc, recovered, error
+
+
 def page_rows(doc: Document, number: int, page: dict) -> dict[str, list[dict]]:
     """The rows of one page: page, drawings, words, page_images, annots."""
     painter, here = Painter(doc, page), {"page_number": number}

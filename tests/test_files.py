@@ -373,5 +373,31 @@ def test_intermediate_tables_of_a_batch_are_deleted_and_nothing_stays_cached(spa
         assert kept.count() == 5 and storage.exists(spark, home)
     assert not storage.exists(spark, home) and storage.shared_dir(spark).rsplit("/", 1)[0] != home
     files = spark.createDataFrame([("a", b"%PDF-1.4 nothing"), ("b", b"")], "doc_id string, content binary")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
     assert api.process(files).count() == 2
-    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_extractions_are_recorded_whatever_comes_of_them(spark, tmp_path):
+    raw = save_again(pdf([text(72, 700, b"old")]), {11: b"<</Length 0>>stream\n\nendstream"})
+    files = spark.createDataFrame([("a", raw), ("b", raw.replace(b"/Pages 2 0 R", b"/Pages 2 0 R/AA<</O<</S/Laun#63h>>>>", 1))], "doc_id string, content binary")
+    table = str(tmp_path / "log")
+    out = api.extract_revision(files, "a", 1, True, audit_table=table)
+    for args in (("a", 9, True), ("b", 1, True)):
+        with pytest.raises(ValueError):
+            api.extract_revision(files, *args, audit_table=table)
+    with pytest.raises(ValueError, match="confirm_ownership"):
+        api.extract_revision(files, "a", 1, audit_table=table)
+    got = {(r["doc_id"], r["revision_index"]): (r["outcome"], r["bytes"]) for r in api.extractions(spark, table).collect()}
+    assert got == {("a", 1): ("completed", len(out)), ("a", 9): ("refused", None), ("b", 1): ("refused", None)}
+
+
+def test_first_error_of_facts(spark):
+    from docsieve.sources import files as source
+
+    rows = [("read", "broken", 9, 9, ["Launch"]), ("objects", None, 9, 9, ["Launch"]), ("pages", None, 1, 9, ["Launch"]), ("actions", None, 1, 0, ["Launch", "GoTo", "Launch"]),
+            ("none", None, 1, 0, []), ("fine", None, 1, 1, ["GoTo"]), ("image", None, None, 1, [])]
+    df = spark.createDataFrame(rows, "doc_id string, error string, n_objects int, n_pages int, subtypes array<string>")
+    got = {r["doc_id"]: r["e"] for r in df.select("doc_id", api.screened(Settings(max_pdf_objects=5, max_pdf_pages=5)).alias("e")).collect()}
+    assert got == {"read": "broken", "objects": source.ERROR_OBJECTS, "pages": source.ERROR_PAGES, "none": source.ERROR_NO_PAGES, "fine": None, "image": None,
+                   "actions": "Document rejected: an additional-actions (/AA) trigger references disallowed action type(s) (Launch)."}
