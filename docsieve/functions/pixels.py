@@ -58,12 +58,13 @@ def canny(g: np.ndarray, low: int, high: int) -> np.ndarray:
     return weak & np.isin(labels, keep[keep > 0])
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 of the 8-connected components of a mask, 0 elsewhere.
+def components(mask: np.ndarray, corners: bool = True) -> np.ndarray:
+    """Labels from 1 of the components of a mask, 0 elsewhere; 8-connected, or 4-connected where corners don't count.
 
     Runs of each row are joined to the runs of the row above that they touch.
     """
     h, w = mask.shape
+    least = 0 if corners else 1  # pixels that runs have above each other
     edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     rows, starts = np.nonzero(edge == 1)
     _, ends = np.nonzero(edge == -1)
@@ -80,10 +81,10 @@ def components(mask: np.ndarray) -> np.ndarray:
         a, b = first[y - 1], first[y]
         stop = first[y]
         for k in range(b, first[y + 1]):
-            while a < stop and ends[a] < starts[k]:
+            while a < stop and ends[a] < starts[k] + least:
                 a += 1
             j = a
-            while j < stop and starts[j] <= ends[k]:
+            while j < stop and starts[j] <= ends[k] - least:
                 parent[root(j)] = root(k)
                 j += 1
             a = max(a, j - 1) if j > a else a
