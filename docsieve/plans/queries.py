@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes_ops as b
 from ..functions import geometry as g
-from ..operators import actions, audit, jobs, raster, revisions, vector
+from ..operators import actions, audit, jobs, raster, revisions, tiles, vector
 from ..settings import Settings
 from . import file_queries, history_queries
 
@@ -157,6 +157,18 @@ def raster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.merge_by_side(raster.border_components(_orders_as_components(spark, sf_dir)))
 
 
+def tile_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as masks of eight columns, a pixel for each positive number, cut into four tiles that share lines; boxes of the components."""
+    rows = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.floor(F.size("embedding") / 8).cast("int").alias("height"))
+    corner = F.explode(F.array(*(F.struct(F.lit(2 * a + b).alias("tile"), F.lit(4 * a).alias("y"), F.lit(4 * b).alias("x")) for a in (0, 1) for b in (0, 1))))
+    cut = rows.select("*", corner.alias("t")).select("doc_id", "embedding", "height", "t.*")
+    size = {"rows": F.when(F.col("y") > 0, F.col("height") - 4).otherwise(5), "columns": F.when(F.col("x") > 0, 4).otherwise(5), "width": F.lit(8)}
+    bit = lambda i: F.when(F.get("embedding", (F.col("y") + F.floor(i / F.col("columns"))) * 8 + F.col("x") + i % F.col("columns")) > 0, "01").otherwise("00")
+    cut = cut.withColumns({k: v.cast("int") for k, v in size.items()})
+    mask = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.col("rows") * F.col("columns") - 1), bit), ""))
+    return tiles.boxes(cut.select("doc_id", "tile", "y", "x", "height", "width", "rows", "columns", mask.alias("mask")), outer=False)
+
+
 def channel_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.channel_median(_t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
 
@@ -294,7 +306,7 @@ def document_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     document_screen, size_guard, magic_sniff, token_scan, action_chain, border_shapes, pages_flagged, background_color, winding_number, raster_sides,
-    raster_bars, raster_merge, channel_median, area_gate, audit_vectors, flat_image, text_under_box, tolerance_dedupe, audit_findings,
+    raster_bars, raster_merge, tile_components, channel_median, area_gate, audit_vectors, flat_image, text_under_box, tolerance_dedupe, audit_findings,
     audit_report, revision_offsets, revision_report, prefix_slice, job_status, ttl_filter, one_time_read, job_lifecycle, payload_roundtrip)} | file_queries.QUERIES | history_queries.QUERIES
 
 # ---- SQL ------------------------------------------------------------------------------------------------------------------------
@@ -392,6 +404,12 @@ ORACLES = {
                CASE side WHEN 'left' THEN max(x + w) WHEN 'right' THEN 1000 - min(x) ELSE 1000 END::INT AS w,
                CASE side WHEN 'top' THEN max(y + h) WHEN 'bottom' THEN 800 - min(y) ELSE 800 END::INT AS h, side, avg(m) AS mean_intensity,
                list_position(['left', 'right', 'top', 'bottom'], side)::INT AS side_order FROM f GROUP BY doc_id, side""",
+    "tile_components": """
+        WITH RECURSIVE c AS (SELECT vec_id AS doc_id, i // 8 AS y, i % 8 AS x FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings) WHERE v > 0),
+        r(doc_id, y, x, v, u) AS (SELECT doc_id, y, x, y, x FROM c
+          UNION SELECT r.doc_id, r.y, r.x, c.y, c.x FROM r JOIN c ON c.doc_id = r.doc_id AND abs(c.y - r.v) <= 1 AND abs(c.x - r.u) <= 1),
+        f AS (SELECT doc_id, y, x, min(v * 8 + u) AS part FROM r GROUP BY ALL)
+        SELECT doc_id, min(x)::INT AS x, min(y)::INT AS y, (max(x) - min(x) + 1)::INT AS w, (max(y) - min(y) + 1)::INT AS h FROM f GROUP BY doc_id, part""",
     "channel_median": "SELECT l_returnflag, l_linestatus, floor(median(l_quantity))::BIGINT AS median FROM lineitem GROUP BY 1, 2",
     "area_gate": f"""WITH {_DRAWINGS} SELECT seq, 100 * (x1 - x0) * (y1 - y0) BETWEEN 5 * 612 * 792 AND 30 * 612 * 792 AS qualifies FROM d""",
     "audit_vectors": f"""WITH {_DRAWINGS} SELECT doc_id, page_number, seq, 'vector_fill' AS source FROM d
