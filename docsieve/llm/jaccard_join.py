@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, bitmap, components, gram_hashes, in_bitmap, integer_ids, materialize, mix64, table, word_hashes
+from ..storage import scratch
+from .common import LOWER, bitmap, components, gram_hashes, in_bitmap, integer_ids, materialize, mix64, shared_dir, table, word_hashes
 
 _TOP = np.uint64(1 << 63)
 
@@ -280,6 +281,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = materialize(classes.groupBy("low").agg(F.count("*").alias("size")).where("size > 1"))
     flocks = filter_of(size.select(F.col("low").alias("key")))
 
+    several_docs = filter_of(members.where("n > 0").groupBy(F.col("cls").alias("key")).agg(F.count("*").alias("docs")).where("docs > 1").select("key"))
+
     # 3. the sets of the classes that share prefix tokens; links inside blocks of groups
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches, k):
@@ -291,10 +294,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 low = np.array(list(map(min_hash, rows)), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[kept]), pa.array(low), pa.array(in_bitmap(flocks.value, low.view(np.uint64))),
-                     pa.array([x.tobytes() for x in rows], pa.binary())], ["cls", "low", "grouped", "tokens"])
-
-    # one row a class: every task and then every shuffle partition keeps one of its copies, so no group ever holds copies
-    sets = materialize(texts.mapInArrow(_lean(fetch), "cls long, low long, grouped boolean, tokens binary").dropDuplicates(["cls"]))
+                     pa.array([x.tobytes() for x in rows], pa.binary()), pa.array(in_bitmap(several_docs.value, keys[kept].view(np.uint64)))],
+                    ["cls", "low", "grouped", "tokens", "copied"])
+
+    # one row a class: of those with several documents every task and then every shuffle partition keeps one copy, so no group ever holds
+    # copies; the others aren't shuffled for it
+    fetched = materialize(texts.mapInArrow(_lean(fetch), "cls long, low long, grouped boolean, tokens binary, copied boolean"))
+    uncopied = materialize(fetched.where("copied").dropDuplicates(["cls"]))
+    sets = fetched.where("not copied").unionByName(uncopied).drop("copied")
     large = materialize(size.where(F.col("size") > block))  # a group in every `block` classes at most
 
     def blocks() -> Column:
@@ -413,9 +420,16 @@ def _ask(q: pd.DataFrame, g: pd.DataFrame, percent: int) -> tuple[list[int], lis
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents whose component has a smaller id; of rows with equal ids all stay or go."""
-    joined = jaccard_join(docs, id_col, text_col, **options)
-    gone = joined.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    """docs without the documents whose component has a smaller id; of rows with equal ids all stay or go.
+
+    The ids that go are written at once, and the join's intermediate tables are deleted before anything is made of docs.
+    """
+    spark = docs.sparkSession
+    path = shared_dir(spark)
+    with scratch(spark):
+        joined = jaccard_join(docs, id_col, text_col, **options)
+        joined.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct().write.parquet(path)
+    gone = spark.read.schema(docs.select(id_col).schema).parquet(path)
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
