@@ -4,13 +4,15 @@ A paragraph is what stands between blank lines. It is looked at line by line, si
 line is a notice, as a whole, since notices are often wrapped. What is looked at is described by its word n-grams up to three
 words. A multinomial logistic regression with a lasso penalty gives the probability of each licence family and of `unknown`. It is
 trained here on licence texts, on the usual sentences about the names and SPDX identifiers of licences, on the same sentences about
-licences that aren't listed (which are unknown), and on other paragraphs. Probabilities are calibrated by a temperature fitted on
-notices that weren't trained on. What the classifier predicts is confirmed by comparison with the templates of the family: the whole
-of one of its names must be there, or most word pairs of one of its texts.
+licences that aren't listed (which are unknown), on sentences that deny a licence (unknown too), and on other paragraphs. Probabilities
+are calibrated by a temperature, fitted where whole names, listed and unlisted, were left out of training with all their sentences. What
+the classifier predicts is confirmed by comparison with the templates of the family: the whole of one of its names must be there, or
+most word pairs of one of its texts, and no template of another family may be nearer. The names of a confirmed family are then replaced by a mark, and the rest is judged again, so that
+a line tells of all its licences, as `Apache-2.0 OR MIT` does.
 
 Defined results: null and empty texts have no paragraphs; lines and paragraphs without words don't count; texts of any length are
-scanned whole; each row is scanned by itself, null and repeated ids included; a family is reported once a paragraph; other columns
-are left out; an empty table gives an empty result, and the model is then trained on the built-in paragraphs alone.
+scanned whole; each row is scanned by itself, null and repeated ids included; a family is reported once a paragraph, and families of
+one line in the order in which they are judged, likelier first; other columns are left out; an empty table gives an empty result, and the model is then trained on the built-in paragraphs alone.
 """
 
 from __future__ import annotations
@@ -27,24 +29,33 @@ from pyspark.sql import functions as F
 from .common import ALNUM, table
 
 UNKNOWN = "unknown"
+#: Stands where a confirmed name stood; no word of a text has this character.
+MARK = "~"
+_MARK = MARK.encode()
 #: Names and SPDX identifiers by family. One of them, whole, confirms a prediction.
 NAMES = {
-    "MIT": ("MIT License", "MIT Licence", "MIT-licensed", "Expat License", "under MIT", "License: MIT", "SPDX-License-Identifier: MIT"),
-    "ISC": ("ISC License", "ISC Licence", "under ISC", "License: ISC", "SPDX-License-Identifier: ISC"),
-    "BSD": ("BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause", "New BSD License", "Simplified BSD License"),
+    "MIT": ("MIT License", "MIT Licence", "MIT-licensed", "Expat License", "under MIT", "License: MIT", "SPDX-License-Identifier: MIT",
+            "~ or MIT", "~ and MIT", "MIT or ~", "MIT and ~", "~/MIT", "MIT/~"),
+    "ISC": ("ISC License", "ISC Licence", "under ISC", "License: ISC", "SPDX-License-Identifier: ISC", "~ or ISC", "~ and ISC", "ISC or ~", "ISC and ~"),
+    "BSD": ("BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause", "New BSD License", "Simplified BSD License", "BSD Licence",
+            "BSD 3-Clause", "BSD 2-Clause", "0BSD", "License: BSD"),
     "Apache": ("Apache License, Version 2.0", "Apache License", "Apache Licence 2.0", "Apache-2.0", "Apache 2.0"),
     "GPL": ("GNU General Public License, version 3", "GNU General Public License, version 2", "GNU General Public License", "GNU GPL", "GPL", "GPLv2", "GPLv3",
             "GPL-2.0-only", "GPL-3.0-or-later", "GPL, version 2 or later"),
     "LGPL": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL", "LGPLv2", "LGPLv3",
              "LGPL-2.1-only", "LGPL-3.0-or-later"),
     "AGPL": ("GNU Affero General Public License, version 3", "GNU Affero General Public License", "GNU AGPL", "AGPL", "AGPLv3", "AGPL-3.0-only"),
-    "MPL": ("Mozilla Public License, version 2.0", "Mozilla Public License", "MPL 2.0", "MPL-2.0"),
-    "CC-BY": ("CC BY 4.0", "CC BY 3.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License"),
-    "CC-BY-SA": ("CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 3.0"),
+    "MPL": ("Mozilla Public License, version 2.0", "Mozilla Public License", "MPL 2.0", "MPL-2.0", "MPL 1.1", "MPL-1.1"),
+    "CC-BY": ("CC BY 4.0", "CC BY 3.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "Creative Commons Attribution 4.0", "Creative Commons Attribution 4.0 International",
+              "Creative Commons Attribution 3.0"),
+    "CC-BY-SA": ("CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 3.0", "CC BY-SA",
+                 "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution-ShareAlike 4.0 International"),
     "CC-BY-NC": ("CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License",
-                 "Creative Commons Attribution-NonCommercial-ShareAlike 4.0"),
-    "CC-BY-ND": ("CC BY-ND 4.0", "CC BY-ND 3.0", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
-    "public-domain": ("CC0", "CC0 1.0 Universal", "CC0-1.0", "The Unlicense", "dedicated to the public domain", "released into the public domain"),
+                 "Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "CC BY-NC", "CC BY-NC-SA", "CC BY-NC-ND", "Creative Commons Attribution-NonCommercial",
+                 "Creative Commons Attribution-NonCommercial 4.0 International"),
+    "CC-BY-ND": ("CC BY-ND 4.0", "CC BY-ND 3.0", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND",
+                 "Creative Commons Attribution-NoDerivatives", "Creative Commons Attribution-NoDerivatives 4.0 International"),
+    "public-domain": ("CC0", "CC0 1.0 Universal", "CC0-1.0", "The Unlicense", "Unlicense", "Creative Commons Zero", "Creative Commons Zero v1.0 Universal", "dedicated to the public domain", "released into the public domain"),
     "all-rights-reserved": ("All rights reserved",),
 }
 #: Texts by family, as they are commonly written. Most word pairs of one of them confirm a prediction.
@@ -125,6 +136,12 @@ SENTENCES = (
     "{}", "Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "Distributed under the terms of the {}.", "This project is licensed under the {}. See the LICENSE file for details.",
     "This work is licensed under a {}.", "This software is available under the {}.", "Code in this repository is covered by the {}", "License: {}", "{}, see COPYING",
     "This file may be used under the terms of {}.", "Published under {} by its authors.", "SPDX-License-Identifier: {}",
+    "license = {}", "{} OR ~", "~ OR {}", "~ and the {}", "the ~ or the {}, at your option", "Licensed under the ~ and {}.", "Dual-licensed under ~ and {}",
+)
+#: Sentences that deny it; whatever the licence, they are unknown.
+DENIALS = (
+    "This is not released under the {}.", "It is not licensed under the {}.", "not {}", "This software is not available under {}.", "no longer under the {}",
+    "It is no longer licensed under the {}.", "This project is not covered by the {}", "never released under {}", "This isn't distributed under the {}.", "It isn't licensed under the {}.", "They aren't released under {}.", "~, not {}",
 )
 #: Licences that no family stands for; what is said about them is unknown.
 UNLISTED = (
@@ -165,6 +182,11 @@ def words_of(paragraph: str) -> list[bytes]:
     return paragraph.encode().translate(ALNUM).split()
 
 
+def _template(text: str) -> list[bytes]:
+    """Words of a sentence that may have marks."""
+    return [w for i, part in enumerate(text.split(MARK)) for w in ([_MARK] if i else []) + words_of(part)]
+
+
 def grams_of(w: list[bytes]) -> set[bytes]:
     out = set(w)
     out.update(a + b" " + b for a, b in zip(w, w[1:]))
@@ -188,6 +210,16 @@ class LicenseModel:
         p = np.exp(z - z.max())
         return p / p.sum()
 
+    def named(self, family: str, w: list[bytes]) -> list[bytes]:
+        """The words with each name of the family, longest first, replaced by a mark."""
+        line = b" " + b" ".join(w) + b" "
+        for n in sorted(self.names[family], key=lambda n: (-len(n), n)):
+            while n in line:
+                line = line.replace(n, b" " + _MARK + b" ")
+                if _MARK in n:  # such a name holds the mark that it becomes
+                    break
+        return line.split()
+
     def match(self, family: str, w: list[bytes]) -> float:
         """1 where a whole name of the family is there; else the largest share of a text's word pairs that the paragraph has."""
         line = b" " + b" ".join(w) + b" "
@@ -196,15 +228,29 @@ class LicenseModel:
         pairs = set(zip(w, w[1:]))
         return max((len(pairs & t) / len(t) for t in self.texts[family]), default=0.0)
 
-    def judge(self, w: list[bytes], least: float, least_match: float) -> tuple[str, float, float] | None:
-        """(family, probability, match) of a notice."""
-        if self.telling.isdisjoint(w):
-            return None
-        p = self.probabilities(w)
-        k = int(p.argmax())
-        if k == len(p) - 1 or p[k] < least or (m := self.match(self.families[k], w)) < least_match:
-            return None
-        return self.families[k], float(p[k]), m
+    def judge(self, w: list[bytes], least: float, least_match: float) -> list[tuple[str, float, float]]:
+        """(family, probability, match) of the notices: each round confirms one and marks its names, until nothing new is confirmed.
+        Texts of families are much alike, so that after the first only whole names confirm."""
+        out: list[tuple[str, float, float]] = []
+        while not self.telling.isdisjoint(w):
+            p = self.probabilities(w)
+            k, second = np.argsort(-p, kind="stable")[:2]
+            unknown = len(p) - 1
+            if p[k] < least and unknown not in (k, second):
+                # two families share what is said; one is judged with the other marked
+                p = self.probabilities(self.named(self.families[second], w))
+                k = p.argmax()
+            family = self.families[k]
+            if k == unknown or p[k] < least or family in (f for f, *_ in out) or (m := self.match(family, w)) < (1 if out else least_match):
+                break
+            if m < 1 and any(self.match(f, w) > m for f in self.families[:unknown] if f != family):
+                break  # another family's templates are nearer
+            out.append((family, float(p[k]), m))
+            rest = self.named(family, w)
+            if rest == w:
+                break
+            w = rest
+        return out
 
     def scan(self, text: str | None, least: float = 0.5, least_match: float = 0.6) -> tuple[int, list[tuple[int, str, float, float]]]:
         """Number of paragraphs, and (paragraph, family, probability, match) of the notices in them."""
@@ -216,10 +262,10 @@ class LicenseModel:
             n += 1
             found: dict[str, tuple] = {}
             for w in lines:
-                if hit := self.judge(w, least, least_match):
+                for hit in self.judge(w, least, least_match):
                     found.setdefault(hit[0], hit)
-            if not found and len(lines) > 1 and (hit := self.judge([x for w in lines for x in w], least, least_match)):
-                found[hit[0]] = hit
+            if not found and len(lines) > 1:
+                found = {hit[0]: hit for hit in self.judge([x for w in lines for x in w], least, least_match)}
             out += [(n, *hit) for hit in found.values()]
         return n + 1, out
 
@@ -235,80 +281,114 @@ def _excerpts(rng: np.random.Generator, w: list[bytes], n: int) -> list[list[byt
 
 
 def _examples(rng: np.random.Generator, negatives: list[str]) -> list[tuple[set[bytes], int, bool]]:
-    """(grams, family, held out): a quarter of the sentences and of what isn't a notice is held out, whole and never trained on."""
+    """(grams, family, left out of the fit that calibrates): a quarter of the names, with all that is said about them, and of other lines."""
     unknown = len(NAMES)
     held = lambda: bool(rng.random() < 0.25)
     out = []
+
+    def say(name: str, k: int, sentences: tuple, left_out: bool) -> None:
+        out.extend((grams_of(_template(s.format(name))), k, left_out) for s in sentences)
+
     for k, family in enumerate(NAMES):
         for i, name in enumerate(NAMES[family]):
-            for j, sentence in enumerate(SENTENCES):
-                if name.startswith(("under ", "License:", "SPDX")) and j:
-                    continue
-                out.append((grams_of(words_of(sentence.format(name))), k, j > 0 and held()))
+            left_out = i > 0 and held()
+            if name.startswith(("under ", "License:", "SPDX")) or MARK in name:
+                say(name, k, ("{}",) * 4 + ("Released {}.", "This is {}"), left_out)
+            else:
+                say(name, k, SENTENCES, left_out)
+            say(name, unknown, DENIALS, left_out)
         for text in TEXTS[family]:
-            w = words_of(text)
-            out += [(grams_of(e), k, False) for e in _excerpts(rng, w, 12)]
+            out += [(grams_of(e), k, False) for e in _excerpts(rng, words_of(text), 12)]
     for name in UNLISTED:
-        for sentence in SENTENCES:
-            out.append((grams_of(words_of(sentence.format(name))), unknown, held()))
+        say(name, unknown, SENTENCES, held())
+    say(MARK, unknown, SENTENCES, False)
     for text in OTHERS:
         out += [(grams_of(e), unknown, False) for e in _excerpts(rng, words_of(text), 8)]
     return out + [(grams_of(w), unknown, held()) for w in map(words_of, negatives) if w]
 
 
-def fit(negatives: list[str], seed: int = 3, rounds: int = 1500, penalty: float = 2e-5) -> LicenseModel:
+def _regression(grams: list[tuple], y: np.ndarray, n: np.ndarray, names: int, classes: int, rounds: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a multinomial regression with a lasso penalty, by accelerated proximal steps over sparse rows; row i counts
+    n[i] times. The bias is the weight of a gram that all rows have, free of the penalty."""
+    size = np.array([len(g) + 1 for g in grams])
+    column = np.array([c for g in grams for c in (*g, names)])
+    row = np.repeat(np.arange(len(grams)), size)
+    starts = np.cumsum(size) - size
+    order = np.argsort(column, kind="stable")
+    by_column, (used, firsts) = row[order], np.unique(column[order], return_index=True)
+    target = np.eye(classes, dtype=np.float32)[y]
+    # families have unlike numbers of examples; each counts as much as its square root
+    share = (n / np.sqrt(np.maximum(1, np.bincount(y, n, classes)))[y]).astype(np.float32)[:, None]
+    share /= share.sum()
+    w = np.zeros((names + 1, classes), np.float32)
+    w[-1, -1] = 1.0
+    rate = 2.0 / max(1.0, float(size.mean() - 1) / 2)
+    least = np.full((names + 1, 1), rate * penalty, np.float32)
+    least[-1] = 0
+    ahead, t = w, 1.0
+    for _ in range(rounds):
+        z = np.add.reduceat(ahead[column], starts, axis=0)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        e = (p - target) * share
+        new = ahead.copy()
+        new[used] -= rate * np.add.reduceat(e[by_column], firsts, axis=0)
+        new = np.sign(new) * np.maximum(np.abs(new) - least, 0)
+        if float(((ahead - new) * (new - w)).sum()) > 0:
+            t = 1.0  # the step went too far: speed is given up
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead = new + np.float32((t - 1) / later) * (new - w)
+        w, t = new, later
+    return w[:-1], w[-1]
+
+
+def fit(negatives: list[str], seed: int = 3, rounds: int = 400, penalty: float = 2e-5) -> LicenseModel:
+    """The model: fitted once without the names that are left out, for the temperature, and once with all."""
     families = (*NAMES, UNKNOWN)
+    joined = {f: tuple(b" " + b" ".join(_template(n)) + b" " for n in ns) for f, ns in NAMES.items()}
+    pairs = {f: tuple(frozenset(zip(v, v[1:])) for v in map(words_of, ts)) for f, ts in TEXTS.items()}
+    telling = frozenset(v for ts in (*NAMES.values(), *TEXTS.values()) for t in ts for v in words_of(t)) - _PLAIN
+    plain = LicenseModel(families, {}, np.zeros((0, len(families)), np.float32), np.zeros(len(families), np.float32), joined, pairs, telling)
+    # a line that a template confirms may be a notice, so it is no example of what isn't
+    negatives = [t for t in negatives if all(plain.match(f, words_of(t)) < 0.6 for f in NAMES)]
     data = _examples(np.random.default_rng(seed), negatives)
     # grams of notices only; what else a paragraph holds says nothing
     count: dict[bytes, int] = {}
-    for g, k, held in data:
-        if k < len(families) - 1 and not held:
+    for g, k, _ in data:
+        if k < len(families) - 1:
             for x in g:
                 count[x] = count.get(x, 0) + 1
+    for s in DENIALS:
+        for g in grams_of(_template(s.format(""))):
+            count[g] = count.get(g, 0) + 3
     names = sorted(x for x, n in count.items() if n >= 3)
     number = {x: i for i, x in enumerate(names)}
-    m = np.zeros((len(data), len(names)), np.float32)
-    for i, (g, *_) in enumerate(data):
-        m[i, [number[x] for x in g if x in number]] = 1
-    y, test = np.array([k for _, k, _ in data]), np.array([held for *_, held in data])
-    onehot = np.eye(len(families), dtype=np.float32)[y]
-    w, b = np.zeros((len(names), len(families)), np.float32), np.zeros(len(families), np.float32)
-    b[-1] = 1.0
-    x, target = m[~test], onehot[~test]
-    # families have unlike numbers of examples; each counts as much as its square root
-    size = np.bincount(y[~test], minlength=len(families))[y[~test]]
-    share = (1 / np.sqrt(size)).astype(np.float32)[:, None]
-    share /= share.sum()
-    rate = 2.0 / max(1.0, float((x.sum(axis=1)).mean()) / 2)
-    for _ in range(rounds):
-        z = x @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        e = (p - target) * share
-        w -= rate * (x.T @ e)
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
-        b -= rate * e.sum(axis=0)
-    z = m[test] @ w + b
+    rows: dict[tuple, int] = {}
+    for g, k, left_out in data:
+        key = (tuple(sorted(number[x] for x in g if x in number)), k, left_out)
+        rows[key] = rows.get(key, 0) + 1
+    grams, n = [g for g, *_ in rows], np.array(list(rows.values()), float)
+    y, test = np.array([k for _, k, _ in rows]), np.array([o for *_, o in rows])
+    w, b = _regression([g for g, o in zip(grams, test) if not o], y[~test], n[~test], len(names), len(families), rounds, penalty)
+    z = np.array([w[list(g)].sum(axis=0) + b for g, o in zip(grams, test) if o])
 
     def loss(t: float) -> float:
         s = z * t
         s = s - s.max(axis=1, keepdims=True)
-        return float(-(s[np.arange(len(s)), y[test]] - np.log(np.exp(s).sum(axis=1))).mean())
+        return float(-((s[np.arange(len(s)), y[test]] - np.log(np.exp(s).sum(axis=1))) * n[test]).sum())
 
     scale = min(np.linspace(0.5, 6, 56), key=loss)
+    w, b = _regression(grams, y, n, len(names), len(families), rounds, penalty)
     keep = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
-    joined = {f: tuple(b" " + b" ".join(words_of(n)) + b" " for n in ns) for f, ns in NAMES.items()}
-    pairs = {f: tuple(frozenset(zip(v, v[1:])) for v in map(words_of, ts)) for f, ts in TEXTS.items()}
-    telling = frozenset(v for ts in (*NAMES.values(), *TEXTS.values()) for t in ts for v in words_of(t)) - _PLAIN
     return LicenseModel(families, {names[i]: k for k, i in enumerate(keep)}, w[keep] * scale, b * scale, joined, pairs, telling)
 
 
-def negatives(docs: DataFrame, id_col: str, text_col: str, documents: int = 200, paragraphs: int = 2000) -> list[str]:
-    """Lines of a bounded sample of documents, without those that have a word of notices: nobody has labelled those."""
+def negatives(docs: DataFrame, id_col: str, text_col: str, documents: int = 200, paragraphs: int = 2000, longest: int = 2000) -> list[str]:
+    """Lines, of `longest` characters at most, of a bounded sample of documents. `fit` leaves out those that a template confirms; nobody
+    has labelled them."""
     ids = docs.select(id_col).distinct().orderBy(F.xxhash64(id_col)).limit(documents)
     lines = (docs.join(F.broadcast(ids), id_col, "left_semi").select(F.explode(F.split(text_col, "\n")).alias("line"))
-             .where("length(line) between 20 and 2000").where(~F.lower("line").rlike("licen|copyright|reserved|commons|gnu|public domain"))
-             .orderBy(F.xxhash64("line")).limit(paragraphs))
+             .where(F.length("line").between(1, longest)).orderBy(F.xxhash64("line")).limit(paragraphs))
     return [r["line"] for r in lines.collect()]
 
 

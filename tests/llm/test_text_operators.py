@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from docsieve.llm import chat_format as chat
 from docsieve.llm import license_scan as lic
 from docsieve.llm import packing, quality_classifier, quality_rules, secret_scans, token_counts
+from docsieve.llm.common import table
 from docsieve.storage import materialize
 
 DOCS = "doc_id long, text string, source string, n_words string, blob int"
@@ -231,6 +232,19 @@ NO_NOTICES = ("This project is licensed under the Foo License. See the LICENSE f
               "You may copy and modify the plan of the house.", "permission is granted to visit the archive")
 
 
+#: Several licences in a line, expressions, denials, names in other forms.
+LINES = {
+    "MIT License and the GNU General Public License": {"MIT", "GPL"}, "Apache-2.0 OR MIT": {"Apache", "MIT"}, "MIT OR Apache-2.0": {"Apache", "MIT"},
+    "MIT/Apache-2.0": {"MIT", "Apache"}, "SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)": {"GPL", "BSD"}, "Apache-2.0 OR EPL-2.0": {"Apache"},
+    "Licensed under MPL 2.0, GPL 2.0 or LGPL 2.1": {"MPL", "GPL", "LGPL"}, "GPLv3 and CC BY-SA 4.0": {"GPL", "CC-BY-SA"},
+    "Dual licensed under the MIT License or the Apache License 2.0, at your choice.": {"MIT", "Apache"},
+    "SPDX-License-Identifier: MPL-1.1": {"MPL"}, "Unlicense": {"public-domain"}, "released under the terms of the BSD licence (3-clause)": {"BSD"},
+    "Creative Commons Attribution 4.0": {"CC-BY"}, "CC BY-NC-ND": {"CC-BY-NC"}, "Creative Commons Zero v1.0 Universal": {"public-domain"}, 'license = "MIT"': {"MIT"},
+    "This is not released under the MIT License.": set(), "This file isn't licensed under the GPL.": set(), "It is not covered by the Apache License": set(),
+    "She studied at Stanford or MIT": set(), "~ or ~": set(), "~": set(),
+}
+
+
 def wrapped(text, width=78):
     import textwrap
 
@@ -238,12 +252,15 @@ def wrapped(text, width=78):
 
 
 def test_licences_are_found_and_others_not(spark):
-    model = lic.fit(["Plain words about nothing at all.", "The harbour was full of ships that day."])
+    # the model that the query fits
+    model = lic.fit(lic.negatives(table(spark, "/root/testdata/sf0.01", "documents"), "doc_id", "text"))
     found = lambda t: [f for _, f, *_ in model.scan(t)[1]]
     missed = [(f, t, found(t)) for f, notices in WILD.items() for t in notices if found(t) != [f]]
     assert not missed
     wrong = [(t, found(t)) for t in (*lic.OTHERS, *NO_NOTICES) if found(t)]
     assert not wrong
+    unlike = [(t, found(t)) for t, families in LINES.items() if len(found(t)) != len(families) or set(found(t)) != families]
+    assert not unlike
     # whole texts, in one line and wrapped as they are shipped
     texts = [(f, t) for f, ts in lic.TEXTS.items() for t in ts]
     missed = [(f, t[:40], found(t), found(wrapped(t))) for f, t in texts if found(t) != [f] or found(wrapped(t)) != [f]]
@@ -258,6 +275,17 @@ def test_licences_are_found_and_others_not(spark):
     by = {r["doc_id"]: r for r in got}
     assert [by[k]["n_paragraphs"] for k in range(3)] == [0, 0, 0] and all(not r["notices"] for r in got if r["doc_id"] not in (None, 4))
     assert lic.license_scan(empty(spark)).count() == 0
+    rng = random.Random(5)
+    pool = [w.decode() for f in lic.NAMES for t in (*lic.NAMES[f], *lic.TEXTS[f][:1]) for w in lic.words_of(t)]
+    lines = [*WILD["GPL"], *LINES, *(lic.TEXTS["MIT"]), *(" ".join(rng.choices(pool, k=rng.randint(1, 30))) for _ in range(300))]
+    for line in lines:
+        w = lic.words_of(line)
+        for family in lic.NAMES:
+            names = [lic.words_of(n) for n in lic.NAMES[family] if lic.MARK not in n]
+            whole = any(w[i:i + len(n)] == n for n in names for i in range(len(w)))
+            pairs = {(a, b) for a, b in zip(w, w[1:])}
+            shares = [sum(p in pairs for p in t) / len(t) for t in ({(a, b) for a, b in zip(v, v[1:])} for v in map(lic.words_of, lic.TEXTS[family]))]
+            assert model.match(family, w) == (1.0 if whole else max(shares)), (line, family)
 
 
 # ---- chats ----------------------------------------------------------------------------------------------------------------------
