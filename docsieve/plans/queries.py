@@ -48,11 +48,15 @@ def _orders_as_components(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((k * 7) % 100).cast("double").alias("mean_intensity"))
 
 
-def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n")
+def _document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page_number"), "text")
+
+
+def _words_of(pages: DataFrame) -> DataFrame:
+    """The words of pages' texts, ten a line."""
+    n = F.col("word_seq")
     x0, y0 = (n % 10) * 60, F.floor(n / 10) * 12
-    return (_t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("n", "word"))
-            .select("doc_id", F.lit(0).alias("page_number"), n.alias("word_seq"), g.rect(x0, y0, x0 + 55, y0 + 10).alias("rect"), "word"))
+    return pages.select("*", F.posexplode(F.split("text", " ")).alias("word_seq", "word")).drop("text").withColumn("rect", g.rect(x0, y0, x0 + 55, y0 + 10))
 
 
 def _document_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +201,7 @@ def flat_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_under_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _document_boxes(spark, sf_dir).where(F.col("source") == audit.VECTOR)
-    return audit.text_under(boxes, _document_words(spark, sf_dir)).select("doc_id", "word_count", "char_count")
+    return audit.text_under(boxes, _document_pages(spark, sf_dir), _words_of).select("doc_id", "word_count", "char_count")
 
 
 _DEDUPE = (60.0, 60.0, 300.0, 300.0)
@@ -210,7 +214,7 @@ def tolerance_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.findings(_document_boxes(spark, sf_dir), _document_words(spark, sf_dir))
+    return audit.findings(_document_boxes(spark, sf_dir), _document_pages(spark, sf_dir), spread=_words_of)
 
 
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

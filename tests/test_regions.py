@@ -1,6 +1,8 @@
 """Joins of rectangles by cells, first-wins dedupe, medians by histograms."""
 
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -94,3 +96,34 @@ def test_medians_by_histograms_equal_percentiles(spark):
     df = spark.createDataFrame(rows, "k string, c int, v int")
     want = df.groupBy("k", "c").agg(F.floor(F.percentile("v", F.lit(0.5))).cast("long").alias("median"))
     assert sorted(map(str, raster.channel_median(df, ["k", "c"], "v").collect())) == sorted(map(str, want.collect()))
+
+
+def test_crowded_pages_beside_others_have_the_text_of_all_their_boxes(spark):
+    rng = random.Random(12)
+    left = {"a": rects(rng, audit.FEW + 9, [0, 16, 200, 900], 500), "b": rects(rng, audit.FEW, [16, 200], 500), "c": rects(rng, 2, [900], 500)}
+    right = {d: rects(rng, 120, [1, 8, 60], 500) for d in "abd"}
+    boxes = spark.createDataFrame([(d, 0, k, r, "s") for d, rs in left.items() for k, r in enumerate(rs)], BOX)
+    words = spark.createDataFrame([(d, 0, k, r, f"w{k}") for d, rs in right.items() for k, r in enumerate(rs)], WORD)
+    got = {(r["doc_id"], r["seq"]): (r["word_count"], r["char_count"], r["text"]) for r in audit.text_under(boxes, words).collect()}
+    want = {(d, k): [f"w{j}" for j, w in enumerate(right.get(d, [])) if meets(r, w)] for d, rs in left.items() for k, r in enumerate(rs)}
+    assert got == {k: (len(v), len(" ".join(v)), " ".join(v) or None) for k, v in want.items()} and max(map(len, want.values())) > 5
+
+
+def _shuffled(spark) -> int:
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+@pytest.mark.parametrize("name", ["text_under_box", "audit_report"])
+def test_less_is_shuffled_than_the_texts_hold(spark, name):
+    from docsieve.plans.queries import QUERIES
+
+    docs, before = "/root/testdata/sf0.01", _shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES[name](spark, docs).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    time.sleep(1)
+    text = spark.read.parquet(f"{docs}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert _shuffled(spark) - before < 2 * text
