@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, revisions
 from ..sources import files as fs
 from ..sources import images as im
+from ..storage import materialize
 from . import api
 
 
@@ -81,7 +82,7 @@ def pdf_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with a border bar at even ids, with text beneath; what is left is read back."""
     content = lambda i: b"BT /F 12 Tf 5 400 Td (edge) Tj ET\n" + _TEXT + (b"0 g 0 0 40 792 re f\n" if i % 2 == 0 else b"")
-    out = api.process(_files(spark, sf_dir, lambda i: sample_pdf(content(i))), vector_mode="redact")
+    out = materialize(api.process(_files(spark, sf_dir, lambda i: sample_pdf(content(i))), vector_mode="redact"))  # read twice below
     words = fs.parse_pdfs(out.select("doc_id", F.col("output").alias("content"))).select("doc_id", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("words"))
     return out.select("doc_id", "kind", "pages_flagged", "error").join(words, "doc_id")
 
@@ -96,7 +97,7 @@ def image_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
             a[:8, 8:72] = 5
         return im.encode(a, "PNG" if i % 2 else "TIFF")
 
-    out = api.process(_files(spark, sf_dir, make), raster_mode="crop")
+    out = materialize(api.process(_files(spark, sf_dir, make), raster_mode="crop"))  # read twice below
     size = api.decode_images(out.select("doc_id", F.col("output").alias("content"))).select("doc_id", "height", "width")
     return out.select("doc_id", "kind", "pages_flagged", "output_format", "error").join(size, "doc_id")
 

@@ -1,11 +1,13 @@
 """Formats of scanners, against writers of this module's own and Java's."""
 
+import os
 import struct
 import zlib
 
 import numpy as np
 import pytest
 
+from docsieve.functions import pixels
 from docsieve.plans import api
 from docsieve.sources import codecs
 from docsieve.sources import images as im
@@ -217,3 +219,22 @@ def test_row_filters_against_one_byte_at_a_time():
             a = rng.integers(0, 256, (rows, row + 1), dtype=np.uint8)
             a[:, 0] = rng.choice(kinds, rows)
             assert unfilter(a.tobytes(), row, pixel, rows, int(rng.integers(1, 20))).tolist() == plain(a, row, pixel)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name, most", [("image_clean", 2), ("pdf_clean", 1)])
+def test_cleaned_files_are_made_once_for_all_that_reads_them(spark, name, most):
+    from docsieve.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= most  # what reads the output back; the work itself is written
+
+
+def test_edges_and_holes_are_looked_for_only_where_they_matter(monkeypatch):
+    bar = np.full((40, 50, 3), 240, np.uint8)
+    bar[:, :6] = 5
+    want = pixels.dark_components(bar)
+    monkeypatch.setattr(pixels, "_flood", None)
+    assert pixels.dark_components(bar) == want and len(want) == 1  # it reaches the border, so it lies in no hole
+    monkeypatch.setattr(pixels, "canny", None)
+    assert pixels.dark_components(np.full((40, 50, 3), 240, np.uint8)) == []
