@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,29 @@ def test_irregular_saves_are_told(spark):
     raw = pdfs.pdf([b""])
     with pytest.raises(pdf_saves.Irregular):
         pdf_saves.read_saves(raw, [20])
+
+
+def test_many_graphs_are_walked_together_across_batches(spark):
+    rng = random.Random(13)
+    graphs_of = {(d, e): [(rng.randrange(12) * 10**15, rng.randrange(12) * 10**15) for _ in range(rng.randrange(1, 40))] for d in ("a", "b", None) for e in range(20)}
+    rows = [(d, e, a, b) for (d, e), links in graphs_of.items() for a, b in links] + [(d, e, None, links[0][0]) for (d, e), links in graphs_of.items() if e % 4]
+    rng.shuffle(rows)
+    batch = pa.RecordBatch.from_pylist([{"k": k} for k in [1, 1, 2, 3, 3, 3, 3, None, None, 5]])
+    groups = list(graphs.whole_groups((batch.slice(k, 2) for k in range(0, 10, 2)), ["k"]))
+    assert [(t.column("k").to_pylist(), g.tolist()) for t, g in groups] == [([1, 1, 2], [0, 0, 1]), ([3] * 4, [0] * 4), ([None] * 2, [0] * 2), ([5], [0])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {}
+        for r in graphs.reach(spark.createDataFrame(rows, "d string, e int, source long, target long"), ["d", "e"]).collect():
+            got.setdefault((r["d"], r["e"]), {})[r["node"]] = r["depth"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for key, links in graphs_of.items():
+        front, seen, depth = ({links[0][0]} if key[1] % 4 else set()), {}, 0
+        while front:
+            seen |= dict.fromkeys(front, depth)
+            front, depth = {b for a, b in links if a in front} - set(seen), depth + 1
+        if seen:
+            want[key] = seen
+    assert got == want
