@@ -86,3 +86,13 @@ def test_parsing_has_the_limit_of_the_settings(spark, monkeypatch):
     df = spark.createDataFrame([("slow", raw), ("fine", pdfs.pdf())], "doc_id string, content binary")
     got = {r["doc_id"]: r["error"] for r in fs.parse_pdfs(df, Settings(processing_timeout_seconds=0.2)).select("doc_id", "error").collect()}
     assert got == {"slow": fs.ERROR_LIMIT, "fine": None}
+
+
+def test_plain_objects_are_read_by_one_pattern(monkeypatch):
+    from docsieve.sources import pdf as p
+
+    data = b" % note 1 0 R\n/A#42c 12 0 R\r3.5 -7 +.5/ 1 0 RG"
+    assert [p.Lexer(b"true null", k).value() for k in (0, 4)] == [True, None] and isinstance(p.Lexer(b"1e").value(), p.Op)
+    monkeypatch.setattr(p, "_TOKEN", None)  # for other words alone
+    lex = p.Lexer(data)
+    assert [lex.value() for _ in range(8)] == [p.Name("ABc"), p.Ref(12, 0), 3.5, -7, 0.5, p.Name(""), 1, 0]
