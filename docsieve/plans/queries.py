@@ -274,10 +274,9 @@ def ttl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_time_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of users who read none on the last day."""
+    """Results of users who read none."""
     ev = _t(spark, sf_dir, "events")
-    reads = ev.where("event_type = 'purchase'").crossJoin(F.broadcast(_now(ev))).where("ts > now - interval 1 day")
-    return jobs.unread(ev.select("event_id", "user_id"), reads, "user_id")
+    return jobs.unread(ev.select("event_id", "user_id"), ev.where("event_type = 'purchase'"), "user_id")
 
 
 _LIMITS = Settings(processing_timeout_seconds=150_000, processing_grace_seconds=60_000, job_ttl_seconds=400_000)
@@ -458,8 +457,7 @@ ORACLES = {
                WHEN 2 THEN CASE WHEN user_id % 4 = 0 THEN 'failed' ELSE 'complete' END WHEN 5 THEN CASE WHEN user_id % 4 = 0 THEN 'failed' ELSE 'complete' END
                ELSE 'queued' END AS status FROM events GROUP BY user_id""",
     "ttl_filter": "SELECT event_id, user_id FROM events WHERE ts + INTERVAL 86400 SECOND > (SELECT max(ts) FROM events)",
-    "one_time_read": """SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL
-        AND ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY)""",
+    "one_time_read": "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL)",
     "job_lifecycle": f"""
         WITH e AS (SELECT user_id || '-' || (epoch_us(ts) // 604800000000) || '-' || event_id % 4 AS job_id, epoch_us(ts) AS t,
                           (['submit', 'start', 'fail', 'finish', 'read'])[event_id // 4 % 5 + 1] AS kind, event_type AS error FROM events),

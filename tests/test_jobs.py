@@ -165,3 +165,18 @@ def test_envelopes_nest_findings_and_revisions_in_order(spark):
 @pytest.mark.parametrize("state, want", [("stopping", "processing"), ("read", "queued"), ("expired", "queued"), ("failed", "failed"), (None, "queued")])
 def test_reported_states(spark, state, want):
     assert spark.createDataFrame([(state,)], "s string").select(jobs.reported(F.col("s")).alias("x")).first()["x"] == want
+
+
+def test_a_result_that_was_read_long_ago_is_not_given_again(spark, tmp_path):
+    import duckdb
+
+    from docsieve.plans.queries import ORACLES, QUERIES
+
+    rows = [(1, "2024-01-01", 1, "purchase"), (2, "2024-01-20", 1, "view"), (3, "2024-01-02", 2, "view"), (4, "2024-01-30", 3, "purchase"), (5, "2024-01-30", 2, "click")]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").selectExpr(
+        "event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = sorted(map(tuple, QUERIES["one_time_read"](spark, str(tmp_path)).select("event_id", "user_id").collect()))
+    assert got == [(3, 2), (5, 2)]
+    assert sorted(con.sql(ORACLES["one_time_read"]).fetchall()) == [(3, 2), (5, 2)]
