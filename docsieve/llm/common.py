@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import clean_up, exists, materialize, shared_dir  # noqa: F401
+from ..storage import clean_up, exists, materialize, shared_dir, tidy  # noqa: F401
 
 #: ASCII white space; the words of a text are the runs of other characters.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -13,7 +13,8 @@ Documents with equal sets of shingles are one class; a class stands for all its
 4. Queries. Tokens whose classes have one label are settled. Of the others, each class first asks one block, which holds the
    largest family that its tokens point to; that settles most. For what is left, the matrix gives the blocks that a class must be
    held against: those with a token of its prefix and with another label. The block's token union bounds the overlap; only
-   blocks whose bound is high enough are opened and compared. A pair of classes with equal labels is never compared again.
+   blocks whose bound is high enough are opened and compared. A pair of classes with equal labels is never compared again. Sets go
+   to the blocks in up to `rounds` rounds, so that disk holds the shuffled sets of one round only.
 
 So no pair of documents is left out, no pairs within a family are listed, and what one task holds is bounded by blocks of classes.
 
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import scratch
-from .common import LOWER, bitmap, components, gram_hashes, in_bitmap, integer_ids, materialize, mix64, shared_dir, table, word_hashes
+from .common import LOWER, bitmap, components, gram_hashes, in_bitmap, integer_ids, materialize, mix64, shared_dir, table, tidy, word_hashes
 
 _TOP = np.uint64(1 << 63)
 
@@ -77,6 +78,16 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return g[np.r_[True, g[1:] != g[:-1]]]
 
 
+def frequent(sets: list[np.ndarray], least: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that are in `least` of the sets or more, and in how many; sorted in place, with few arrays beside the tokens."""
+    t = np.concatenate([*sets, np.empty(0, np.uint64)])
+    t.sort()
+    at = np.flatnonzero(t[least - 1:] == t[:len(t) - least + 1]) if len(t) >= least else np.empty(0, np.int64)
+    at = at[(at == 0) | (t[at - 1] != t[at])]
+    tokens = t[at]
+    return tokens, np.searchsorted(t, tokens, "right") - at
+
+
 def spare(n, percent: int):
     """Tokens of a set of size n that a partner may lack."""
     return n - -(-percent * n // 100)
@@ -183,10 +194,11 @@ def _member(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90,
-                 block: int = 256, hot: int = 131_072, filter_bits: int = 27) -> DataFrame:
+                 block: int = 256, hot: int = 131_072, filter_bits: int = 27, rounds: int = 6, round_rows: int = 4096) -> DataFrame:
     """One row a document: id, n_shingles, class_id (equal sets), component_id (smallest id reachable by links).
 
-    percent: two sets link where 100 * intersection >= percent * union. hot: most tokens that are ordered by frequency.
+    percent: two sets link where 100 * intersection >= percent * union. hot: most tokens that are ordered by frequency. rounds: most
+    rounds in which sets go to blocks, one for each `round_rows` sets.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -197,13 +209,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         held: dict[tuple[int, int], np.ndarray] = {}
         total = 0
 
-        def frequent() -> pa.RecordBatch:
-            tokens, count = np.unique(np.concatenate([*held.values(), np.empty(0, np.uint64)]), return_counts=True)
-            often = count >= 4
-            m = int(often.sum())
+        def often() -> pa.RecordBatch:
+            tokens, count = frequent(list(held.values()))
+            held.clear()
+            m = len(tokens)
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.array(tokens[often].view(np.int64)), pa.array(count[often]), pa.nulls(m, pa.int64()),
-                 pa.array(np.zeros(m, bool))], names)
+                [pa.nulls(m, pa.int64()), pa.array(tokens.view(np.int64)), pa.array(count), pa.nulls(m, pa.int64()), pa.array(np.zeros(m, bool))], names)
 
         names = ["doc_id", "key", "n", "low", "doc"]
         for ids, sets in _sets(batches, k):
@@ -216,10 +227,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     held[c, len(s)] = s
                     total += len(s)
             if total >= 4_000_000:
-                yield frequent()
-                held, total = {}, 0
+                yield often()
+                total = 0
         if total:
-            yield frequent()
+            yield often()
 
     seen = materialize(texts.mapInArrow(_lean(survey), "doc_id long, key long, n long, low long, doc boolean"))
     members = seen.where("doc").select("doc_id", F.col("key").alias("cls"), "n", "low")
@@ -343,11 +354,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         opened = known.join(per, (known["low"] == per["to"]) & (known["salt"] == per["block"])).select(
             "to", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "cls", "label", F.lit(False).alias("asks"))
         wanted = materialize(asking.unionByName(opened))
-        some = filter_of(wanted.select(F.col("cls").alias("key")).distinct())
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(in_bitmap(some.value, b.column(0).to_numpy().view(np.uint64))))
 
         def ask(pdf: pd.DataFrame) -> pd.DataFrame:
             _give_back()
@@ -355,8 +361,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             a, b = _ask(q, g, percent) if len(q) and len(g) else ([], [])
             return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-        picked = sets.select("cls", "tokens").mapInArrow(_lean(pick), "cls long, tokens binary")
-        return materialize(wanted.join(picked, "cls").groupBy("to", "block", "part").applyInPandas(ask, "a long, b long"))
+        def answered(now: DataFrame) -> DataFrame:
+            some = filter_of(now.select(F.col("cls").alias("key")).distinct())
+
+            def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    yield b.filter(pa.array(in_bitmap(some.value, b.column(0).to_numpy().view(np.uint64))))
+
+            picked = sets.select("cls", "tokens").mapInArrow(_lean(pick), "cls long, tokens binary")
+            out = materialize(now.join(picked, "cls").groupBy("to", "block", "part").applyInPandas(ask, "a long, b long"))
+            some.destroy()
+            return out
+
+        n = max(1, min(rounds, wanted.count() // round_rows))
+        turn = F.pmod(F.xxhash64("to", "block", "part"), F.lit(n))
+        return functools.reduce(DataFrame.unionByName, [answered(wanted.where(turn == k)) for k in range(n)])
 
     # first each class asks one block only: of the blocks that hold the class of highest rank for one of its tokens, the one with most
     # such tokens. So a family of near copies that is spread over many groups gets one label, and its tokens are settled.
@@ -428,7 +447,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = shared_dir(spark)
     with scratch(spark):
         joined = jaccard_join(docs, id_col, text_col, **options)
-        joined.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct().write.parquet(path)
+        with tidy(spark):
+            joined.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct().write.parquet(path)
     gone = spark.read.schema(docs.select(id_col).schema).parquet(path)
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, exists, in_bitmap, materialize, shared_dir, table
+from .common import bitmap, exists, in_bitmap, materialize, shared_dir, table, tidy
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,8 @@ def update_ledger(docs: DataFrame, ledger: str, text_col: str = "text", rules: t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(kinds[0]), pa.array([len(f) for f in found], pa.int32()), pa.array(found, kinds[1])],
                                              ["blob", "scanned", "n_findings", "findings"])
 
-    todo.select("blob", "text", "need").mapInArrow(run, _LEDGER).write.mode("append").parquet(ledger)
+    with tidy(spark):
+        todo.select("blob", "text", "need").mapInArrow(run, _LEDGER).write.mode("append").parquet(ledger)
 
 
 def _known(spark: SparkSession, ledger: str, rules: tuple[Rule, ...]) -> DataFrame:

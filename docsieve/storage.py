@@ -68,10 +68,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         fs.delete(at, True)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go as soon as it is written, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and lost executors lose nothing."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
