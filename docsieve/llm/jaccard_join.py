@@ -194,7 +194,7 @@ def _member(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90,
-                 block: int = 256, hot: int = 131_072, filter_bits: int = 27, rounds: int = 6, round_rows: int = 4096) -> DataFrame:
+                 block: int = 256, hot: int = 131_072, filter_bits: int = 27, rounds: int = 3, round_rows: int = 4096) -> DataFrame:
     """One row a document: id, n_shingles, class_id (equal sets), component_id (smallest id reachable by links).
 
     percent: two sets link where 100 * intersection >= percent * union. hot: most tokens that are ordered by frequency. rounds: most
