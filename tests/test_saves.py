@@ -2,13 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docsieve.operators import graphs, saves
-from docsieve.plans import api
+from docsieve.plans import api, history_queries
 from docsieve.settings import Settings
 from docsieve.sources import pdf_saves
 from docsieve.sources.pdf import Document
@@ -179,3 +180,25 @@ def test_many_graphs_are_walked_together_across_batches(spark):
         if seen:
             want[key] = seen
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["object_reach"])
+def test_graphs_stay_whole_where_links_and_roots_come_from_joins_by_sorting(spark, tmp_path, name):
+    rng = random.Random(15)
+    rows = [(k, rng.randrange(1500)) for k in range(15_000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    # as in tables too large to be broadcast, whose partitions are merged to different numbers
+    large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in large}
+    for k, v in large.items():
+        spark.conf.set(k, v)
+    try:
+        got = history_queries.QUERIES[name](spark, str(tmp_path))
+        cols = sorted(got.columns)
+        got = sorted(map(repr, map(tuple, got.select(*cols).collect())))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(map(repr, con.sql(history_queries.ORACLES[name]).select(*cols).fetchall()))
