@@ -182,7 +182,7 @@ def test_many_graphs_are_walked_together_across_batches(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["object_reach"])
+@pytest.mark.parametrize("name", ["object_reach", "unreachable_objects"])
 def test_graphs_stay_whole_where_links_and_roots_come_from_joins_by_sorting(spark, tmp_path, name):
     rng = random.Random(15)
     rows = [(k, rng.randrange(1500)) for k in range(15_000)]
