@@ -119,15 +119,16 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: s
     """All pairs of rows of left and right with equal keys whose rectangles a and b overlap, each pair once.
 
     A pair meets at the coarser of its two levels, in the cell that has the upper left corner of what the rectangles share. So rows are
-    joined by key and cell, not by key alone: what a row is held against lies near it, however many rows its key has.
+    joined by key and cell, not by key alone: what a row is held against lies near it, however many rows its key has. Both joins sort, for
+    the reason in operators.audit._met.
     """
     cells = ["cell_level", "cell_x", "cell_y"]
     left = left.withColumn("level_a", level(F.col(a)))
     there = left.groupBy(*keys).agg(F.collect_set("level_a").alias("levels"))  # LEVELS numbers a key at most
-    right = right.join(there, keys).withColumn("level_b", level(F.col(b)))  # of keys without a rectangle at the left, nothing goes on
+    right = right.join(there.hint("merge"), keys).withColumn("level_b", level(F.col(b)))  # of keys without a rectangle at the left, nothing goes on
     upward = F.sequence(F.col("level_a"), F.lit(LEVELS - 1))
     own = F.array_union(F.array("level_b"), F.filter("levels", lambda x: x > F.col("level_b")))
-    pairs = in_cells(left, a, upward).join(in_cells(right, b, own).drop("levels"), [*keys, *cells])
+    pairs = in_cells(left, a, upward).join(in_cells(right, b, own).drop("levels").hint("merge"), [*keys, *cells])
     x, y = F.greatest(F.col(a)["x0"], F.col(b)["x0"]), F.greatest(F.col(a)["y0"], F.col(b)["y0"])
     at = F.col("cell_level")
     owner = (F.col("cell_x") == _index(x, at)) & (F.col("cell_y") == _index(y, at))

@@ -31,6 +31,12 @@ SUMMARY_CLEAR = ("%d opaque box(es) reviewed; none had extractable text undernea
 SUMMARY_NONE = "No candidate redaction boxes were found on this document."
 
 
+def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right by sorting. Relations of files are compressed so well that Spark takes millions of rows for few and would
+    broadcast them all, so that every executor and the driver hold as much as there is input."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def _area(s: Settings) -> Column:
     return g.area_qualifies(F.col("rect"), F.col("page_rect"), s.audit_min_box_area_ratio, s.audit_max_box_area_ratio)
 
@@ -42,7 +48,7 @@ def vector_candidates(drawings: DataFrame, pdf_pages: DataFrame, settings: Setti
     keep = (F.size("fill") > 0) & F.col("rect").isNotNull() & (opacity >= settings.audit_min_opacity)
     if not settings.audit_any_solid_color:
         keep = keep & g.is_dark(F.col("fill"), settings.audit_darkness_threshold)
-    return drawings.where(keep).join(pdf_pages, PAGE).where(_area(settings)).select(*PAGE, "seq", "rect", F.lit(VECTOR).alias("source"))
+    return _met(drawings.where(keep), pdf_pages, PAGE).where(_area(settings)).select(*PAGE, "seq", "rect", F.lit(VECTOR).alias("source"))
 
 
 def image_candidates(page_images: DataFrame, pdf_pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -53,7 +59,7 @@ def image_candidates(page_images: DataFrame, pdf_pages: DataFrame, settings: Set
     keep = F.col("variance") <= settings.audit_image_color_variance_max
     if not settings.audit_any_solid_color:
         keep = keep & (F.col("mean_intensity") <= 255 * (1 - settings.audit_darkness_threshold))
-    return page_images.where(keep).join(pdf_pages, PAGE).where(_area(settings)).select(*PAGE, "seq", "rect", F.lit(IMAGE).alias("source"))
+    return _met(page_images.where(keep), pdf_pages, PAGE).where(_area(settings)).select(*PAGE, "seq", "rect", F.lit(IMAGE).alias("source"))
 
 
 def annotation_candidates(annots: DataFrame) -> DataFrame:
@@ -95,8 +101,8 @@ def dedupe(candidates: DataFrame, tolerance: float = DEFAULT.audit_dedupe_tolera
         return t.filter(pa.array(near_first(sides, tolerance)))
 
     rows = candidates.select(*keys, "seq", "rect")
-    return (rows.join(several, keys, "left_anti")  # most pages have one candidate of a source
-            .unionByName(rows.join(several, keys, "left_semi").groupBy(*keys).applyInArrow(fold, schema)))
+    return (_met(rows, several, keys, "left_anti")  # most pages have one candidate of a source
+            .unionByName(_met(rows, several, keys, "left_semi").groupBy(*keys).applyInArrow(fold, schema)))
 
 
 #: Boxes of a page that are held against each of its words; a page with more of them meets its words by cells.
@@ -112,13 +118,13 @@ def text_under(boxes: DataFrame, words: DataFrame, spread: Callable[[DataFrame],
     """
     keys = [*PAGE, "source", "seq"]
     own = boxes.select(*keys, F.col("rect").alias("box"), (F.count("*").over(Window.partitionBy(*PAGE)) > FEW).alias("crowded"))
-    near = spread(words.join(own.where("not crowded"), PAGE)).where(g.overlap(F.col("box"), F.col("rect"))).select(*keys, "word_seq", "word")
+    near = spread(_met(words, own.where("not crowded"), PAGE)).where(g.overlap(F.col("box"), F.col("rect"))).select(*keys, "word_seq", "word")
     full = own.where("crowded")
-    there = spread(words.join(full.select(*PAGE).distinct(), PAGE)).select(*PAGE, "word_seq", F.col("rect").alias("word_rect"), "word")
+    there = spread(_met(words, full.select(*PAGE).distinct(), PAGE)).select(*PAGE, "word_seq", F.col("rect").alias("word_rect"), "word")
     far = g.overlapping(full.select(*keys, "box"), there, PAGE, "box", "word_rect").select(*keys, "word_seq", "word")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_seq", "word"))), lambda x: x["word"]), " ")
     joined = lambda hits: hits.groupBy(*keys).agg(text.alias("text"), F.count("*").alias("word_count")).withColumn("char_count", F.length("text"))
-    return boxes.join(joined(near).unionByName(joined(far)), keys, "left").select(
+    return _met(boxes, joined(near).unionByName(joined(far)), keys, "left").select(
         *boxes.columns, F.coalesce("word_count", F.lit(0)).cast("int").alias("word_count"),
         F.coalesce("char_count", F.lit(0)).cast("int").alias("char_count"), "text")
 
@@ -142,7 +148,7 @@ def report(found: DataFrame, pdf_pages: DataFrame) -> DataFrame:
         F.count_if(F.col("risk_level") == "clear").alias("clear"), F.count_if(F.col("risk_level") == "unknown").alias("unknown"))
     pages = pdf_pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("pages_audited"))
     n = lambda c: F.coalesce(c, F.lit(0)).cast("int")
-    return pages.join(per, "doc_id", "left").select(
+    return _met(pages, per, ["doc_id"], "left").select(
         "doc_id", n("total").alias("total_boxes_found"), n("critical").alias("critical_count"), n("clear").alias("clear_count"),
         n("unknown").alias("unknown_count"), "pages_audited",
         F.when(n("critical") > 0, F.format_string(SUMMARY_CRITICAL, n("critical")))

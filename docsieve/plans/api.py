@@ -125,7 +125,7 @@ def audit_redactions(files: DataFrame, settings: Settings = DEFAULT) -> tuple[Da
     pdfs = validated.where("error is null and kind = 'pdf'").select("doc_id", F.col("sanitized").alias("content"))
     parsed = materialize(fs.parse_pdfs(pdfs, settings))
     rel = fs.relations(parsed.where("error is null"))
-    found = audit.findings(_candidates(rel, settings), rel["words"], settings)
+    found = audit.findings(materialize(_candidates(rel, settings)), rel["words"], settings)  # read several times there
     errors = (validated.select("doc_id", F.coalesce("error", F.when(F.col("kind") != "pdf", F.lit(
         "Redaction audit only supports PDF documents (no text layer exists to check in a raster image)."))).alias("error"))
         .unionByName(parsed.select("doc_id", "error")).where("error is not null"))

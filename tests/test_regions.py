@@ -127,3 +127,20 @@ def test_less_is_shuffled_than_the_texts_hold(spark, name):
     time.sleep(1)
     text = spark.read.parquet(f"{docs}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
     assert _shuffled(spark) - before < 2 * text
+
+
+def test_relations_in_small_files_are_not_broadcast_whole(spark, tmp_path):
+    """20,000 pages take a few kB as a file, so by their estimated size they would go to every executor whole, and ten million too."""
+    n, here = 20_000, spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("page_number"))
+    box = g.rect(*map(F.lit, (70, 690, 270, 720)))
+    black = F.array(*[F.lit(0.0)] * 3)
+    made = {"pages": here.withColumn("page_rect", g.rect(*map(F.lit, (0, 0, 612, 792)))),
+            "drawings": here.select("*", F.lit(0).alias("seq"), box.alias("rect"), black.alias("fill"), F.lit(1.0).alias("fill_opacity")),
+            "words": here.select("*", F.lit(0).alias("word_seq"), box.alias("rect"), F.lit("word").alias("word"))}
+    for name, rows in made.items():
+        rows.write.parquet(f"{tmp_path}/{name}")
+    pages, drawings, words = (spark.read.parquet(f"{tmp_path}/{name}") for name in made)
+    found = audit.findings(audit.vector_candidates(drawings, pages), words)
+    for rows in (found, audit.report(found, pages)):
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert found.where("risk_level = 'critical' and underlying_word_count = 1").count() == n
